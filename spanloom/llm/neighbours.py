@@ -102,7 +102,7 @@ class Forest:
             yield np.nonzero(seen)[0]
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, trees: int = 24, bits: int = 24, share: float = 0.55, most_rows: int = 8192) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, trees: int = 48, bits: int = 24, share: float = 0.4, most_rows: int = 8192) -> DataFrame:
     """query_id, rank, vec_id and score (Euclidean distance). vectors and queries have vec_id and v (see ``valid``).
 
     share: of a block's rows, the part to take as candidates at least. It sets the recall; it is high by default because
