@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import byte_bpe, decontamination, licences, neighbours, quotes, sorted_tokens, toxicity, warc
+from . import byte_bpe, decontamination, licences, near_duplicates, neighbours, quotes, sorted_tokens, toxicity, warc
 
 HELD_OUT = "crc32(cast(doc_id as string)) % 3 = 1"
 
@@ -20,6 +20,10 @@ def op2_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -47,7 +51,7 @@ def op10_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.conversations(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_hash_prefix_forest, op2_licence_scan, op4_warc, op5_toxicity, op6_decontamination, op7_sorted_tokens, op9_byte_bpe, op10_quotes)}
+QUERIES = {f.__name__: f for f in (op1_hash_prefix_forest, op2_licence_scan, op3_near_duplicates, op4_warc, op5_toxicity, op6_decontamination, op7_sorted_tokens, op9_byte_bpe, op10_quotes)}
 
 ORACLE_SQL = {
     "op2_licence_scan": licences.sql(),
