@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import byte_bpe, decontamination, licences, near_duplicates, neighbours, quotes, sorted_tokens, toxicity, warc
+from . import byte_bpe, decontamination, licences, near_duplicates, neighbours, quotes, repeats, sorted_tokens, toxicity, warc
 
 HELD_OUT = "crc32(cast(doc_id as string)) % 3 = 1"
 
@@ -43,6 +43,10 @@ def op7_sorted_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sorted_tokens.tokenised(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.report(table(spark, sf_dir, "documents"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -51,7 +55,7 @@ def op10_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.conversations(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_hash_prefix_forest, op2_licence_scan, op3_near_duplicates, op4_warc, op5_toxicity, op6_decontamination, op7_sorted_tokens, op9_byte_bpe, op10_quotes)}
+QUERIES = {f.__name__: f for f in (op1_hash_prefix_forest, op2_licence_scan, op3_near_duplicates, op4_warc, op5_toxicity, op6_decontamination, op7_sorted_tokens, op8_repeats, op9_byte_bpe, op10_quotes)}
 
 ORACLE_SQL = {
     "op2_licence_scan": licences.sql(),
