@@ -37,11 +37,11 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """packed(piece) gives the ids of one match of the splitting pattern.
 
-    A state is the last settled token (-1 before the first), the bytes read since, and the live boundaries: those at
+    A state is the last settled token (-1 before the first and where it no longer matters), the bytes read since, and the live boundaries: those at
     which a token may still be growing, each with the tokens from the settled one up to it.
     """
 
-    def __init__(self, ranks: dict[bytes, int], most_states: int = 120_000, most_pieces: int = 600_000):
+    def __init__(self, ranks: dict[bytes, int], most_states: int = 200_000, most_pieces: int = 600_000):
         self.ranks, self.most_states, self.most_pieces = ranks, most_states, most_pieces
         self.prefixes = {token[:i] for token in ranks for i in range(len(token))}  # proper prefixes, the empty one included
         self.token = {rank: token for token, rank in ranks.items()}
@@ -51,7 +51,7 @@ class Transducer:
         self._reset()
 
     def _reset(self) -> None:
-        self.index: dict[tuple[int, bytes], int] = {}
+        self.index: dict[tuple, int] = {}
         self.states: list[tuple[int, bytes, list[tuple[int, tuple[int, ...]]]]] = []
         self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}  # by 256 * state + byte
         self.ends: list[tuple[int, ...] | None] = []
@@ -59,7 +59,9 @@ class Transducer:
         self.start = self._state(-1, b"", [(0, ())])
 
     def _state(self, settled: int, pending: bytes, live: list[tuple[int, tuple[int, ...]]]) -> int:
-        key = (settled, pending)
+        if live[0][1]:
+            settled = -1  # no token can start at the settled boundary any more, so what precedes it makes no difference
+        key = (settled, pending, tuple(live))
         if (at := self.index.get(key)) is None:
             at = self.index[key] = len(self.states)
             self.states.append((settled, pending, live))
