@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES: list = []
+from . import scoring_queries, text_queries
+
+MODULES = [scoring_queries, text_queries]
 
 
 def queries() -> dict:
