@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import scoring_queries, text_queries
+from . import review_queries, scoring_queries, text_queries
 
-MODULES = [scoring_queries, text_queries]
+MODULES = [scoring_queries, text_queries, review_queries]
 
 
 def queries() -> dict:
