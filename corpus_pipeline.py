@@ -20,7 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under TOXIC, by a lexicon learned from the labels of the documents at hand."""
     ensure_workers(spark)
     lexicon = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, lexicon, keep=True).filter(F.col("score") < TOXIC).select(*docs.columns)
+    return toxicity.scored(docs, lexicon, keep=True).filter(F.col("__score") < TOXIC).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -118,16 +118,14 @@ class Matcher:
 
 def item_slices(benchmark: DataFrame, most_bytes: int) -> Iterator[Items]:
     """The distinct normalised items with their smallest ids, in slices of about most_bytes, one slice on the driver at a time."""
-    own = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null and trim(text) <> ''")
-    total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    item = F.trim(F.regexp_replace(F.lower("text"), r"(?U)[\s\x1c-\x1f]+", " "))
+    own = benchmark.filter("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), item.alias("item")).filter("item <> ''")
+    own = own.groupBy("item").agg(F.min("item_id").alias("item_id"))
+    total = own.agg(F.sum(F.octet_length("item"))).first()[0] or 0
     parts = max(1, -(-total // most_bytes))
     for i in range(parts):
-        seen: dict[str, int] = {}
-        for r in own.filter(F.pmod(F.xxhash64(F.lower(F.trim("text"))), F.lit(parts)) == i).collect() if parts > 1 else own.collect():
-            item = normal(r.text)
-            if item and r.item_id is not None:
-                seen[item] = min(r.item_id, seen.get(item, r.item_id))
-        yield tuple(sorted((item_id, item) for item, item_id in seen.items()))
+        some = own.filter(F.pmod(F.xxhash64("item"), F.lit(parts)) == i) if parts > 1 else own
+        yield tuple(sorted((r.item_id, normal(r.item)) for r in some.collect()))
 
 
 def _links(docs: DataFrame, items: Items, rate: float) -> DataFrame:

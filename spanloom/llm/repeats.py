@@ -297,34 +297,34 @@ def _expanded(fetched: DataFrame, width: int) -> DataFrame:
 
 
 def _keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
-    """docs with doc_key, which orders documents. It is the doc_id unless ids repeat or are missing."""
+    """docs with __doc_key, which orders documents. It is the doc_id unless ids repeat or are missing."""
     odd = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null")
     if odd.isEmpty():
-        return docs.withColumn("doc_key", F.col("doc_id").cast("long")), False
+        return docs.withColumn("__doc_key", F.col("doc_id").cast("long")), False
     from pyspark.sql import Window as W
 
     ids = docs.select("doc_id", F.xxhash64("text").alias("__text")).distinct()
-    ids = written(ids.withColumn("doc_key", F.row_number().over(W.orderBy(F.asc_nulls_first("doc_id"), "__text")).cast("long")), "document-keys")
-    ids = ids.select(F.col("doc_id").alias("__id"), F.col("__text").alias("__hash"), "doc_key")
+    ids = written(ids.withColumn("__doc_key", F.row_number().over(W.orderBy(F.asc_nulls_first("doc_id"), "__text")).cast("long")), "document-keys")
+    ids = ids.select(F.col("doc_id").alias("__id"), F.col("__text").alias("__hash"), "__doc_key")
     return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))).drop("__id", "__hash"), True
 
 
 def marked(docs: DataFrame, width: int = 100) -> DataFrame:
-    """docs (doc_id, text and others) with doc_key and __places: the runs of windows that start earlier elsewhere."""
+    """docs (doc_id, text and others) with __doc_key and __places: the runs of windows that start earlier elsewhere."""
     if not GRAM < width <= 255 + GRAM:
         raise ValueError("width")
     spark = docs.sparkSession
     docs, replaced = _keyed(docs)
     if replaced:
         docs = written(docs, "documents")
-    texts = docs.select("doc_key", F.coalesce("text", F.lit("")).alias("text")).filter(F.octet_length("text") >= width)
+    texts = docs.select(F.col("__doc_key").alias("doc_key"), F.coalesce("text", F.lit("")).alias("text")).filter(F.octet_length("text") >= width)
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     compared = written(_compare(_packed(texts, width, buckets).repartition(buckets, "bucket")), "repeat-marks")
     opened = compared.filter("anchor is not null")
     expanded = _expanded(_fetched(texts, opened, width, buckets).repartition(buckets, "bucket"), width)
     marks = compared.filter("anchor is null").unionByName(written(expanded, "window-marks"))
-    places = marks.groupBy("doc_key").agg(F.collect_list("place").alias("__places"))
-    return docs.join(places, "doc_key", "left")
+    places = marks.groupBy(F.col("doc_key").alias("__doc_key")).agg(F.collect_list("place").alias("__places"))
+    return docs.join(places, "__doc_key", "left")
 
 
 def removed(size: int, places: list[int] | None, width: int) -> list[tuple[int, int]]:

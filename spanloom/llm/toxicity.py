@@ -167,11 +167,12 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_terms:
 
 
 def scored(docs: DataFrame, lexicon: Lexicon, keep: bool = False) -> DataFrame:
-    """doc_id, score and n_hits; with keep, all columns of docs and a last column score."""
+    """doc_id, score and n_hits; with keep, all columns of docs, __score and __n_hits."""
     key = ("toxicity", repr(lexicon))
     columns = docs.columns if keep else ["doc_id"]
     own = docs.select(*columns, F.col("text").alias("__text")) if keep else docs.selectExpr("cast(doc_id as long) doc_id", "text __text")
-    fields = StructType([*own.select(*columns).schema.fields, StructField("score", DoubleType()), StructField("n_hits", IntegerType())])
+    names = ["__score", "__n_hits"] if keep else ["score", "n_hits"]
+    fields = StructType([*own.select(*columns).schema.fields, StructField(names[0], DoubleType()), StructField(names[1], IntegerType())])
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = cached(key, lexicon.automaton) if lexicon.weights else None
@@ -186,6 +187,6 @@ def scored(docs: DataFrame, lexicon: Lexicon, keep: bool = False) -> DataFrame:
                         hits = lexicon.hits(automaton, folded)
                     scores.append(lexicon.score(lexicon.features(hits, len(folded.split()))) if hits else none)
                     counts.append(len(hits))
-                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in columns), pa.array(scores, pa.float64()), pa.array(counts, pa.int32())], [*columns, "score", "n_hits"])
+                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in columns), pa.array(scores, pa.float64()), pa.array(counts, pa.int32())], [*columns, *names])
 
     return own.mapInArrow(part, fields)
