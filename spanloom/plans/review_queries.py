@@ -23,7 +23,7 @@ def vote_aggregation(spark, sf):
 
 def agreement_report(spark, sf):
     """AGG-21, JON-12."""
-    return votes.agreement(view(spark, sf, VOTES_SQL).filter("event_id % 3 = 0"), _runs(spark), ["doc"])
+    return votes.agreement(view(spark, sf, VOTES_SQL), _runs(spark), ["doc"])
 
 
 def unanimous_spans(spark, sf):
@@ -33,7 +33,7 @@ def unanimous_spans(spark, sf):
 
 def agreement_matrix(spark, sf):
     """RNK-14."""
-    return votes.agreement_matrix(view(spark, sf, VOTES_SQL).filter("event_id % 3 = 0"), RUNS, ["doc"])
+    return votes.agreement_matrix(view(spark, sf, VOTES_SQL), RUNS, ["doc"])
 
 
 def logprob_confidence(spark, sf):
@@ -134,22 +134,22 @@ def ticket_routing(spark, sf):
 
 
 def knn_topk(spark, sf):
-    """RNK-01, JON-10: the five most similar vectors of every tenth one."""
+    """RNK-01, JON-10: the five most similar vectors of each query vector (ids divisible by 50)."""
     own = table(spark, sf, "embeddings")
-    return retrieval.top_k(own.filter("vec_id % 10 = 0"), own, 5).select("query_id", "rank", "vec_id", F.round("similarity", 9).alias("similarity"))
+    return retrieval.top_k(own.filter("vec_id % 50 = 0"), own, 5).select("query_id", "rank", "vec_id", F.round("similarity", 9).alias("similarity"))
 
 
 def knn_overfetch_filter(spark, sf):
     """RNK-02, JON-16: three of the fifteen nearest that have an even label."""
     own = table(spark, sf, "embeddings")
-    hits = retrieval.top_k(own.filter("vec_id % 10 = 0"), own, 3 * retrieval.OVERFETCH, extra=("label",))
+    hits = retrieval.top_k(own.filter("vec_id % 50 = 0"), own, 3 * retrieval.OVERFETCH, extra=("label",))
     return retrieval.filtered(hits, F.col("label") % 2 == 0, 3).select("query_id", "rank", "vec_id", "label")
 
 
 def knn_weighted_vote(spark, sf):
     """AGG-23, LLM-17."""
     own = table(spark, sf, "embeddings")
-    hits = retrieval.top_k(own.filter("vec_id % 10 = 0"), own, 5, extra=("label",))
+    hits = retrieval.top_k(own.filter("vec_id % 50 = 0"), own, 5, extra=("label",))
     return retrieval.weighted_vote(hits, "label").withColumn("confidence", F.round("confidence", 9))
 
 
@@ -180,16 +180,16 @@ f as (select s.*, confidence is null or coalesce(confidence <= cut, false) flagg
 _METRICS = """, m as (select doc, count(*) filter (source = 'model') model_suggested, count(*) filter (source = 'model' and status = 'confirmed') confirmed_as_is, count(*) filter (source = 'model' and status = 'edited') relabeled_by_human,
 count(*) filter (source = 'model' and status = 'deleted') deleted_by_human, count(*) filter (source = 'human') added_by_human from r group by doc),
 t as (select *, confirmed_as_is::double / nullif(model_suggested, 0) acceptance_rate, relabeled_by_human::double / nullif(model_suggested, 0) edit_rate, deleted_by_human::double / nullif(model_suggested, 0) deletion_rate from m)"""
-_KNN = """with u as (select vec_id, label, list_transform(embedding, lambda x: x::double) e from embeddings), s as (select q.vec_id query_id, i.vec_id, i.label, list_dot_product(q.e, i.e) sim from u q join u i on q.vec_id <> i.vec_id where q.vec_id % 10 = 0),
+_KNN = """with u as (select vec_id, label, list_transform(embedding, lambda x: x::double) e from embeddings), s as (select q.vec_id query_id, i.vec_id, i.label, list_dot_product(q.e, i.e) sim from u q join u i on q.vec_id <> i.vec_id where q.vec_id % 50 = 0),
 h as (select *, row_number() over (partition by query_id order by sim desc, vec_id desc) r from s qualify r <= {0})"""
 ORACLE_SQL = {
     "vote_aggregation": f"{_V} select doc, start, stop, type, count(*) votes, 5::bigint total, string_agg(run, ',' order by {_POS}) voters, count(*)::double / 5 confidence from s group by doc, start, stop, type",
-    "agreement_report": f"""with v as ({VOTES_SQL}), s as (select distinct doc, start, stop, type, run from v where event_id % 3 = 0), n as (select run, count(*) n from s group by run),
+    "agreement_report": f"""with v as ({VOTES_SQL}), s as (select distinct doc, start, stop, type, run from v), n as (select run, count(*) n from s group by run),
 p as (select a.run a, b.run b, a.n n_a, b.n n_b from n a join n b on list_position(['click', 'error', 'purchase', 'signup', 'view'], a.run) < list_position(['click', 'error', 'purchase', 'signup', 'view'], b.run)),
 x as (select a.run a, b.run b, count(*) shared from s a join s b on (a.doc, a.start, a.stop, a.type) = (b.doc, b.start, b.stop, b.type) group by 1, 2)
 select p.a, p.b, n_a, n_b, coalesce(shared, 0) shared, n_a - coalesce(shared, 0) only_a, n_b - coalesce(shared, 0) only_b, coalesce(shared, 0)::double / (n_a + n_b - coalesce(shared, 0)) jaccard from p left join x using (a, b)""",
     "unanimous_spans": f"{_V}, g as (select count(*) n from s group by doc, start, stop, type) select count(*) n_union, count(*) filter (n = 5) n_unanimous, count(*) filter (n = 5)::double / count(*) share_unanimous from g",
-    "agreement_matrix": f"with v as ({VOTES_SQL}) select doc, start, stop, type, " + ", ".join(f'bool_or(run = \'{r}\') "{r}"' for r in RUNS) + ", count(distinct run) agreement from v where event_id % 3 = 0 group by doc, start, stop, type",
+    "agreement_matrix": f"with v as ({VOTES_SQL}) select doc, start, stop, type, " + ", ".join(f'bool_or(run = \'{r}\') "{r}"' for r in RUNS) + ", count(distinct run) agreement from v group by doc, start, stop, type",
     "logprob_confidence": """with w as (select item_id, string_split(text, ' ') w from benchmark), u as (select item_id, w, i, w[i] || ' ' tok, -((i - 1) % 7) / 10.0::double lp from (select *, unnest(range(1, len(w) + 1)) i from w)),
 o as (select *, sum(length(tok)) over (partition by item_id order by i) stop from u), r as (select item_id, string_agg(tok, '' order by i) t from u group by 1),
 n as (select item_id, strpos(t, w[3] || ' ' || w[4]) - 1 a, length(w[3] || ' ' || w[4]) l from r join w using (item_id))

@@ -132,8 +132,9 @@ def containment(spark, sf):
 
 def coverage_missing_unknown(spark, sf):
     """JON-01, JON-02, AGG-16."""
-    gold = table(spark, sf, "orders").selectExpr("o_orderkey id").filter("id % 10 <> 3")
-    predicted = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.when(F.max("l_linenumber") == 7, "error").otherwise("ok").alias("status"))
+    gold = table(spark, sf, "orders").selectExpr("o_orderkey id")
+    key = F.when(F.col("l_orderkey") % 10 == 3, -F.col("l_orderkey")).otherwise(F.col("l_orderkey"))
+    predicted = table(spark, sf, "lineitem").groupBy(key.alias("id")).agg(F.when(F.max("l_linenumber") == 7, "error").otherwise("ok").alias("status"))
     return scoring.coverage(gold, predicted, "id")
 
 
@@ -233,7 +234,7 @@ from w a join w b on a.example = b.example and a.k < b.k and greatest(a.start, b
 i as (select window_id, count(*) inside, sum(start - w0)::bigint starts from gold join w using (example) where start >= w0 and stop <= w1 group by 1),
 c as (select window_id, count(*) met, count(*) filter (start < w0 or stop > w1) clipped, sum(least(stop, w1) - greatest(start, w0))::bigint length from gold join w using (example) where not (stop <= w0 or start >= w1) group by 1)
 select * from i join c using (window_id)""",
-    "coverage_missing_unknown": """with g as (select o_orderkey id from orders where o_orderkey % 10 <> 3), p as (select l_orderkey id, case when max(l_linenumber) = 7 then 'error' else 'ok' end status from lineitem group by 1),
+    "coverage_missing_unknown": """with g as (select o_orderkey id from orders), p as (select case when l_orderkey % 10 = 3 then -l_orderkey else l_orderkey end id, case when max(l_linenumber) = 7 then 'error' else 'ok' end status from lineitem group by 1),
 b as (select g.id gid, p.id pid, status from g full join p on g.id = p.id),
 c as (select count(gid) n_gold, count(*) filter (gid is not null and pid is null) n_missing, count(*) filter (gid is not null and status = 'error') n_failed, count(*) filter (gid is null) n_unknown from b)
 select *, (n_gold - n_missing - n_failed)::double / n_gold coverage_rate from c""",
