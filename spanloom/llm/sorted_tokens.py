@@ -13,7 +13,6 @@ rows that repeat a doc_id are all kept, ordered by text; no documents give no sh
 from __future__ import annotations
 
 import bisect
-import gc
 import os
 import re
 import struct
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import runtime
-from .workers import cached, slices
+from .workers import cached, no_cycles, slices
 
 MAGIC = b"SLSST001"
 FOOTER = struct.Struct("<QQQQQ8s")  # index offset and size, filter offset, documents, tokens
@@ -148,7 +147,7 @@ class Encoder:
 
     MARK = "|"
 
-    def __init__(self, path: str, most_words: int = 800_000):
+    def __init__(self, path: str, most_words: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has given out the cores
         from tokenizers import Tokenizer
 
@@ -158,6 +157,7 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.wide = self.tokenizer.get_vocab_size() > 65_536
         (self.mark,) = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
+        self.old = {}
         self.form, self.most_words, self.words = "<u4" if self.wide else "<u2", most_words, {}
 
     def _learn(self, words: list[str]) -> None:
@@ -173,12 +173,24 @@ class Encoder:
             if self.MARK in word:
                 self.words[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.form).tobytes()
 
+    def _words(self, text: str) -> list[str]:
+        """Lower case where that is what the library does to each character anyway, so that spellings share an entry."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return WORDS.findall(text)
+        return WORDS.findall(text.lower())
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text. A run of full stops and commas behind an ASCII letter or digit is always a piece of its own."""
-        if len(self.words) >= self.most_words:
-            self.words.clear()
-        split = [WORDS.findall(text) for text in texts]
+        if len(self.words) >= self.most_words:  # what is used again is taken over from the generation before
+            self.old, self.words = self.words, {}
+        split = [self._words(text) for text in texts]
         new = set().union(*split).difference(self.words)
+        if self.old:
+            again = new.intersection(self.old)
+            self.words.update(zip(again, map(self.old.__getitem__, again), strict=True))
+            new -= again
         stems = {word: stem for word in new if word[-1] in ".," and (stem := word.rstrip(".,")) and stem.isascii() and stem[-1].isalnum()}
         parts = {part for word, stem in stems.items() for part in (stem, word[len(stem) :])}
         self._learn(list((parts | (new - stems.keys())) - self.words.keys()))
@@ -203,7 +215,6 @@ def write_shards(docs: DataFrame, path: str, to: str, end_id: int = 2) -> DataFr
         for batch in batches:
             for rows in slices(batch, "text", 4 << 20):
                 if writer is None:
-                    gc.disable()  # the memo holds no cycles
                     own = encoder(path)
                     end = np.array([end_id], own.form).tobytes()
                     fs, folder = pafs.FileSystem.from_uri(to)
@@ -213,7 +224,9 @@ def write_shards(docs: DataFrame, path: str, to: str, end_id: int = 2) -> DataFr
                     out = fs.open_output_stream(draft)
                     writer = Writer(out, own.wide)
                 texts = [text or "" for text in rows.column("text").to_pylist()]
-                for doc_id, ids in zip(rows.column("doc_id").to_pylist(), own.encode(texts), strict=True):
+                with no_cycles():
+                    packed = own.encode(texts)
+                for doc_id, ids in zip(rows.column("doc_id").to_pylist(), packed, strict=True):
                     writer.add(key_of(doc_id), ids + end)
         if writer is not None:
             n_docs, n_tokens = writer.close()

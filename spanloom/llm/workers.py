@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -13,13 +15,30 @@ _HOME = "_spanloom_worker_cache"
 
 
 def cached(key, build: Callable):
-    """A value kept for the life of the Python worker, so that reused workers build tokenizers and automata once."""
+    """A value kept for the life of the Python worker, so that reused workers build tokenizers and automata once. Only the
+    last one is kept: what an earlier stage built would only take memory from this one."""
     home = sys.modules.setdefault(_HOME, types.ModuleType(_HOME)).__dict__.setdefault("values", {})
     if key not in home:
+        home.clear()
         home[key] = build()
     return home[key]
 
 
+def forget() -> None:
+    """Drops what ``cached`` holds, for stages that need the memory for themselves."""
+    sys.modules.setdefault(_HOME, types.ModuleType(_HOME)).__dict__.setdefault("values", {}).clear()
+
+
+@contextlib.contextmanager
+def no_cycles():
+    """Large tables that hold no reference cycles are not walked in search of some while this lasts."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows that hold about most_bytes of the text column; a longer text is a run of its own."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
