@@ -55,7 +55,8 @@ def call(rows: DataFrame, provider: Callable[[], Provider], columns: list[str],
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = provider()
         for batch in batches:
-            batch["reply"] = [asked(own, request, tries, wait) for request in batch[columns].to_dict("records")]
+            requests = [{k: None if v is None or v != v else v for k, v in r.items()} for r in batch[columns].to_dict("records")]  # pandas has nulls as NaN
+            batch["reply"] = [asked(own, request, tries, wait) for request in requests]
             yield batch
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)

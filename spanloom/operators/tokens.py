@@ -94,11 +94,12 @@ def detokenized(rows: DataFrame, key: str, tokens: str) -> DataFrame:
 def tag_runs(rows: DataFrame, group: list[str], order: list[str], token: str, tag: str, outside: object = 0, only: object = None) -> DataFrame:
     """Runs of one tag as spans with inclusive token indices: a change of tag ends a run. ``only`` keeps the runs of one tag."""
     by = W.partitionBy(*group).orderBy(*order)
-    own = rows.select(*group, *order, F.col(token).alias("token"), F.col(tag).alias("tag"), (F.row_number().over(by) - 1).alias("i"))
-    own = own.withColumn("new", F.when(F.col("tag") == F.lag("tag").over(by), 0).otherwise(1)).withColumn("run", F.sum("new").over(by))
-    own = own.filter(F.col("tag") == F.lit(only)) if only is not None else own.filter(F.col("tag") != F.lit(outside))
-    runs = own.groupBy(*group, "run", "tag").agg(F.min("i").alias("start"), F.max("i").alias("stop"), F.array_sort(F.collect_list(F.struct("i", "token"))).alias("t"))
-    return runs.select(*group, F.col("tag").alias("label"), F.array_join("t.token", " ").alias("text"), "start", "stop")
+    own = rows.select(*group, F.col(token).alias("__token"), F.col(tag).alias("label"), (F.row_number().over(by) - 1).alias("__i"))
+    by = W.partitionBy(*group).orderBy("__i")
+    own = own.withColumn("__new", F.when(F.col("label") == F.lag("label").over(by), 0).otherwise(1)).withColumn("__run", F.sum("__new").over(by))
+    own = own.filter(F.col("label") == F.lit(only)) if only is not None else own.filter(F.col("label") != F.lit(outside))
+    runs = own.groupBy(*group, "__run", "label").agg(F.min("__i").alias("start"), F.max("__i").alias("stop"), F.array_sort(F.collect_list(F.struct("__i", "__token"))).alias("__t"))
+    return runs.select(*group, "label", F.array_join("__t.__token", " ").alias("text"), "start", "stop")
 
 
 def parse_string_array(x: Column) -> Column:
