@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import base64
 import codecs
-import gc
 import hashlib
 import struct
 from collections.abc import Iterable, Iterator
@@ -24,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .workers import cached, slices
+from .workers import cached, no_cycles, slices
 
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, valid_utf8 boolean"
 
@@ -228,17 +227,17 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        gc.disable()  # the tables hold no cycles, and walking them would cost as much as the encoding
-        for batch in batches:
-            for rows in slices(batch, "text", 4 << 20):
-                out: list[list] = [[], [], [], []]
-                for text in rows.column("text").to_pylist():
-                    packed = own.encode(text or "")
-                    digest, valid = hashlib.sha256(), True
-                    for raw, _, valid in own.decode(packed):
-                        digest.update(raw)
-                    for to, value in zip(out, (len(packed) // 4, hashlib.sha256(packed).hexdigest(), digest.hexdigest(), valid), strict=True):
-                        to.append(value)
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *map(pa.array, out[:1]), pa.array(out[1], pa.string()), pa.array(out[2], pa.string()), pa.array(out[3], pa.bool_())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "valid_utf8"])
+        with no_cycles():
+            for batch in batches:
+                for rows in slices(batch, "text", 4 << 20):
+                    out: list[list] = [[], [], [], []]
+                    for text in rows.column("text").to_pylist():
+                        packed = own.encode(text or "")
+                        digest, valid = hashlib.sha256(), True
+                        for raw, _, valid in own.decode(packed):
+                            digest.update(raw)
+                        for to, value in zip(out, (len(packed) // 4, hashlib.sha256(packed).hexdigest(), digest.hexdigest(), valid), strict=True):
+                            to.append(value)
+                    yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *map(pa.array, out[:1]), pa.array(out[1], pa.string()), pa.array(out[2], pa.string()), pa.array(out[3], pa.bool_())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "valid_utf8"])
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(part, ENCODED)

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from ..runtime import written
 from .components import components
 from .shingles import mix, sets
-from .workers import slices
+from .workers import forget, slices
 
 BANDS, ROWS = 40, 5
 M = BANDS * ROWS
@@ -97,6 +97,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, class (null without shingles) and registers."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for rows in slices(batch, "text", 1 << 20):
                 own = sets(rows.column("text").cast(pa.binary()).to_pylist())

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from ..runtime import written
 from .bwt import window_classes
 from .shingles import mix
-from .workers import slices
+from .workers import forget, slices
 
 GRAM = 16
 RECORD = np.dtype([("anchor", "u8"), ("same", "u8"), ("left", "u4"), ("right", "u4"), ("doc", "i8"), ("start", "u4"), ("windows", "u1")])
@@ -133,6 +133,7 @@ def _packed(docs: DataFrame, width: int, buckets: int) -> DataFrame:
     """bucket and records. Of equal strings within a slice only the first goes on; the others are marked at once (anchor 0)."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for rows in slices(batch, "text", 1 << 20):
                 found = []
