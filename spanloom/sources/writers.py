@@ -27,10 +27,12 @@ def write_lines(rows: DataFrame, path: str, split: str | None = None) -> None:
 
 def flattened(windows: DataFrame) -> dict[str, DataFrame]:
     """examples, sentences and entities as three linked tables."""
+    derived = {"character_count": F.length("text"), "entity_count": F.size("entities"), "section_count": F.size("sections")}
+    names = lambda schema: [c.split(" ")[0] for c in schema.split(", ")]
     return {
-        "examples": windows.select(*[c for c in windows.columns if c not in ("sentences", "entities", "sections", "text")], F.length("text").alias("character_count"), F.size("entities").alias("entity_count"), F.size("sections").alias("section_count"), "text"),
-        "sentences": windows.select("example_id", "doc_id", F.inline("sentences")),
-        "entities": windows.select("example_id", "doc_id", F.inline("entities")),
+        "examples": windows.withColumns(derived).select(*names(readers.EXAMPLES)),
+        "sentences": windows.select("example_id", "doc_id", F.inline("sentences")).select(*names(readers.SENTENCES)),
+        "entities": windows.select("example_id", "doc_id", F.inline("entities")).select(*names(readers.ENTITIES)),
     }
 
 
