@@ -2,7 +2,7 @@
 
 Words are compared in a folded form: lower case, accents dropped, look-alike letters of other scripts, digits and
 signs read as the Latin letters they imitate. Matching is one Aho-Corasick pass over the folded text; a hit counts
-only as a whole word and outside the exception phrases. The score is a logistic function of the summed weights, raw
+only as a whole word, or as the beginning of one for stems (written stem*), and outside the exception phrases. The score is a logistic function of the summed weights, raw
 and normalised by length.
 
 Lexicon, weights, exception phrases and the logistic function are learned from a sample of labelled rows that
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from .. import runtime
-from .workers import cached, slices
+from .workers import cached, forget, slices
 
 # Characters and the letters they stand for. l, 1 and | are one letter with i, as they imitate each other.
 LOOKALIKES = {
@@ -73,18 +73,19 @@ class Lexicon:
 
         own = ahocorasick.Automaton()
         for word, weight in self.weights.items():
-            own.add_word(word, (len(word), weight))
+            stem = word.rstrip("*")
+            own.add_word(stem, (len(stem), weight, stem != word))
         for phrase in self.exceptions:
-            own.add_word(phrase, (len(phrase), None))
+            own.add_word(phrase, (len(phrase), None, False))
         own.make_automaton()
         return own
 
     def hits(self, automaton, folded: str) -> list[tuple[int, int, float]]:
-        """Start, end and weight of the whole words outside exception phrases."""
+        """Start, end and weight of the words and stems outside exception phrases."""
         found, spared, n = [], [], len(folded)
-        for end, (size, weight) in automaton.iter(folded):
+        for end, (size, weight, stem) in automaton.iter(folded):
             begin = end - size + 1
-            if (begin and "a" <= folded[begin - 1] <= "z") or (end + 1 < n and "a" <= folded[end + 1] <= "z"):
+            if (begin and "a" <= folded[begin - 1] <= "z") or (not stem and end + 1 < n and "a" <= folded[end + 1] <= "z"):
                 continue
             (spared if weight is None else found).append((begin, end + 1, weight))
         return [h for h in found if not any(s[0] <= h[0] and h[1] <= s[1] for s in spared)] if spared else found
@@ -112,6 +113,7 @@ def _counted(rows: DataFrame, terms) -> DataFrame:
     """term, toxic and clean: in how many texts of either kind terms(text) holds the term."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
         for batch in batches:
             for label, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -125,19 +127,50 @@ def _counted(rows: DataFrame, terms) -> DataFrame:
     return rows.mapInArrow(part, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
+def _terms(folded: str) -> set[str]:
+    """The words, and their beginnings of 4 to 8 letters as stems."""
+    words = set(WORD.findall(folded))
+    return words | {f"{word[:n]}*" for word in words for n in range(4, min(8, len(word) - 1) + 1)}
+
+
+def _chosen(found: dict[str, tuple[int, float]], least_toxic: int) -> dict[str, float]:
+    """Words and stems that tell toxic texts, from term to number of toxic texts and log odds. A stem is one only if it is
+    in half as many texts again as the most frequent of its words; of stems inside each other the longest that loses few
+    texts stays, and words that a stem covers go."""
+    words = {t: n for t, (n, _) in found.items() if t[-1] != "*"}
+    most: dict[str, int] = {}
+    for word, n in words.items():
+        for size in range(4, min(8, len(word)) + 1):
+            most[word[:size]] = max(n, most.get(word[:size], 0))
+    stems: list[str] = []
+    for stem in sorted((t[:-1] for t in found if t[-1] == "*"), key=lambda s: (len(s), s)):
+        n = found[f"{stem}*"][0]
+        if n < max(least_toxic, 1.5 * most.get(stem, 0)):
+            continue
+        above = next((s for s in stems if stem.startswith(s)), None)
+        if above is None:
+            stems.append(stem)
+        elif n >= 0.95 * found[f"{above}*"][0]:
+            stems[stems.index(above)] = stem
+    kept = [w for w, n in words.items() if n >= least_toxic and len(w) >= 3 and not any(w.startswith(s) for s in stems)]
+    return {t: found[t][1] for t in [*kept, *(f"{s}*" for s in stems)]}
+
+
 def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_terms: int = 500, least_share: float = 0.02, least_log_odds: float = 2.5) -> Lexicon:
-    """A lexicon of at most most_terms words: those in least_share of the toxic texts at least, with that log odds ratio."""
+    """A lexicon of at most most_terms words and stems: those in least_share of the toxic texts at least, with that log odds ratio."""
     rows = sample(docs, labels, most_rows)
     n = {int(r.toxic > 0): r.n for r in rows.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
     if not n.get(1) or not n.get(0):
         return Lexicon()
     odds = F.log((F.col("toxic") + 0.5) / (n[1] - F.col("toxic") + 0.5)) - F.log((F.col("clean") + 0.5) / (n[0] - F.col("clean") + 0.5))
-    words = _counted(rows, lambda folded: set(WORD.findall(folded)))
-    kept = words.filter(F.length("term") >= 3).filter(F.col("toxic") >= max(3, math.ceil(least_share * n[1]))).withColumn("odds", odds).filter(F.col("odds") >= least_log_odds)
-    lexicon = Lexicon({r.term: r.odds for r in kept.orderBy(F.desc("odds"), "term").limit(most_terms).collect()})
+    least = max(3, math.ceil(least_share * n[1]))
+    terms = _counted(rows, _terms).withColumn("odds", odds).filter(F.col("toxic") >= 2).filter(F.col("odds") >= least_log_odds)
+    found = {r.term: (r.toxic, r.odds) for r in terms.orderBy(F.desc("toxic"), "term").limit(100 * most_terms).collect()}
+    best = sorted(_chosen(found, least).items(), key=lambda t: (-t[1], t[0]))[:most_terms]
+    lexicon = Lexicon(dict(best))
     if not lexicon.weights:
         return lexicon
-    one = "|".join(map(re.escape, sorted(lexicon.weights, key=len, reverse=True)))
+    one = "|".join(re.escape(w.rstrip("*")) + ("[a-z]*" if w[-1] == "*" else "") for w in sorted(lexicon.weights, key=len, reverse=True))
     around = re.compile(rf"(?=((?<![a-z])[a-z]+ (?:{one})(?![a-z])))|(?=((?<![a-z])(?:{one}) [a-z]+(?![a-z])))")
     phrases = _counted(rows, lambda folded: {a or b for a, b in around.findall(folded)})
     kind = phrases.filter((F.col("clean") >= 5) & (F.col("clean") / n[0] > 4 * F.col("toxic") / n[1]))
@@ -156,9 +189,10 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_terms:
     x, y, w = np.array([r.x for r in found]), np.array([float(r.toxic > 0) for r in found]), np.array([float(r["count"]) for r in found])
     order = np.lexsort((y, *x.T))
     x, y, w, c = x[order], y[order], w[order], np.zeros(x.shape[1])
+    ridge = 0.05 * np.diag([0.0, 1.0, 1.0, 1.0])  # the intercept is free
     for _ in range(50):  # Newton's method with a small ridge
         p = 1 / (1 + np.exp(-np.clip(x @ c, -30, 30)))
-        step = np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + 0.5 * np.eye(len(c)), x.T @ (w * (y - p)) - 0.5 * c)
+        step = np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (w * (y - p)) - ridge @ c)
         c += np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-9:
             break
