@@ -251,3 +251,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = named.join(smallest, "root").select("class", "component_id")
     out = found.select("doc_id", "n_shingles", "class").join(named, "class", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce(F.coalesce("component_id", "doc_id") == F.col("doc_id"), F.lit(False)).alias("kept"))
+
+
+#: The same rows from all pairs that share a shingle, for small tables.
+SQL = r"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
+s as (select doc_id, unnest(list_distinct(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end)) s from d),
+n as (select doc_id, count(*) n from s group by doc_id),
+p as (select a.doc_id a, b.doc_id b, count(*) k from s a join s b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 75 * (x.n + y.n - k)),
+e as (select a, b from l union all select b, a from l),
+r as (select doc_id v, doc_id root from n union select e.b, r.root from r join e on r.v = e.a),
+c as (select v, min(root) root from r group by v)
+select d.doc_id, coalesce(n.n, 0)::bigint n_shingles, coalesce(c.root, d.doc_id) component_id, coalesce(c.root, d.doc_id) = d.doc_id kept from d left join n using (doc_id) left join c on c.v = d.doc_id"""

@@ -59,6 +59,7 @@ QUERIES = {f.__name__: f for f in (op1_hash_prefix_forest, op2_licence_scan, op3
 
 ORACLE_SQL = {
     "op2_licence_scan": licences.sql(),
+    "op3_near_duplicates": near_duplicates.SQL,
     "op4_warc": """
 with p as (select page_id, sha1(coalesce(html, '')) payload_digest, strlen(coalesce(html, ''))::bigint payload_bytes from pages),
 g as (select payload_digest, max(page_id) original from p where payload_bytes >= 1000 group by 1 having count(*) > 1)
