@@ -23,7 +23,7 @@ def test_without_the_llm_folders(monkeypatch):
     class Missing:
         def find_spec(self, name, path=None, target=None):
             if name.startswith("spanloom.llm"):
-                raise ModuleNotFoundError(f"No module named '{name}'", name=name)
+                raise ModuleNotFoundError("No module named 'spanloom.llm'", name="spanloom.llm")
 
     for name in [n for n in sys.modules if n.startswith(("spanloom.llm", "corpus_pipeline"))]:
         monkeypatch.delitem(sys.modules, name)
