@@ -18,6 +18,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -163,9 +164,10 @@ class Encoder:
     def _learn(self, words: list[str]) -> None:
         """Many words in one call, with a mark between them that is a token of its own and in none of them."""
         plain = [word for word in words if self.MARK not in word]
-        for at in range(0, len(plain), 4000):
-            some = plain[at : at + 4000]
-            ids = np.array(self.tokenizer.encode(f" {self.MARK} ".join(some), add_special_tokens=False).ids, self.form)
+        parts = [plain[at : at + 20_000] for at in range(0, len(plain), 20_000)]
+        joined = [f" {self.MARK} ".join(some) for some in parts]
+        for some, found in zip(parts, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, self.form)
             edges, packed, width = (np.nonzero(ids == self.mark)[0] * ids.itemsize).tolist(), ids.tobytes(), ids.itemsize
             begins, ends = [0, *(e + width for e in edges)], [*edges, len(packed)]
             self.words.update(zip(some, [packed[a:b] for a, b in zip(begins, ends, strict=True)], strict=True))
@@ -182,7 +184,7 @@ class Encoder:
         return WORDS.findall(text.lower())
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Packed ids of each text. A run of full stops and commas behind an ASCII letter or digit is always a piece of its own."""
+        """Packed ids of each text. A run of ASCII punctuation behind an ASCII letter or digit is always a piece of its own."""
         if len(self.words) >= self.most_words:  # what is used again is taken over from the generation before
             self.old, self.words = self.words, {}
         split = [self._words(text) for text in texts]
@@ -191,8 +193,9 @@ class Encoder:
             again = new.intersection(self.old)
             self.words.update(zip(again, map(self.old.__getitem__, again), strict=True))
             new -= again
-        stems = {word: stem for word in new if word[-1] in ".," and (stem := word.rstrip(".,")) and stem.isascii() and stem[-1].isalnum()}
+        stems = {word: stem for word in new if word[-1] in punctuation and (stem := word.rstrip(punctuation)) and stem.isascii() and stem[-1].isalnum()}
         parts = {part for word, stem in stems.items() for part in (stem, word[len(stem) :])}
+        self.words.update({part: self.old[part] for part in parts - self.words.keys() if part in self.old})
         self._learn(list((parts | (new - stems.keys())) - self.words.keys()))
         self.words.update({word: self.words[stem] + self.words[word[len(stem) :]] for word, stem in stems.items()})
         out = [b"".join(map(self.words.__getitem__, words)) for words in split]
