@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,29 +25,48 @@ SUFFIXES = ["'s", "'re", "'ve", "'ll", "'d", "'m", "n't"]
 _SPAN = [StructField("text", StringType()), StructField("start", IntegerType()), StructField("stop", IntegerType())]
 
 
-@F.pandas_udf(ArrayType(StructType(_SPAN)))
-def tokenize(x: pd.Series) -> pd.Series:
+def _nested(lists: list[int], columns: list[list], fields: list[StructField]) -> pa.Array:
+    """An array of lists of structs from flat columns, without an object for each struct."""
+    kinds = [pa.string() if f.dataType == StringType() else pa.int32() for f in fields]
+    structs = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [f.name for f in fields])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lists)]).astype(np.int32)), structs)
+
+
+@F.arrow_udf(ArrayType(StructType(_SPAN)))
+def tokenize(x: pa.Array) -> pa.Array:
     """Tokens of a text with their offsets."""
-    return x.map(lambda t: [(m[0], m.start(), m.end()) for m in _TOKEN.finditer(t)] if t else [])
+    sizes, texts, starts, stops = [], [], [], []
+    for text in x.to_pylist():
+        before = len(texts)
+        for m in _TOKEN.finditer(text or ""):
+            texts.append(m[0])
+            start, stop = m.span()
+            starts.append(start)
+            stops.append(stop)
+        sizes.append(len(texts) - before)
+    return _nested(sizes, [texts, starts, stops], _SPAN)
 
 
-@F.pandas_udf(ArrayType(StructType([*_SPAN, StructField("n_tokens", IntegerType())])))
-def split_sentences(x: pd.Series) -> pd.Series:
-    """Sentences with a token in them: trimmed text, offsets in the document and number of tokens."""
+_SENTENCE = [*_SPAN, StructField("n_tokens", IntegerType())]
 
-    def one(text):
-        out, at = [], 0
-        for cut in [*((m.start(), m.end()) for m in _END.finditer(text or "")), (len(text or ""), None)]:
-            part = (text or "")[at : cut[0]]
+
+@F.arrow_udf(ArrayType(StructType(_SENTENCE)))
+def split_sentences(x: pa.Array) -> pa.Array:
+    """Sentences with a token in them: trimmed text, offsets in the document and number of tokens."""
+    sizes, columns = [], [[], [], [], []]
+    for text in x.to_pylist():
+        text, at, before = text or "", 0, len(columns[0])
+        for stop, after in [*(m.span() for m in _END.finditer(text)), (len(text), None)]:
+            part = text[at:stop]
             own = part.strip()
-            n = sum(1 for _ in _TOKEN.finditer(own))
-            if own and n:
+            n = len(_TOKEN.findall(own))
+            if n:
                 start = at + len(part) - len(part.lstrip())
-                out.append((own, start, start + len(own), n))
-            at = cut[1]
-        return out
-
-    return x.map(one)
+                for column, value in zip(columns, (own, start, start + len(own), n), strict=True):
+                    column.append(value)
+            at = after
+        sizes.append(len(columns[0]) - before)
+    return _nested(sizes, columns, _SENTENCE)
 
 
 def sentence_texts(x: Column) -> Column:
@@ -84,8 +104,9 @@ def detokenize(tokens: Column) -> Column:
 
 def detokenized(rows: DataFrame, key: str, tokens: str) -> DataFrame:
     """key, token_index, text, start_char and end_char of each token in the detokenised text."""
-    own = rows.select(key, F.posexplode(tokens).alias("token_index", "text"), F.col(tokens).alias("__all"))
-    own = own.withColumn("__gap", F.length(_blank(F.when(F.col("token_index") > 0, F.get("__all", F.col("token_index") - 1)), F.col("text")))).drop("__all")
+    # the blank before each token is found inside the array, so that the rows carry nothing but their token
+    gap = lambda t, i: F.struct(t.alias("text"), F.length(_blank(F.when(i > 0, F.get(tokens, i - 1)), t)).alias("gap"))
+    own = rows.select(key, F.posexplode(F.transform(tokens, gap)).alias("token_index", "t")).select(key, "token_index", "t.text", F.col("t.gap").alias("__gap"))
     order = W.partitionBy(key).orderBy("token_index")
     stop = F.sum(F.col("__gap") + F.length("text")).over(order)
     return own.select(key, "token_index", "text", (stop - F.length("text")).cast("int").alias("start_char"), stop.cast("int").alias("end_char"))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 
 def violations(rows: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
@@ -34,6 +36,23 @@ def bad_span(text: Column, item: Column, check_text: bool = True) -> Column:
     return F.coalesce(bad | (F.substring(text, start + F.lit(1), stop - start) != item["text"]) if check_text else bad, F.lit(True))
 
 
+@F.arrow_udf(BooleanType())
+def _slices_differ(text: pa.Array, starts: pa.Array, stops: pa.Array, texts: pa.Array) -> pa.Array:
+    """Whether some span is out of range or its text is not the slice. Spark's substring walks a text from its start each
+    time, which is quadratic over a document's tokens; slices here are not."""
+    out = []
+    for t, a, b, x in zip(*(c.to_pylist() for c in (text, starts, stops, texts)), strict=True):
+        t = t or ""
+        out.append(any(i is None or j is None or not 0 <= i < j <= len(t) or (w is not None and t[i:j] != w) for i, j, w in zip(a or [], b or [], x or [], strict=True)))
+    return pa.array(out, pa.bool_())
+
+
+def bad_spans(text: Column, items: Column, check_text: bool = True) -> Column:
+    """``bad_span`` for any of an array of spans."""
+    texts = F.transform(items, lambda s: F.coalesce(s["text"], F.lit(""))) if check_text else F.transform(items, lambda s: F.lit(None).cast("string"))
+    return _slices_differ(text, F.transform(items, lambda s: s["start_char"]), F.transform(items, lambda s: s["end_char"]), texts)
+
+
 def document_violations(docs: DataFrame) -> DataFrame:
     """Ids, token order, spans in range and sorted, texts equal to their slices, and token and character ends that agree."""
     n = F.col("token_count")
@@ -41,7 +60,7 @@ def document_violations(docs: DataFrame) -> DataFrame:
     def edges(column: str, sort: bool, text: bool):
         items = F.col(column)
         out = F.exists(items, lambda s: ~((s["token_start"] >= 0) & (s["token_start"] < s["token_end_exclusive"]) & (s["token_end_exclusive"] <= n)))
-        off = F.exists(items, lambda s: bad_span(F.col("text"), s, text) | (s["start_char"] != F.get("tokens", s["token_start"])["start_char"]) | (s["end_char"] != F.get("tokens", s["token_end_exclusive"] - 1)["end_char"]))
+        off = bad_spans(F.col("text"), items, text) | F.exists(items, lambda s: (s["start_char"] != F.get("tokens", s["token_start"])["start_char"]) | (s["end_char"] != F.get("tokens", s["token_end_exclusive"] - 1)["end_char"]))
         unsorted = F.exists(F.transform(items, lambda s, i: (i > 0) & (s["token_start"] < F.get(items, i - 1)["token_start"])), lambda x: F.coalesce(x, F.lit(False)))
         return {f"{column}_range": out, f"{column}_boundary": off} | ({f"{column}_order": unsorted} if sort else {})
 
@@ -49,7 +68,7 @@ def document_violations(docs: DataFrame) -> DataFrame:
         "missing_id": F.col("doc_id").isNull(),
         "token_count": F.size("tokens") != n,
         "token_order": F.exists(F.transform("tokens", lambda t, i: t["token_index"] != i), lambda x: x),
-        "token_text": F.exists("tokens", lambda t: bad_span(F.col("text"), t)),
+        "token_text": bad_spans(F.col("text"), F.col("tokens")),
     }
     rules |= edges("sentences", True, True) | edges("sections", True, False) | edges("entities", False, True)
     return union(duplicates(docs, ["doc_id"], "duplicate_id"), violations(docs, "doc_id", rules))
@@ -72,8 +91,8 @@ def example_violations(examples: DataFrame, docs: DataFrame, bounds: dict[str, t
         "contiguous": F.exists(F.transform("sentences", lambda s, i: s["source_sentence_index"] != F.col("source_sentence_start") + i), lambda x: x),
         "window_text": F.col("text") != F.substring(F.col("__text"), first["start_char"] + F.lit(1), last["end_char"] - first["start_char"]),
         "bucket": ~inside,
-        "sentence_span": F.exists("sentences", lambda s: bad_span(F.col("text"), s)),
-        "entity_span": F.exists("entities", lambda e: bad_span(F.col("text"), e)),
+        "sentence_span": bad_spans(F.col("text"), F.col("sentences")),
+        "entity_span": bad_spans(F.col("text"), F.col("entities")),
         "entity_cut": F.exists("entities", lambda e: ~((e["source_token_start"] >= F.col("source_token_start")) & (e["source_token_start"] < e["source_token_end_exclusive"]) & (e["source_token_end_exclusive"] <= F.col("source_token_end_exclusive")))),
         "section_span": F.exists("sections", lambda s: bad_span(F.col("text"), s, False)),
     }
