@@ -10,6 +10,11 @@ of windows with one anchor occurrence is a record (a string of width to width +
   classes of equal windows; all but the first window of a class are repeats. Strings beyond the bounded size of one
   transform go through several, whose classes are then matched by the windows' hashes.
 
+An anchor that a task's fair share of records would not hold (one passage in a third of all documents) is dealt over
+several buckets by document. A sample of the documents tells which anchors these are; it decides where records go, never
+what is found. Each bucket then names the first window of each class, and these are matched between buckets by a
+128-bit hash of their bytes, which spreads them evenly.
+
 Buckets hold packed records; text moves only to be joined with what was found in it.
 
 Results on odd input: null and empty texts have no bytes and lose none, their digest is that of no bytes; texts shorter
@@ -38,12 +43,14 @@ RECORD = np.dtype([("anchor", "u8"), ("same", "u8"), ("left", "u4"), ("right", "
 MARK = "doc_key long, place long, anchor long"  # place: 256 * start + windows
 ONE_TRANSFORM = 2 << 20  # bytes
 _U = np.uint64
-_B = _U(0x9E3779B97F4A7C15)
-_INVERSE = _U(pow(int(_B), -1, 1 << 64))
+_B, _B2 = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F)
+FIRST = np.dtype([("h1", "u8"), ("h2", "u8"), ("doc", "i8"), ("start", "u4")])
+SAMPLE = 64  # one document in so many tells the frequent anchors
+Hot = tuple[np.ndarray, np.ndarray]  # sorted anchors, and over how many buckets each is dealt
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n + 1, _B), np.full(n + 1, _INVERSE)
+def _powers(n: int, base: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    up, down = np.full(n + 1, base), np.full(n + 1, _U(pow(int(base), -1, 1 << 64)))
     up[0] = down[0] = 1
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
@@ -51,8 +58,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Hashes:
     """Hashes of any substring of the data, from sums of powers."""
 
-    def __init__(self, data: np.ndarray):
-        up, self.down = _powers(len(data))
+    def __init__(self, data: np.ndarray, base: np.uint64 = _B):
+        up, self.down = _powers(len(data), base)
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + _U(1)) * up[:-1], out=self.sums[1:])
 
@@ -129,7 +136,40 @@ def _parts(texts: list[bytes], keys: list[int], width: int, most: int = 1 << 20)
         yield out()
 
 
-def _packed(docs: DataFrame, width: int, buckets: int) -> DataFrame:
+def _dealt(anchors: np.ndarray, docs: np.ndarray, hot: Hot, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of each record, and whether its anchor is dealt over several."""
+    own, parts = hot
+    at = np.minimum(np.searchsorted(own, anchors), max(0, len(own) - 1))
+    is_hot = (own[at] == anchors) if len(own) else np.zeros(len(anchors), bool)
+    bucket = anchors >> _U(20)
+    if is_hot.any():
+        salt = mix(docs[is_hot].astype(np.int64).view(np.uint64) + _B) % parts[at[is_hot]]
+        bucket[is_hot] += mix(anchors[is_hot] ^ (salt * _B2)) * (salt > 0)
+    return (bucket % _U(buckets)).astype(np.int32), is_hot
+
+
+def _hot(docs: DataFrame, width: int, buckets: int, least: int = 30) -> Hot:
+    """Anchors with more records than a bucket's share, by a sample of the documents: fewer than there are buckets."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in slices(batch, "text", 1 << 20):
+                for data, valid, _, _ in _parts(rows.column("text").cast(pa.binary()).to_pylist(), rows.column("doc_key").to_pylist(), width):
+                    _, _, anchor, same, _, _ = records(data, valid, width)
+                    own, counts = np.unique(anchor[np.unique(same, return_index=True)[1]], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(counts.astype(np.int64))], ["anchor", "n"])
+
+    sampled = docs.filter(F.pmod(F.xxhash64("doc_key"), F.lit(SAMPLE)) == 0).mapInArrow(part, "anchor long, n long")
+    counts = written(sampled.groupBy("anchor").agg(F.sum("n").alias("n")), "anchor-sample")
+    share = (counts.agg(F.sum("n")).first()[0] or 0) / buckets
+    rows = counts.filter(F.col("n") > max(share, least)).collect()
+    own = np.array([r.anchor for r in rows], np.int64).view(np.uint64)
+    parts = np.array([min(buckets, 1 + int(2 * r.n / max(share, 1))) for r in rows], np.uint64)
+    order = np.argsort(own)
+    return own[order], parts[order]
+
+
+def _packed(docs: DataFrame, width: int, buckets: int, hot: Hot) -> DataFrame:
     """bucket and records. Of equal strings within a slice only the first goes on; the others are marked at once (anchor 0)."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,14 +190,14 @@ def _packed(docs: DataFrame, width: int, buckets: int) -> DataFrame:
                 own = np.concatenate(found)
                 own = own[np.lexsort((own["start"], own["doc"], own["same"], own["anchor"]))]
                 again = np.concatenate([[False], (own["anchor"][1:] == own["anchor"][:-1]) & (own["same"][1:] == own["same"][:-1])])
-                bucket = (own["anchor"] >> _U(20)) % _U(buckets)
+                bucket, _ = _dealt(own["anchor"], own["doc"], hot, buckets)
                 own["same"][again] = 0  # a repeat of the one before it, unless that is the same place of a repeated row
                 same_place = np.concatenate([[False], (own["doc"][1:] == own["doc"][:-1]) & (own["start"][1:] == own["start"][:-1])]) & again
                 own, bucket = own[~same_place], bucket[~same_place]
                 order = np.argsort(bucket, kind="stable")
                 own, bucket = own[order], bucket[order]
                 cuts = np.concatenate([[0], np.nonzero(bucket[1:] != bucket[:-1])[0] + 1, [len(own)]])
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]].astype(np.int32)), pa.array([own[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())], ["bucket", "packed"])
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]]), pa.array([own[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())], ["bucket", "packed"])
 
     return docs.mapInArrow(part, "bucket int, packed binary")
 
@@ -168,7 +208,7 @@ def _marks(own: np.ndarray, opened: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(own["doc"]), pa.array(places), anchors], ["doc_key", "place", "anchor"])
 
 
-def _compare(packed: DataFrame) -> DataFrame:
+def _compare(packed: DataFrame, hot: Hot) -> DataFrame:
     """Marks: repeats of whole strings (anchor null), and strings whose windows must be compared (with their anchor)."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +226,7 @@ def _compare(packed: DataFrame) -> DataFrame:
             place = np.concatenate([[False], (own["doc"][1:] == own["doc"][:-1]) & (own["start"][1:] == own["start"][:-1])])[: len(own)]
             yield _marks(own[again & ~place], False)
             own = own[~again]
-            shared = np.zeros(len(own), bool)
+            shared = np.isin(own["anchor"], hot[0])  # other buckets may have their like
             for side in ("left", "right"):
                 has = np.nonzero(own[side])[0]
                 _, inverse, counts = np.unique(mix(own["anchor"][has] ^ (own[side][has].astype(np.uint64) * _B)), return_inverse=True, return_counts=True)
@@ -196,7 +236,7 @@ def _compare(packed: DataFrame) -> DataFrame:
     return packed.mapInArrow(part, MARK)
 
 
-def _fetched(docs: DataFrame, opened: DataFrame, width: int, buckets: int) -> DataFrame:
+def _fetched(docs: DataFrame, opened: DataFrame, width: int, buckets: int, hot: Hot) -> DataFrame:
     """bucket and strings: anchor, document, start and windows of each (a record) and their bytes, one after the other."""
     wanted = opened.groupBy("doc_key").agg(F.collect_list(F.struct("place", "anchor")).alias("marks")).select("doc_key", F.col("marks.place").alias("places"), F.col("marks.anchor").alias("anchors"))
 
@@ -209,9 +249,10 @@ def _fetched(docs: DataFrame, opened: DataFrame, width: int, buckets: int) -> Da
                     continue
                 seen.add(key)
                 text = text.encode()
-                for place, anchor in zip(places, anchors, strict=True):
+                to, _ = _dealt(np.array(anchors, np.int64).view(np.uint64), np.full(len(anchors), key, np.int64), hot, buckets)
+                for place, anchor, bucket in zip(places, anchors, to.tolist(), strict=True):
                     start, windows = place >> 8, place & 255
-                    by.setdefault(((anchor % (1 << 64)) >> 20) % buckets, []).append((anchor, key, start, windows, text[start : start + windows + width - 1]))
+                    by.setdefault(bucket, []).append((anchor, key, start, windows, text[start : start + windows + width - 1]))
             keys, heads, texts = [], [], []
             for bucket, items in by.items():
                 keys.append(bucket)
@@ -222,16 +263,17 @@ def _fetched(docs: DataFrame, opened: DataFrame, width: int, buckets: int) -> Da
     return docs.join(wanted, "doc_key").select("doc_key", "text", "places", "anchors").mapInArrow(part, "bucket int, heads binary, texts binary")
 
 
-def _hash_windows(strings: list[bytes], width: int) -> np.ndarray:
+def _hash_windows(strings: list[bytes], width: int, base: np.uint64 = _B) -> np.ndarray:
     data = np.frombuffer(b"".join(strings), np.uint8)
     sizes = np.array([len(s) for s in strings])
     begins = np.cumsum(sizes) - sizes
     starts = np.concatenate([np.arange(b, b + n - width + 1) for b, n in zip(begins.tolist(), sizes.tolist(), strict=True)])
-    return Hashes(data).of(starts, starts + width)
+    return Hashes(data, base).of(starts, starts + width)
 
 
-def repeated_windows(heads: np.ndarray, strings: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Document and start of the windows that also start earlier, among strings sorted by anchor."""
+def windows_by_class(heads: np.ndarray, strings: list[bytes], width: int) -> tuple[np.ndarray, ...]:
+    """Document, start and index among all windows of each window, and whether it also starts earlier, among strings sorted
+    by anchor; ordered by class, first windows first."""
     docs, starts, classes, base, a = [], [], [], 0, 0
     sizes = np.cumsum([len(s) for s in strings])
     edges = [*(np.nonzero(heads[1:, 0] != heads[:-1, 0])[0] + 1).tolist(), len(strings)]  # a transform ends with an anchor
@@ -266,10 +308,66 @@ def repeated_windows(heads: np.ndarray, strings: list[bytes], width: int) -> tup
     docs, starts, classes = docs[order], starts[order], classes[order]
     again = np.concatenate([[False], classes[1:] == classes[:-1]])
     again[1:] &= (docs[1:] != docs[:-1]) | (starts[1:] != starts[:-1])
+    return docs, starts, order, again
+
+
+def repeated_windows(heads: np.ndarray, strings: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Document and start of the windows that also start earlier."""
+    docs, starts, _, again = windows_by_class(heads, strings, width)
     return docs[again], starts[again]
 
 
-def _expanded(fetched: DataFrame, width: int) -> DataFrame:
+def _firsts(heads: np.ndarray, strings: list[bytes], width: int, firsts: np.ndarray, docs: np.ndarray, starts: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """The first windows of classes under the hashes of their bytes, for the buckets in which they are matched."""
+    own = np.empty(len(firsts), FIRST)
+    own["h1"], own["h2"] = _hash_windows(strings, width)[firsts], _hash_windows(strings, width, _B2)[firsts]
+    own["doc"], own["start"] = docs, starts
+    bucket = ((own["h1"] >> _U(17)) % _U(buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    own, bucket = own[order], bucket[order]
+    cuts = np.concatenate([[0], np.nonzero(bucket[1:] != bucket[:-1])[0] + 1, [len(own)]])
+    n = len(cuts) - 1
+    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(bucket[cuts[:-1]]), pa.array([own[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())], EXPANDED)
+
+
+def _runs(docs: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
+    """Marks of windows, those in a row together."""
+    order = np.lexsort((starts, docs))
+    docs, starts = docs[order], starts[order]
+    edge = np.nonzero(np.concatenate([[True], (docs[1:] != docs[:-1]) | (starts[1:] != starts[:-1] + 1)])[: len(docs)])[0]
+    count = np.diff(np.concatenate([edge, [len(docs)]]))
+    times = -(-count // 255)  # a place holds up to 255 windows
+    nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    begin, left = np.repeat(starts[edge], times) + 255 * nth, np.repeat(count, times) - 255 * nth
+    n = len(begin)
+    return pa.RecordBatch.from_arrays([pa.array(np.repeat(docs[edge], times)), pa.array((begin << 8) | np.minimum(left, 255)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], EXPANDED)
+
+
+EXPANDED = ["doc_key", "place", "bucket", "packed"]
+EXPANDED_SCHEMA = "doc_key long, place long, bucket int, packed binary"
+
+
+def _matched(firsts: DataFrame) -> DataFrame:
+    """Marks of the first windows that start earlier in another bucket."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("packed").to_pylist(), strict=True):
+                held.setdefault(bucket, []).append(blob)
+        for bucket in sorted(held):
+            own = np.frombuffer(b"".join(held.pop(bucket)), FIRST)
+            own = own[np.lexsort((own["start"], own["doc"], own["h2"], own["h1"]))]
+            again = np.concatenate([[False], (own["h1"][1:] == own["h1"][:-1]) & (own["h2"][1:] == own["h2"][:-1])])
+            again[1:] &= (own["doc"][1:] != own["doc"][:-1]) | (own["start"][1:] != own["start"][:-1])
+            yield _runs(own["doc"][again], own["start"][again].astype(np.int64))
+
+    return firsts.mapInArrow(part, EXPANDED_SCHEMA)
+
+
+def _expanded(fetched: DataFrame, width: int, buckets: int, hot: Hot) -> DataFrame:
+    """Marks of windows that start earlier in the bucket (doc_key and place), and packed first windows of dealt anchors."""
+
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[bytes, bytes]]] = {}
         for batch in batches:
@@ -281,20 +379,15 @@ def _expanded(fetched: DataFrame, width: int) -> DataFrame:
             joined, ends = b"".join(t for _, t in own), np.cumsum(heads[:, 3] + width - 1).tolist()
             strings = [joined[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
             order = np.lexsort((heads[:, 2], heads[:, 1], heads[:, 0]))
-            docs, starts = repeated_windows(heads[order], [strings[i] for i in order.tolist()], width)
-            order = np.lexsort((starts, docs))
-            docs, starts = docs[order], starts[order]
-            if not len(docs):
-                continue
-            edge = np.nonzero(np.concatenate([[True], (docs[1:] != docs[:-1]) | (starts[1:] != starts[:-1] + 1)]))[0]
-            count = np.diff(np.concatenate([edge, [len(docs)]]))
-            # a place holds up to 255 windows
-            times = -(-count // 255)
-            nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            begin, left = np.repeat(starts[edge], times) + 255 * nth, np.repeat(count, times) - 255 * nth
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(docs[edge], times)), pa.array((begin << 8) | np.minimum(left, 255)), pa.nulls(len(begin), pa.int64())], ["doc_key", "place", "anchor"])
+            heads, strings = heads[order], [strings[i] for i in order.tolist()]
+            docs, starts, index, again = windows_by_class(heads, strings, width)
+            yield _runs(docs[again], starts[again])
+            _, is_hot = _dealt(heads[:, 0].view(np.uint64), heads[:, 1], hot, buckets)
+            first = ~again & np.repeat(is_hot, heads[:, 3])[index] if is_hot.any() else np.zeros(0, bool)
+            if first.any():
+                yield _firsts(heads, strings, width, index[first], docs[first], starts[first], buckets)
 
-    return fetched.mapInArrow(part, MARK)
+    return fetched.mapInArrow(part, EXPANDED_SCHEMA)
 
 
 def _keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
@@ -320,10 +413,14 @@ def marked(docs: DataFrame, width: int = 100) -> DataFrame:
         docs = written(docs, "documents")
     texts = docs.select(F.col("__doc_key").alias("doc_key"), F.coalesce("text", F.lit("")).alias("text")).filter(F.octet_length("text") >= width)
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    compared = written(_compare(_packed(texts, width, buckets).repartition(buckets, "bucket")), "repeat-marks")
+    hot = _hot(texts, width, buckets)
+    compared = written(_compare(_packed(texts, width, buckets, hot).repartition(buckets, "bucket"), hot), "repeat-marks")
     opened = compared.filter("anchor is not null")
-    expanded = _expanded(_fetched(texts, opened, width, buckets).repartition(buckets, "bucket"), width)
-    marks = compared.filter("anchor is null").unionByName(written(expanded, "window-marks"))
+    expanded = written(_expanded(_fetched(texts, opened, width, buckets, hot).repartition(buckets, "bucket"), width, buckets, hot), "window-marks")
+    marks = compared.filter("anchor is null").select("doc_key", "place").unionByName(expanded.filter("packed is null").select("doc_key", "place"))
+    if len(hot[0]):
+        between = _matched(expanded.filter("packed is not null").select("bucket", "packed").repartition(buckets, "bucket"))
+        marks = marks.unionByName(between.select("doc_key", "place"))
     places = marks.groupBy(F.col("doc_key").alias("__doc_key")).agg(F.collect_list("place").alias("__places"))
     return docs.join(places, "__doc_key", "left")
 

@@ -110,3 +110,26 @@ def test_cut_characters(spark):
     docs = [(1, base), (2, "a" + base)]
     got = {r.doc_id: r.text for r in repeats.without_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got[2] == "a" and got[1].startswith("é")
+
+
+def every_anchor(docs, width=100):
+    texts = [(t or "").encode() for _, t in docs]
+    found = [repeats.records(data, valid, width)[2] for data, valid, _, _ in repeats._parts(texts, list(range(len(texts))), width)]
+    own = np.unique(np.concatenate(found))
+    return own, np.full(len(own), 3, np.uint64)
+
+
+def test_frequent_anchors_over_several_buckets(spark, monkeypatch):
+    """With every anchor dealt over three buckets the report stays the same."""
+    docs = corpus(seed=4)
+    hot = every_anchor(docs)
+    monkeypatch.setattr(repeats, "_hot", lambda *_: hot)
+    assert result(repeats.report(spark.createDataFrame(docs, "doc_id long, text string").repartition(4))) == brute(docs)
+
+
+def test_sample_finds_frequent_anchors(spark, monkeypatch):
+    docs = corpus(n=150)
+    monkeypatch.setattr(repeats, "SAMPLE", 1)
+    rows = spark.createDataFrame(docs, "doc_key long, text string").repartition(30)
+    own, parts = repeats._hot(rows, 100, 200, least=15)
+    assert 0 < len(own) < 200 and (np.diff(own.astype(object)) > 0).all() and parts.min() >= 2
