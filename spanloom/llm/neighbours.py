@@ -8,7 +8,7 @@ candidates. Their distances are computed exactly, in double precision, and the b
 Queries form blocks too. Each block of vectors meets each block of queries once, in a join on a block number that is
 salted over the partitions; no task needs more than one block of either at a time.
 
-Results on odd input: vectors that are null, zero, of another length than the first or hold null or non-finite
+Results on odd input: vectors that are null, zero, of another length than most or hold null or non-finite
 components take no part; with fewer candidates than k a query gets them all; ties go to the smaller id; rows that repeat
 an id are all candidates, except for a query with that id; a repeated query is answered once; other columns are ignored.
 """
@@ -109,10 +109,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, trees: int = 48,
     vectors without structure in many dimensions have neighbours that are hardly nearer than the rest.
     """
     spark = vectors.sparkSession
-    first = vectors.select(F.size("v").alias("n")).first()
-    if first is None:
+    lengths = vectors.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "n").first()
+    if lengths is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dimension = first.n
+    dimension = lengths.n
     salts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = _blocks(vectors, dimension, most_rows).withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int"))
     asked = _blocks(queries.dropDuplicates(["vec_id"]).coalesce(max(1, salts // 4)), dimension, 1024).select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))

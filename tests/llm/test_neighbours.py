@@ -45,7 +45,7 @@ def test_all_candidates_is_exact(spark):
 
 def test_odd_vectors(spark):
     rows = spark.createDataFrame(
-        [(0, [1.0, 0.0]), (100, [1.0, 0.5]), (1, None), (2, [0.0, 0.0]), (3, [None, 1.0]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, [3.0, 0.0]), (None, [1.0, 1.0])], "vec_id long, embedding array<float>"
+        [(0, [1.0, 0.0]), (100, [1.0, 0.5]), (1, None), (2, [0.0, 0.0]), (3, [None, 1.0]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, [3.0, 0.0]), (None, [1.0, 1.0]), (200, [1.0]), (7, [1.0, 0.0, 0.0])], "vec_id long, embedding array<float>"
     )
     got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in neighbours.nearest(rows).collect())
     assert got == [(0, 1, 100, 0.5), (0, 2, 6, 2.0), (100, 1, 0, 0.5), (100, 2, 6, float(np.sqrt(4.25)))]
