@@ -3,7 +3,8 @@
 Every block of vectors has a forest of its own: for each tree the vectors' hash strings (signs of random projections,
 packed into 64-bit words) in sorted order. A query descends in all trees at once to the longest prefixes that match and
 then ascends level by level, in step, taking in the rows whose prefixes match in any tree, until it has its share of
-candidates. Their distances are computed exactly, in double precision, and the best of each block are merged.
+candidates. Equal vectors stand in the forest once and count once towards the share, and all of them are candidates when
+one is. Distances are computed exactly, in double precision, and the best of each block are merged.
 
 Queries form blocks too. Each block of vectors meets each block of queries once, in a join on a block number that is
 salted over the partitions; no task needs more than one block of either at a time.
@@ -62,9 +63,15 @@ def _blocks(rows: DataFrame, dimension: int, most_rows: int) -> DataFrame:
 class Forest:
     def __init__(self, vectors: np.ndarray, trees: int, bits: int, seed: int = 20_240_601):
         rng = np.random.default_rng(seed)
+        packed = np.ascontiguousarray(vectors + 0.0).view(f"V{vectors.shape[1] * vectors.itemsize}").ravel()  # + 0.0: one zero
+        _, first, self.of = np.unique(packed, return_index=True, return_inverse=True)
+        vectors = vectors[first]
         self.planes = [rng.standard_normal((vectors.shape[1], bits)) for _ in range(trees)]
         self.bits, self.order, self.sorted = bits, [], []
         for strings in self._strings(vectors):
+            if not self.order:
+                names, self.string = np.unique(strings, return_inverse=True)
+                self.n_strings = len(names)
             order = np.argsort(strings, kind="stable")
             self.order.append(order)
             self.sorted.append(strings[order])
@@ -74,9 +81,18 @@ class Forest:
         for planes in self.planes:
             yield ((vectors @ planes > 0) * weights).sum(1, dtype=np.uint64)
 
-    def candidates(self, queries: np.ndarray, least: int) -> Iterator[np.ndarray]:
-        """For each query the rows that match it in some tree at the deepest level that gives ``least`` rows or more."""
+    def _enough(self, seen: np.ndarray, least: int, share: float) -> bool:
+        if np.count_nonzero(seen) < min(least, len(seen)):
+            return False
+        strings = np.zeros(self.n_strings, bool)
+        strings[self.string[seen]] = True
+        return np.count_nonzero(strings) >= int(share * self.n_strings)
+
+    def candidates(self, queries: np.ndarray, least: int, share: float = 0.0) -> Iterator[np.ndarray]:
+        """For each query the rows that match it in some tree at the deepest level that gives, in distinct vectors, ``least``
+        and ``share`` of all or more, and ``share`` of the first tree's full hash strings, of which near copies have few."""
         n, depths = len(self.sorted[0]), range(self.bits, -1, -1)
+        least = max(least, int(share * n))
         strings = list(self._strings(queries))
         low = np.empty((len(strings), self.bits + 1, len(queries)), np.int64)
         high = np.empty_like(low)
@@ -96,16 +112,16 @@ class Forest:
                 seen = np.zeros(n, bool)
                 for t in range(len(strings)):
                     seen[self.order[t][low[t, depth, q] : high[t, depth, q]]] = True
-                if depth == 0 or np.count_nonzero(seen) >= min(least, n):
+                if depth == 0 or self._enough(seen, least, share):
                     break
                 depth -= 1
-            yield np.nonzero(seen)[0]
+            yield np.nonzero(seen[self.of])[0]
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, trees: int = 48, bits: int = 24, share: float = 0.4, most_rows: int = 8192) -> DataFrame:
     """query_id, rank, vec_id and score (Euclidean distance). vectors and queries have vec_id and v (see ``valid``).
 
-    share: of a block's rows, the part to take as candidates at least. It sets the recall; it is high by default because
+    share: of a block's distinct vectors, the part to take as candidates at least. It sets the recall; it is high by default because
     vectors without structure in many dimensions have neighbours that are hardly nearer than the rest.
     """
     spark = vectors.sparkSession
@@ -127,7 +143,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, trees: int = 48,
                     forest = Forest(own, trees, bits)
                 asked_ids, asked_own = np.frombuffer(q_ids, "i8"), np.frombuffer(q_packed, "f8").reshape(-1, dimension)
                 out: list[list] = [[], [], []]
-                for q, rows_found in enumerate(forest.candidates(asked_own, max(4 * k, int(share * len(own))))):
+                for q, rows_found in enumerate(forest.candidates(asked_own, 4 * k, share)):
                     rows_found = rows_found[own_ids[rows_found] != asked_ids[q]]
                     score = np.sqrt(((own[rows_found] - asked_own[q]) ** 2).sum(1))
                     if len(score) > k:

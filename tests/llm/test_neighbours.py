@@ -63,6 +63,45 @@ def test_longest_prefix_first():
     assert len(every) == 500
 
 
+def _with_copies(n, part, noise=0.0):
+    """Unit vectors in 64 dimensions of which the first part are copies of one."""
+    rng = np.random.default_rng(3)
+    own = rng.standard_normal((n, 64))
+    copies = int(n * part)
+    own[:copies] = own[0] + noise * rng.standard_normal((copies, 64))
+    return own / np.linalg.norm(own, axis=1, keepdims=True), copies
+
+
+def test_copies_count_once():
+    own, copies = _with_copies(2400, 1 / 3)
+    forest = neighbours.Forest(own, 48, 24)
+    for found in forest.candidates(own[copies::40], 40, 0.4):
+        assert len(np.unique(own[found], axis=0)) >= int(0.4 * (len(own) - copies + 1))
+        assert np.count_nonzero(found < copies) in (0, copies)
+    signed = neighbours.Forest(np.array([[0.0, 1.0], [-0.0, 1.0], [1.0, 1.0]]), 2, 8)
+    assert len(signed.sorted[0]) == 2
+
+
+def test_recall_beside_copies(spark):
+    """Queries outside a group of copies keep their recall, whether the copies are exact or near."""
+    for part, noise in ((1 / 3, 0.0), (0.8, 0.0), (0.8, 0.01)):
+        own, copies = _with_copies(5000, part, noise)
+        order = np.random.default_rng(5).permutation(len(own))
+        own = own[order]
+        rows = spark.createDataFrame([(i, own[i].astype("f4").tolist()) for i in range(len(own))], "vec_id long, embedding array<float>").coalesce(1)
+        want = _brute(own, 50, 10)
+        hits = asked = 0
+        got = {}
+        for r in neighbours.nearest(rows, divisor=50).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        for q, found in got.items():
+            if order[q] >= copies:
+                asked, hits = asked + 10, hits + len(found & {i for _, i in want[q]})
+            elif not noise:
+                assert found == {i for _, i in want[q]}
+        assert asked >= 100 and hits / asked >= 0.9
+
+
 def test_query_of_entry(spark, sf):
     from spanloom.llm.queries import QUERIES
     from spanloom.runtime import table
