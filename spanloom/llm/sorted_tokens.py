@@ -7,7 +7,8 @@ are the ids, in two bytes each where the vocabulary allows. ``Shard.get`` finds
 search in the index and one block.
 
 Results on odd input: a null text counts as empty and gets the end id alone; a null doc_id sorts before all others;
-rows that repeat a doc_id are all kept, ordered by text; no documents give no shard; other columns are ignored.
+rows that repeat a doc_id are all kept, ordered by text; no documents give no shard; other columns are ignored; the
+content of an added token in a text, such as <|endoftext|>, is that token, as by the library's default.
 """
 
 from __future__ import annotations
@@ -144,23 +145,33 @@ class Shard:
 
 
 class Encoder:
-    """The tokenizers library with a memo of words between ASCII white space, which its patterns never join."""
+    """The tokenizers library with a memo of words between ASCII white space, which its patterns never join.
+
+    split_special: added tokens in a text are split like any other characters, the library's encode_special_tokens. Where
+    it is False, the library's default, texts that hold the content of one are encoded whole by the library.
+    """
 
     MARK = "|"
 
-    def __init__(self, path: str, most_words: int = 500_000):
+    def __init__(self, path: str, most_words: int = 500_000, split_special: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has given out the cores
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = split_special
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.wide = self.tokenizer.get_vocab_size() > 65_536
         (self.mark,) = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
+        self.added = None if split_special else self._added()
         self.old = {}
         self.form, self.most_words, self.words = "<u4" if self.wide else "<u2", most_words, {}
 
+    def _added(self) -> re.Pattern | None:
+        """Finds the added tokens in any case, as the library may look for them before or after it lowers the text."""
+        contents = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
+        return re.compile("|".join(map(re.escape, contents)), re.IGNORECASE) if contents else None
+
     def _learn(self, words: list[str]) -> None:
         """Many words in one call, with a mark between them that is a token of its own and in none of them."""
         plain = [word for word in words if self.MARK not in word]
@@ -173,7 +184,10 @@ class Encoder:
             self.words.update(zip(some, [packed[a:b] for a, b in zip(begins, ends, strict=True)], strict=True))
         for word in words:
             if self.MARK in word:
-                self.words[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.form).tobytes()
+                self.words[word] = self._packed(word)
+
+    def _packed(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.form).tobytes()
 
     def _words(self, text: str) -> list[str]:
         """Lower case where that is what the library does to each character anyway, so that spellings share an entry."""
@@ -187,7 +201,8 @@ class Encoder:
         """Packed ids of each text. A run of ASCII punctuation behind an ASCII letter or digit is always a piece of its own."""
         if len(self.words) >= self.most_words:  # what is used again is taken over from the generation before
             self.old, self.words = self.words, {}
-        split = [self._words(text) for text in texts]
+        whole = {} if self.added is None else {i: self._packed(text) for i, text in enumerate(texts) if self.added.search(text)}
+        split = [[] if i in whole else self._words(text) for i, text in enumerate(texts)]
         new = set().union(*split).difference(self.words)
         if self.old:
             again = new.intersection(self.old)
@@ -198,7 +213,7 @@ class Encoder:
         self.words.update({part: self.old[part] for part in parts - self.words.keys() if part in self.old})
         self._learn(list((parts | (new - stems.keys())) - self.words.keys()))
         self.words.update({word: self.words[stem] + self.words[word[len(stem) :]] for word, stem in stems.items()})
-        out = [b"".join(map(self.words.__getitem__, words)) for words in split]
+        out = [whole[i] if i in whole else b"".join(map(self.words.__getitem__, words)) for i, words in enumerate(split)]
         for word in new | parts:
             if len(word) > 48:
                 del self.words[word]
@@ -206,7 +221,7 @@ class Encoder:
 
 
 def encoder(path: str) -> Encoder:
-    return cached(("sorted_tokens", path), lambda: Encoder(path))
+    return cached(("sorted_tokens", path), lambda: Encoder(path, split_special=False))
 
 
 def write_shards(docs: DataFrame, path: str, to: str, end_id: int = 2) -> DataFrame:

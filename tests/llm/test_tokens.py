@@ -81,6 +81,32 @@ def test_token_rows(spark):
     assert sorted_tokens.tokenised(documents(spark).limit(0), WORDS).count() == 0
 
 
+SPECIAL = ["foo <|endoftext|> x<|startoftext|>", "<|endoftext|>", "A<|endoftext|>, B <|ENDOFTEXT|>", "<|EndOfText|> only", "naïve 中<|startoftext|><|startoftext|>é", "<|endoftext| >", "<| endoftext|>", "x <|endoftext|\n>", "a <|endoftext|>.\tb"]
+
+
+def test_added_tokens_by_the_librarys_default():
+    library = Tokenizer.from_file(WORDS)
+    own = sorted_tokens.Encoder(WORDS, most_words=20, split_special=False)
+    assert library.encode(SPECIAL[0], add_special_tokens=False).ids == [23435, 49407, 343, 49406]
+    texts = [*HARD, *SPECIAL, " ".join(SPECIAL), LONG[:5000], *SPECIAL]
+    want = []
+    for text in texts:
+        ids = library.encode(text, add_special_tokens=False).ids
+        want.append(struct.pack(f"<{len(ids)}H", *ids))
+        assert own.encode([text]) == [want[-1]]
+    assert own.encode(texts) == want
+
+
+def test_token_rows_with_added_tokens(spark):
+    library, docs, start, want = Tokenizer.from_file(WORDS), [*enumerate(SPECIAL), (100, "plain words"), (101, None)], 0, []
+    for doc_id, text in docs:
+        ids = [*library.encode(text or "", add_special_tokens=False).ids, 2]
+        want.append((doc_id, start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))))
+        start += len(ids)
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(map(tuple, sorted_tokens.tokenised(rows, WORDS).collect())) == want
+
+
 @pytest.mark.parametrize("wide", [False, True])
 def test_shard_lookup(wide):
     out, width = io.BytesIO(), 4 if wide else 2
