@@ -2,7 +2,8 @@
 
 A text is brought to a canonical form (lower case, copyright lines dropped, equivalent spellings made one, all but
 letters and digits turned into single blanks), and its SHA-256 is joined with the digests of known licences. The whole
-text and each of its lines are looked up. The table of known texts is a literal of fixed size, so it is broadcast.
+text and each of its lines are looked up. The table of known texts is a literal of fixed size, or one that the caller
+gives, of a size to broadcast.
 
 Results on odd input: a null text counts as empty; an empty canonical form has a digest and no licence; repeated
 documents each get their row, with the lines of all rows of their id; other columns are ignored.
@@ -10,6 +11,9 @@ documents each get their row, with the lines of all rows of their id; other colu
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,7 +57,7 @@ KNOWN = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "Licensed under CC0 1.0."),
 ]
-#: A line without this is none of the known ones, so it isn't hashed.
+#: A line without this is none of the known ones that have such a word; ``_may_be_known`` sees to the others.
 TRIGGER = "(?i)licen[sc]"
 
 
@@ -70,16 +74,36 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
-def known(spark) -> DataFrame:
-    rows = spark.createDataFrame(KNOWN, "licence string, __text string").select("licence", digest(F.col("__text")).alias("digest"))
-    return rows.groupBy("digest").agg(F.min("licence").alias("licence"))
+def known(spark, texts: list[tuple[str, str]]) -> DataFrame:
+    rows = spark.createDataFrame(texts, "licence string, __text string").select("licence", canonical(F.col("__text")).alias("form"))
+    return rows.filter("form <> ''").groupBy("form").agg(F.min("licence").alias("licence")).select("form", F.sha2("form", 256).alias("digest"), "licence")
+
+
+def _anchor(form: str) -> str | None:
+    """The longest word of a canonical form that no respelling makes, so that lines of this form have it, too."""
+    made = {piece for form_, to in SPELLINGS if form_ != to for piece in to.replace("://", " ").replace("-", " ").split()}
+    words = [word for word in form.split() if word.isascii() and not any(piece in word for piece in made)]
+    return max(words, key=lambda word: (len(word), word), default=None)
+
+
+def _may_be_known(forms: list[str]) -> Callable[[Column], Column]:
+    """The filter of the texts and lines to look up: they have the trigger or the anchor of a form that lacks it."""
+    anchors = {_anchor(form) for form in forms if "licens" not in form}
+    if None in anchors:
+        return lambda text: F.lit(True)
+    return lambda text: functools.reduce(Column.__or__, [F.contains(F.lower(text), F.lit(word)) for word in sorted(anchors)], text.rlike(TRIGGER))
+
 
+def scan(docs: DataFrame, texts: list[tuple[str, str]] = KNOWN) -> DataFrame:
+    """For each document its digest, the licence that its whole text is, and those that lines of it are.
 
-def scan(docs: DataFrame) -> DataFrame:
-    """For each document its digest, the licence that its whole text is, and those that lines of it are."""
-    table = F.broadcast(known(docs.sparkSession))  # as many rows as KNOWN has
+    texts: identifiers and texts of the licences and statements to know.
+    """
+    forms = known(docs.sparkSession, texts)
+    table = F.broadcast(forms.select("digest", "licence"))  # as many rows as texts has
+    looked_up = _may_be_known([r.form for r in forms.collect()])
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    lines = own.filter(F.col("text").rlike(TRIGGER)).select("doc_id", F.explode(F.filter(F.split("text", "\n"), lambda line: line.rlike(TRIGGER))).alias("line"))
+    lines = own.filter(looked_up(F.col("text"))).select("doc_id", F.explode(F.filter(F.split("text", "\n"), looked_up)).alias("line"))
     hits = lines.select("doc_id", digest(F.col("line")).alias("digest")).join(table, "digest").groupBy("doc_id")
     hits = hits.agg(F.array_join(F.array_sort(F.collect_set("licence")), ",").alias("line_licences"), F.count("*").alias("n_licence_lines"))
     whole = own.select("doc_id", digest(F.col("text")).alias("digest")).join(table, "digest", "left")

@@ -34,6 +34,23 @@ def test_every_known_line_has_the_trigger():
     assert all(re.search(licences.TRIGGER, text) for _, text in licences.KNOWN if "\n" not in text)
 
 
+def test_lines_without_the_trigger(spark):
+    body = " ".join(licences._ISC_BODY.split("\n"))
+    rows = [(1, f"Prose.\n// {body.upper()}\nend"), (2, body), (3, body.replace("LIABLE", "liable in part") + "\nMERCHANTABILITY"), (4, None)]
+    got = {r.doc_id: r for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(got[i].text_licence, got[i].line_licences, got[i].n_licence_lines) for i in range(1, 5)] == [(None, "ISC", 1), ("ISC", "ISC", 1), (None, "", 0), (None, "", 0)]
+
+
+def test_every_known_text_is_looked_up(spark):
+    """Also in other spellings, and with a table of the caller."""
+    own = [("A", "Free of terms whatsoever"), ("B", "Copyright holder http://favor.x"), ("C", "You may fulfil the judgement"), ("D", "License D"), ("E", "")]
+    for texts, respelled in ((licences.KNOWN, []), (own, [("B", "text: copyright owner"), ("C", "YOU MAY FULFILL the judgment!"), ("D", "LICENCE d")]), (own[2:], [("C", "you may fulfill, the judgement")]), ([("F", "favour licence"), ("G", "favour")], [("G", "Favor")])):
+        asked = [(name, " ".join(text.split("\n"))) for name, text in [*texts, *respelled] if text and not text.startswith(("Copyright", "text:"))]
+        rows = [(i, f"before\n{line}\nafter") for i, (_, line) in enumerate(asked)]
+        got = {r.doc_id: r.line_licences for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string"), texts).collect()}
+        assert got == {i: name for i, (name, _) in enumerate(asked)}
+
+
 def test_sql_agrees(spark, sf):
     want = duckdb.sql(licences.sql().replace(" documents", f" '{sf}/documents.parquet'")).fetchall()
     got = licences.scan(spark.read.parquet(f"{sf}/documents.parquet")).collect()
