@@ -24,10 +24,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the smallest id. Documents without words stay."""
+    """One document of each group of near copies: that with the smallest id. Documents without words stay, and those
+    without an id that are linked to none with one."""
     ensure_workers(spark)
-    kept = near_duplicates.near_duplicates(docs).filter("kept or component_id is null").select("doc_id").distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi")
+    kept = near_duplicates.labelled(docs).filter("kept or component_id is null").select(F.col("row_key").alias("__row"))
+    return docs.join(kept.distinct(), near_duplicates.row_key() == F.col("__row"), "left_semi")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import written
@@ -93,8 +93,13 @@ def _rid(shingles: np.ndarray) -> tuple[bytes, int]:
     return digest, int.from_bytes(digest[:8], "little", signed=True)
 
 
+def row_key() -> Column:
+    """Tells rows of docs apart that have no id, or the same, unless their texts are the same, too."""
+    return F.xxhash64("doc_id", "text").alias("row_key")
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, class (null without shingles) and registers."""
+    """doc_id, n_shingles, class (null without shingles), registers and row_key."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
@@ -103,11 +108,11 @@ def signatures(docs: DataFrame) -> DataFrame:
                 own = sets(rows.column("text").cast(pa.binary()).to_pylist())
                 classes = [_rid(s)[1] if len(s) else None for s in own]
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("doc_id"), pa.array([len(s) for s in own], pa.int64()), pa.array(classes, pa.int64()), pa.array([sketch(s).tobytes() if len(s) else None for s in own], pa.binary())],
-                    ["doc_id", "n_shingles", "class", "registers"],
+                    [rows.column("doc_id"), pa.array([len(s) for s in own], pa.int64()), pa.array(classes, pa.int64()), pa.array([sketch(s).tobytes() if len(s) else None for s in own], pa.binary()), rows.column("row_key")],
+                    ["doc_id", "n_shingles", "class", "registers", "row_key"],
                 )
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(part, "doc_id long, n_shingles long, class long, registers binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key()).mapInArrow(part, "doc_id long, n_shingles long, class long, registers binary, row_key long")
 
 
 def _banded(classes: DataFrame) -> DataFrame:
@@ -133,7 +138,17 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 right = [(c, s.tobytes()) for c, s in zip(rows.column("class").to_pylist(), own, strict=True) if len(s) and _rid(s)[1] == c]
                 yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in right], pa.int64()), pa.array([s for _, s in right], pa.binary())], ["class", "set"])
 
-    found = docs.selectExpr("cast(doc_id as long) doc_id", "text").join(wanted, "doc_id").select("class", "text").mapInArrow(part, "class long, set binary")
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in slices(batch, "text", 1 << 20):
+                own = [s for s in sets(rows.column("text").cast(pa.binary()).to_pylist()) if len(s)]
+                yield pa.RecordBatch.from_arrays([pa.array([_rid(s)[1] for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())], ["class", "set"])
+
+    own = docs.selectExpr("cast(doc_id as long) doc_id", "text")
+    found = own.join(wanted, "doc_id").select("class", "text").mapInArrow(part, "class long, set binary")
+    # a null id names no row, so the classes that have no other are found by the sets of all rows without an id
+    unnamed = own.filter("doc_id is null").select("text").mapInArrow(every, "class long, set binary")
+    found = found.unionByName(unnamed.join(wanted.filter("doc_id is null").select("class"), "class", "left_semi"))
     return found.groupBy("class").agg(F.first("set").alias("set"))
 
 
@@ -242,6 +257,11 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs."""
+    return labelled(docs).drop("row_key")
+
+
+def labelled(docs: DataFrame) -> DataFrame:
+    """The same with row_key."""
     found = written(signatures(docs), "signatures")
     classes = found.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("first_doc"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
     classes = written(classes, "classes")
@@ -249,8 +269,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = classes.select("class", "first_doc").join(labels.withColumnRenamed("v", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     smallest = named.groupBy("root").agg(F.min("first_doc").alias("component_id"))
     named = named.join(smallest, "root").select("class", "component_id")
-    out = found.select("doc_id", "n_shingles", "class").join(named, "class", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce(F.coalesce("component_id", "doc_id") == F.col("doc_id"), F.lit(False)).alias("kept"))
+    out = found.select("doc_id", "n_shingles", "class", "row_key").join(named, "class", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce(F.coalesce("component_id", "doc_id") == F.col("doc_id"), F.lit(False)).alias("kept"), "row_key")
 
 
 #: The same rows from all pairs that share a shingle, for small tables.

@@ -84,6 +84,21 @@ def test_odd_rows(spark):
     assert nd.near_duplicates(documents(spark).limit(0)).count() == 0
 
 
+def test_near_copies_without_an_id(spark, monkeypatch):
+    """A near copy whose only row has a null doc_id is linked, in pairs and in blocks; what is linked with no id stays null."""
+    rng = random.Random(11)
+    base = [rng.choice(VOCABULARY) for _ in range(200)]
+    copies = [" ".join([*base[:i], "changed", *base[i + 1 :]]) for i in (20, 60, 100, 140)]
+    alone = [" ".join(rng.choice(VOCABULARY) for _ in range(50)) for _ in range(2)]
+    rows = [(3, " ".join(base)), (9, copies[0]), *((None, text) for text in [*copies[1:], copies[1], *alone, None, ""])]
+    for small in (nd.SMALL, 1):
+        monkeypatch.setattr(nd, "SMALL", small)
+        got = nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0, r.kept) for r in got) == sorted(
+            [(3, 196, 3, True), (9, 196, 3, False), *[(0, 196, 3, False)] * 4, *[(0, 46, 0, False)] * 2, *[(0, 0, 0, False)] * 2]
+        )
+
+
 def test_sets_of_words():
     texts = ["a b c d e f", "A  B\tC\nd\re\x0bf", "a b", "", None, "x" * 100 + " y", "é à b c d", " a b c d e a b c d e a b c d e "]
     own = sets([t.encode() if t is not None else None for t in texts])

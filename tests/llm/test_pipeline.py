@@ -51,5 +51,15 @@ def test_stages_in_order(spark, sf):
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest())
 
 
+def test_near_copies_without_an_id(spark, sf):
+    """A near copy with a null doc_id goes, though others without an id stay."""
+    words = [f"w{i}" for i in range(100)]
+    rows = [(1, " ".join(words)), (None, " ".join([*words[:50], "x", *words[51:]])), (None, "words of its own and no copy of any"), (None, None), (2, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, sf)
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([rows[0], *rows[2:]], key=repr)
+
+
 def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0
