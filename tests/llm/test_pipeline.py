@@ -61,5 +61,16 @@ def test_near_copies_without_an_id(spark, sf):
     assert sorted(map(tuple, got.collect()), key=repr) == sorted([rows[0], *rows[2:]], key=repr)
 
 
+def test_leaks_without_an_id(spark, sf):
+    """A leak with a null doc_id goes, and no clean document for having the same id or none."""
+    item = max((r.text for r in table(spark, sf, "benchmark").collect() if r.text), key=len)
+    clean = [(1, "no item here"), (None, "none here either"), (2, "of one id, but clean"), (None, None)]
+    leaks = [(None, f"before {item} after"), (2, item), (3, f"see: {item}")]
+    docs = spark.createDataFrame([*clean, *leaks], "doc_id long, text string")
+    got = corpus_pipeline.drop_leaks(spark, docs, sf)
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(clean, key=repr)
+
+
 def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0
