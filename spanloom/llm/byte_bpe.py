@@ -3,8 +3,8 @@
 The merges (ranks of byte strings) are compiled on demand: a state holds the last token that is settled and the
 bytes read since. Reading a byte leads to one other state and emits the tokens that no continuation can change. A
 token boundary is settled once every boundary at which a token could still be growing descends from it; tokens have
-a bounded length, so the lookahead is bounded too. Transitions are computed once and kept; the tables are dropped
-and rebuilt when they exceed a fixed number of states, which changes no result.
+a bounded length, so the lookahead is bounded too. Transitions are computed once and kept up to a fixed number of states,
+which changes no result.
 
 Results on odd input: a null text counts as empty and has no tokens; empty ids decode to empty bytes; repeated
 documents each get their row; very long texts are cut only at matches of the pattern, never shortened; other columns
@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .pieces import Cutter, Memo, parts, values
 from .workers import cached, no_cycles, slices
 
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, valid_utf8 boolean"
@@ -36,35 +37,44 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """packed(piece) gives the ids of one match of the splitting pattern.
 
-    A state is the last settled token (-1 before the first and where it no longer matters), the bytes read since, and the live boundaries: those at
-    which a token may still be growing, each with the tokens from the settled one up to it.
+    A state is the last settled token (NONE before the first and where it no longer matters) and the live boundaries:
+    those at which a token may still be growing, each as the node of the tokens' trie that the bytes since lead to and the
+    tokens from the settled one up to it. Moves are kept by 256 * state + byte: 256 * the next state, or its complement
+    where tokens are emitted.
     """
 
-    def __init__(self, ranks: dict[bytes, int], most_states: int = 200_000, most_pieces: int = 600_000):
-        self.ranks, self.most_states, self.most_pieces = ranks, most_states, most_pieces
-        self.prefixes = {token[:i] for token in ranks for i in range(len(token))}  # proper prefixes, the empty one included
+    NONE = 1 << 20
+
+    def __init__(self, ranks: dict[bytes, int], most_states: int = 60_000):
+        self.ranks, self.most_states = ranks, most_states
         self.token = {rank: token for token, rank in ranks.items()}
+        self.children: dict[int, int] = {}
+        self.ends_token, self.inner = [-1], bytearray(1)
+        for token, rank in ranks.items():
+            node = 0
+            for byte in token:
+                self.inner[node] = 1
+                at = node << 8 | byte
+                if (node := self.children.get(at, -1)) < 0:
+                    node = self.children[at] = len(self.ends_token)
+                    self.ends_token.append(-1)
+                    self.inner.append(0)
+            self.ends_token[node] = rank
         self.halves: dict[int, tuple[int, int] | None] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self._reset()
 
     def _reset(self) -> None:
         self.index: dict[tuple, int] = {}
-        self.states: list[tuple[int, bytes, list[tuple[int, tuple[int, ...]]]]] = []
-        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}  # by 256 * state + byte
-        self.ends: list[tuple[int, ...] | None] = []
-        self.fits.clear()
-        self.start = self._state(-1, b"", [(0, ())])
-
-    def _state(self, settled: int, pending: bytes, live: list[tuple[int, tuple[int, ...]]]) -> int:
-        if live[0][1]:
-            settled = -1  # no token can start at the settled boundary any more, so what precedes it makes no difference
-        key = (settled, pending, tuple(live))
-        if (at := self.index.get(key)) is None:
-            at = self.index[key] = len(self.states)
-            self.states.append((settled, pending, live))
-            self.ends.append(() if not pending else None)
+        self.states: list[tuple] = []
+        self.moves: dict[int, int] = {}
+        self.emits: dict[int, tuple[int, ...]] = {}
+        self.passing = 0
+        self.start = self._kept((self.NONE, ((0, ()),)))
+
+    def _kept(self, key: tuple) -> int:
+        at = self.index[key] = len(self.states) << 8
+        self.states.append(key)
         return at
 
     def _merged(self, parts: list[bytes], below: float) -> list[bytes]:
@@ -87,12 +97,9 @@ class Transducer:
     def _fit(self, left: int, right: int) -> bool:
         """Whether the merges leave the two tokens side by side: none that spans the seam comes before those that
         build them. Undone from the latest merge on, each pair at the seam must not have merged first."""
-        if left < 0:
-            return (self._split(right) is not None) or len(self.token[right]) == 1
-        if (known := self.fits.get((left, right))) is not None:
-            return known
-        a, b, limit, known = left, right, float("inf"), len(self.token[right]) == 1 or self._split(right) is not None
-        while known:
+        known = len(self.token[right]) == 1 or self._split(right) is not None
+        a, b, limit = left, right, float("inf")
+        while known and left != self.NONE:
             across = self.ranks.get(self.token[a] + self.token[b])
             if across is not None and across < limit:
                 known = False
@@ -104,79 +111,81 @@ class Transducer:
                 limit, b = b + 0.5, halves_b[0]  # of two equal merges the left one comes first
             else:
                 break
-        self.fits[left, right] = known
+        self.fits[left << 20 | right] = known
         return known
 
-    def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        settled, pending, live = self.states[state]
-        pending += bytes((byte,))
-        ranks, prefixes, still, last = self.ranks, self.prefixes, [], None
-        for begin, path in live:
-            grown = pending[begin:]
-            if last is None and (token := ranks.get(grown)) is not None and self._fit(path[-1] if path else settled, token):
-                last = (*path, token)
-            if grown in prefixes:
-                still.append((begin, path))
+    def _move(self, key: tuple, byte: int) -> tuple[tuple, tuple[int, ...]]:
+        """The state that a byte leads to, and the tokens emitted on the way."""
+        settled, live = key
+        children, ends_token, inner, fits, still, last = self.children, self.ends_token, self.inner, self.fits, [], None
+        for node, path in live:
+            child = children.get(node << 8 | byte)
+            if child is None:
+                continue
+            if last is None and (token := ends_token[child]) >= 0:
+                before = path[-1] if path else settled
+                if (fit := fits.get(before << 20 | token)) is None:
+                    fit = self._fit(before, token)
+                if fit:
+                    last = (*path, token)
+            if inner[child]:
+                still.append((child, path))
         if last is not None:
-            still.append((len(pending), last))
+            still.append((0, last))
         if not still:
             raise ValueError("the ranks do not cover every byte")
         common = still[0][1]
-        for _, path in still[1:]:
-            same = 0
-            while same < len(common) and same < len(path) and common[same] == path[same]:
-                same += 1
-            common = common[:same]
-            if not same:
-                break
         if common:
-            base, done = sum(len(self.token[t]) for t in common), len(common)
-            move = self._state(common[-1], pending[base:], [(begin - base, path[done:]) for begin, path in still]), common
-        else:
-            move = self._state(settled, pending, still), ()
-        self.moves[state << 8 | byte] = move
-        return move
-
-    def _end(self, state: int) -> tuple[int, ...]:
-        _, pending, live = self.states[state]
-        if live[-1][0] != len(pending):
-            raise ValueError("the ranks do not cover every byte")
-        self.ends[state] = live[-1][1]
-        return live[-1][1]
+            for _, path in still[1:]:
+                same = 0
+                while same < len(common) and same < len(path) and common[same] == path[same]:
+                    same += 1
+                common = common[:same]
+            if done := len(common):
+                settled, still = common[-1], [(node, path[done:]) for node, path in still]
+        if still[0][1]:
+            settled = self.NONE  # no token can start at the settled boundary any more, so what precedes it makes no difference
+        return (settled, tuple(still)), common
 
     def run(self, data: bytes) -> list[int]:
-        if len(self.states) > self.most_states:
+        """The ids of one piece. States beyond most_states are passed through without being kept; the tables start anew
+        when that has happened four times as often, as other texts may use other states."""
+        if self.passing > 4 * self.most_states:
             self._reset()
-        state, moves, out = self.start, self.moves, []
+        moves, index, states, emits, out = self.moves, self.index, self.states, self.emits, []
+        state: int | None = self.start
+        key = states[0]
         for byte in data:
-            move = moves.get(state << 8 | byte)
-            if move is None:
-                move = self._move(state, byte)
-            state = move[0]
-            if move[1]:
-                out += move[1]
-            if len(self.states) > 2 * self.most_states:  # one very long piece
-                kept = self.states[state]
-                self._reset()
-                moves, state = self.moves, self._state(*kept)
-        end = self.ends[state]
-        out += self._end(state) if end is None else end
+            if state is not None:
+                if (move := moves.get(state | byte)) is not None:
+                    if move < 0:
+                        out += emits[state | byte]
+                        move = ~move
+                    state = move
+                    continue
+                key = states[state >> 8]
+            key, emitted = self._move(key, byte)
+            out += emitted
+            if (to := index.get(key)) is None:
+                if len(states) < self.most_states:
+                    to = self._kept(key)
+                else:
+                    self.passing += 1
+            if state is not None and to is not None:
+                moves[state | byte] = ~to if emitted else to
+                if emitted:
+                    emits[state | byte] = emitted
+            state = to
+        node, path = (key if state is None else states[state >> 8])[1][-1]
+        if node:
+            raise ValueError("the ranks do not cover every byte")
+        out += path
         return out
 
     def packed(self, piece: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers; short pieces are remembered."""
-        if (known := self.pieces.get(piece)) is None:
-            ids = self.run(piece.encode())
-            known = struct.pack(f"<{len(ids)}I", *ids)
-            if len(piece) <= 48:
-                if len(self.pieces) >= self.most_pieces:
-                    self.pieces.clear()
-                self.pieces[piece] = known
-        return known
-
-    def encode(self, pieces: Iterable[str]) -> bytes:
-        known, packed = self.pieces, self.packed
-        return b"".join([known.get(piece) or packed(piece) for piece in pieces])
+        """The ids as little-endian unsigned 32-bit integers."""
+        ids = self.run(piece.encode())
+        return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class StreamDecoder:
@@ -198,21 +207,28 @@ class StreamDecoder:
 
 
 class Codec:
-    def __init__(self, path: str, pattern: str):
-        import regex
-
+    def __init__(self, path: str, pattern: str, most_pieces: int = 150_000):
         self.ranks = load_ranks(path)
-        self.split = regex.compile(pattern).findall
+        self.cutter = Cutter(pattern)
         self.transducer = Transducer(self.ranks)
+        self.memo = Memo(lambda pieces: list(map(self.transducer.packed, pieces)), most_pieces)
         self.tokens = [b""] * (max(self.ranks.values(), default=-1) + 1)
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
 
-    def encode(self, text: str) -> bytes:
-        return self.transducer.encode(self.split(text))
-
-    def decode(self, packed: bytes, part: int = 65_536) -> Iterator[tuple[bytes, str, bool]]:
-        ids, decoder = np.frombuffer(packed, "<u4"), StreamDecoder(self.tokens)
+    def encode(self, texts: list[str], most: int = 4 << 20) -> list[np.ndarray]:
+        """The ids of each text. A text of over ``most`` characters is encoded in parts, cut where a match begins for sure."""
+        if any(len(text) > most for text in texts) and self.cutter.kinds is not None:
+            if len(texts) > 1:
+                return [ids for text in texts for ids in self.encode([text], most)]
+            return [np.concatenate([self.encode([part], len(part))[0] for part in parts(texts[0], most)])]
+        pieces, begins = self.cutter.split(texts)
+        ids, ends = values(pieces, self.memo, "<u4")
+        edges = ends[begins].tolist()
+        return [ids[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+
+    def decode(self, ids: np.ndarray, part: int = 65_536) -> Iterator[tuple[bytes, str, bool]]:
+        decoder = StreamDecoder(self.tokens)
         for at in range(0, max(1, len(ids)), part):
             raw, text = decoder.feed(ids[at : at + part].tolist(), at + part >= len(ids))
             yield raw, text, decoder.valid
@@ -231,12 +247,11 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             for batch in batches:
                 for rows in slices(batch, "text", 4 << 20):
                     out: list[list] = [[], [], [], []]
-                    for text in rows.column("text").to_pylist():
-                        packed = own.encode(text or "")
+                    for ids in own.encode([text or "" for text in rows.column("text").to_pylist()]):
                         digest, valid = hashlib.sha256(), True
-                        for raw, _, valid in own.decode(packed):
+                        for raw, _, valid in own.decode(ids):
                             digest.update(raw)
-                        for to, value in zip(out, (len(packed) // 4, hashlib.sha256(packed).hexdigest(), digest.hexdigest(), valid), strict=True):
+                        for to, value in zip(out, (len(ids), hashlib.sha256(ids).hexdigest(), digest.hexdigest(), valid), strict=True):
                             to.append(value)
                     yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *map(pa.array, out[:1]), pa.array(out[1], pa.string()), pa.array(out[2], pa.string()), pa.array(out[3], pa.bool_())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "valid_utf8"])
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import gc
 import sys
 import types
@@ -19,14 +20,18 @@ def cached(key, build: Callable):
     last one is kept: what an earlier stage built would only take memory from this one."""
     home = sys.modules.setdefault(_HOME, types.ModuleType(_HOME)).__dict__.setdefault("values", {})
     if key not in home:
-        home.clear()
+        forget()
         home[key] = build()
     return home[key]
 
 
 def forget() -> None:
-    """Drops what ``cached`` holds, for stages that need the memory for themselves."""
+    """Drops what ``cached`` holds and gives back what the allocators keep, for stages that need the memory for themselves."""
     sys.modules.setdefault(_HOME, types.ModuleType(_HOME)).__dict__.setdefault("values", {}).clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 @contextlib.contextmanager
