@@ -14,12 +14,12 @@ content of an added token in a text, such as <|endoftext|>, is that token, as by
 from __future__ import annotations
 
 import bisect
+import json
 import os
 import re
 import struct
 import zlib
 from collections.abc import Iterator
-from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +30,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import runtime
+from .pieces import Memo, parts, values, words
 from .workers import cached, no_cycles, slices
 
 MAGIC = b"SLSST001"
 FOOTER = struct.Struct("<QQQQQ8s")  # index offset and size, filter offset, documents, tokens
-WORDS = re.compile(r"[^\t-\r ]+")
+#: Fixed value: the pieces of the tokenizers for which ``by_words`` holds.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 MANIFEST = "shard int, path string, n_docs long, n_tokens long"
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -145,15 +147,17 @@ class Shard:
 
 
 class Encoder:
-    """The tokenizers library with a memo of words between ASCII white space, which its patterns never join.
+    """The tokenizers library with a memo of words between ASCII white space.
 
-    split_special: added tokens in a text are split like any other characters, the library's encode_special_tokens. Where
-    it is False, the library's default, texts that hold the content of one are encoded whole by the library.
+    The memo holds where the tokenizer's own file says that words are encoded one by one (``by_words``); with any other
+    tokenizer the library encodes whole texts. split_special: added tokens in a text are split like any other characters,
+    the library's encode_special_tokens. Where it is False, the library's default, texts that hold the content of one are
+    encoded whole by the library.
     """
 
     MARK = "|"
 
-    def __init__(self, path: str, most_words: int = 500_000, split_special: bool = True):
+    def __init__(self, path: str, most_words: int = 150_000, split_special: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has given out the cores
         from tokenizers import Tokenizer
 
@@ -162,63 +166,77 @@ class Encoder:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.wide = self.tokenizer.get_vocab_size() > 65_536
-        (self.mark,) = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
         self.added = None if split_special else self._added()
-        self.old = {}
-        self.form, self.most_words, self.words = "<u4" if self.wide else "<u2", most_words, {}
+        self.form, self.memo = "<u4" if self.wide else "<u2", None
+        if by_words(json.loads(self.tokenizer.to_str())):
+            (self.mark,) = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
+            self.memo = Memo(self._learn, most_words)
 
     def _added(self) -> re.Pattern | None:
         """Finds the added tokens in any case, as the library may look for them before or after it lowers the text."""
         contents = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         return re.compile("|".join(map(re.escape, contents)), re.IGNORECASE) if contents else None
 
-    def _learn(self, words: list[str]) -> None:
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.form)
+
+    def _learn(self, words: list[str]) -> list[bytes]:
         """Many words in one call, with a mark between them that is a token of its own and in none of them."""
         plain = [word for word in words if self.MARK not in word]
-        parts = [plain[at : at + 20_000] for at in range(0, len(plain), 20_000)]
-        joined = [f" {self.MARK} ".join(some) for some in parts]
-        for some, found in zip(parts, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
-            ids = np.array(found.ids, self.form)
-            edges, packed, width = (np.nonzero(ids == self.mark)[0] * ids.itemsize).tolist(), ids.tobytes(), ids.itemsize
-            begins, ends = [0, *(e + width for e in edges)], [*edges, len(packed)]
-            self.words.update(zip(some, [packed[a:b] for a, b in zip(begins, ends, strict=True)], strict=True))
-        for word in words:
-            if self.MARK in word:
-                self.words[word] = self._packed(word)
-
-    def _packed(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.form).tobytes()
-
-    def _words(self, text: str) -> list[str]:
+        known = {word: self._whole(word).tobytes() for word in words if self.MARK in word}
+        for at in range(0, len(plain), 5_000):
+            some = plain[at : at + 5_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([f" {self.MARK} ".join(some)], add_special_tokens=False)[0].ids, self.form)
+            edges, packed, width = (np.flatnonzero(ids == self.mark) * ids.itemsize).tolist(), ids.tobytes(), ids.itemsize
+            known.update(zip(some, [packed[a:b] for a, b in zip([0, *(e + width for e in edges)], [*edges, len(packed)], strict=True)], strict=True))
+        return list(map(known.__getitem__, words))
+
+    @staticmethod
+    def _folded(text: str) -> str:
         """Lower case where that is what the library does to each character anyway, so that spellings share an entry."""
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
-            return WORDS.findall(text)
-        return WORDS.findall(text.lower())
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Packed ids of each text. A run of ASCII punctuation behind an ASCII letter or digit is always a piece of its own."""
-        if len(self.words) >= self.most_words:  # what is used again is taken over from the generation before
-            self.old, self.words = self.words, {}
-        whole = {} if self.added is None else {i: self._packed(text) for i, text in enumerate(texts) if self.added.search(text)}
-        split = [[] if i in whole else self._words(text) for i, text in enumerate(texts)]
-        new = set().union(*split).difference(self.words)
-        if self.old:
-            again = new.intersection(self.old)
-            self.words.update(zip(again, map(self.old.__getitem__, again), strict=True))
-            new -= again
-        stems = {word: stem for word in new if word[-1] in punctuation and (stem := word.rstrip(punctuation)) and stem.isascii() and stem[-1].isalnum()}
-        parts = {part for word, stem in stems.items() for part in (stem, word[len(stem) :])}
-        self.words.update({part: self.old[part] for part in parts - self.words.keys() if part in self.old})
-        self._learn(list((parts | (new - stems.keys())) - self.words.keys()))
-        self.words.update({word: self.words[stem] + self.words[word[len(stem) :]] for word, stem in stems.items()})
-        out = [whole[i] if i in whole else b"".join(map(self.words.__getitem__, words)) for i, words in enumerate(split)]
-        for word in new | parts:
-            if len(word) > 48:
-                del self.words[word]
+            return text
+        return text.lower()
+
+    def encode(self, texts: list[str], most: int = 4 << 20) -> list[np.ndarray]:
+        """The ids of each text. A text of over ``most`` characters is encoded in parts, cut between words."""
+        if self.memo is None:
+            return list(map(self._whole, texts))
+        whole = {} if self.added is None else {i: self._whole(text) for i, text in enumerate(texts) if self.added.search(text)}
+        rest = ["" if i in whole else self._folded(text) for i, text in enumerate(texts)]
+        if any(len(text) > most for text in rest):
+            return [whole[i] if i in whole else np.concatenate([self._words([part])[0] for part in parts(text, most)]) for i, text in enumerate(rest)]
+        out = self._words(rest)
+        for i, ids in whole.items():
+            out[i] = ids
         return out
 
+    def _words(self, texts: list[str]) -> list[np.ndarray]:
+        found, begins = words(texts)
+        ids, ends = values(found, self.memo, self.form)
+        edges = ends[begins].tolist()
+        return [ids[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def by_words(settings: dict) -> bool:
+    """Whether a tokenizer is known to encode words between ASCII white space one by one and in lower case: a byte-level BPE
+    with word ends, whose normaliser composes, joins white space and lowers, whose pre-tokenizer drops white space and
+    keeps a run of punctuation together, and which knows "|"."""
+    steps = settings.get("normalizer") or {}
+    split = (settings.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    model = settings.get("model") or {}
+    return (
+        [step.get("type") for step in steps.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+        and steps["normalizers"][1] == {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+        and [part.get("type") for part in split] == ["Split", "ByteLevel"]
+        and split[0]["pattern"] == {"Regex": WORD_PATTERN}
+        and (split[0]["behavior"], split[0]["invert"], split[1]["add_prefix_space"]) == ("Removed", True, False)
+        and (model.get("type"), model.get("end_of_word_suffix"), model.get("dropout"), model.get("continuing_subword_prefix") or "") == ("BPE", "</w>", None, "")
+        and "|</w>" in model["vocab"]
+    )
+
 
 def encoder(path: str) -> Encoder:
     return cached(("sorted_tokens", path), lambda: Encoder(path, split_special=False))
@@ -245,7 +263,7 @@ def write_shards(docs: DataFrame, path: str, to: str, end_id: int = 2) -> DataFr
                 with no_cycles():
                     packed = own.encode(texts)
                 for doc_id, ids in zip(rows.column("doc_id").to_pylist(), packed, strict=True):
-                    writer.add(key_of(doc_id), ids + end)
+                    writer.add(key_of(doc_id), ids.tobytes() + end)
         if writer is not None:
             n_docs, n_tokens = writer.close()
             out.close()

@@ -9,7 +9,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from spanloom.llm import byte_bpe, sorted_tokens
+from spanloom.llm import byte_bpe, pieces, sorted_tokens
 
 from .odd import DOCS, LONG, documents
 
@@ -26,17 +26,37 @@ def encoding():
 def test_transducer_is_the_merges(encoding):
     own = byte_bpe.codec(RANKS, public_tokenizers.PATTERN)
     for text in [*HARD, LONG[:20_000]]:
-        packed = own.encode(text)
-        assert list(struct.unpack(f"<{len(packed) // 4}I", packed)) == encoding.encode_ordinary(text)
-        assert b"".join(raw for raw, _, _ in own.decode(packed, 3)) == text.encode()
-        assert "".join(part for _, part, _ in own.decode(packed, 3)) == text
+        (ids,) = own.encode([text])
+        assert ids.tolist() == encoding.encode_ordinary(text)
+        assert b"".join(raw for raw, _, _ in own.decode(ids, 3)) == text.encode()
+        assert "".join(part for _, part, _ in own.decode(ids, 3)) == text
+    assert [ids.tolist() for ids in own.encode([*HARD, LONG], most=500)] == [ids.tolist() for ids in own.encode([*HARD, LONG])] == encoding.encode_ordinary_batch([*HARD, LONG])
 
 
 def test_tables_of_bounded_size(encoding):
-    small = byte_bpe.Transducer(byte_bpe.load_ranks(RANKS), most_states=50, most_pieces=10)
-    for text in ("international" * 30, " unbelievable", "zzzzqqqq" * 40):
+    small = byte_bpe.Transducer(byte_bpe.load_ranks(RANKS), most_states=50)
+    for text in ("international" * 30, " unbelievable", "zzzzqqqq" * 40, "international" * 30, " unbelievable"):
         assert small.run(text.encode()) == encoding._core_bpe.encode_single_piece(text.encode())
-        assert len(small.states) <= 200
+        assert len(small.states) <= 50
+
+
+def test_cuts_are_the_patterns():
+    cutter = pieces.Cutter(public_tokenizers.PATTERN)
+    assert cutter.kinds is not None
+    plain = pieces.Cutter(f"(?:{public_tokenizers.PATTERN})")
+    assert plain.kinds is None
+    rng, signs = random.Random(7), "'`'`strevmld aZé1²½٣ \t\n\x0b\x1c\x1d\x85\xa0\u2003\u3000\u200b.,-_中🙂́ʼ"
+    texts = ["".join(rng.choices(signs, k=rng.randrange(0, 14))) for _ in range(20_000)]
+    for some in (texts, [], [""], ["", ""], [" "], ["'s"], ["a'", "s"], ["x ", " y"]):
+        (a, at), (b, bt) = cutter.split(some), plain.split(some)
+        assert a.to_pylist() == b.to_pylist() and at.tolist() == bt.tolist()
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    assert cutter.split([every])[0].to_pylist() == plain.split([every])[0].to_pylist()
+
+
+def test_parts_are_the_text():
+    text = "one two  three\n four, five " * 50
+    assert "".join(pieces.parts(text, 40)) == text and len(list(pieces.parts(text, 40))) > 20 and list(pieces.parts("", 4)) == [""]
 
 
 def test_broken_bytes_are_told():
@@ -63,13 +83,23 @@ def test_word_memo_is_the_library():
     own = sorted_tokens.Encoder(WORDS, most_words=20)
     for text in [*HARD, LONG[:20_000], *HARD]:
         ids = library.encode(text, add_special_tokens=False).ids
-        assert own.encode([text]) == [struct.pack(f"<{len(ids)}H", *ids)]
-    assert own.encode(HARD) == [own.encode([t])[0] for t in HARD]
+        assert own.encode([text])[0].tolist() == ids
+    assert list(map(list, own.encode(HARD))) == [list(own.encode([t])[0]) for t in HARD] == list(map(list, own.encode(HARD, most=300)))
+    rng, signs = random.Random(9), "'`'`stre aZéÉ1²\t\n\x1c\x85\xa0\u2003.,-|<_中🙂̱́HΣ"
+    texts = ["".join(rng.choices(signs, k=rng.randrange(0, 14))) for _ in range(5_000)]
+    assert list(map(list, own.encode(texts))) == [found.ids for found in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_other_tokenizers_encode_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, own = Tokenizer.from_file(path), sorted_tokens.Encoder(path, split_special=False)
+    assert own.memo is None
+    for text in [*HARD, *SPECIAL]:
+        assert own.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
 
 
 def test_token_rows(spark):
     library = Tokenizer.from_file(WORDS)
-    library.encode_special_tokens = True
     start = 0
     want = []
     for doc_id, text, *_ in sorted(DOCS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
@@ -91,10 +121,9 @@ def test_added_tokens_by_the_librarys_default():
     texts = [*HARD, *SPECIAL, " ".join(SPECIAL), LONG[:5000], *SPECIAL]
     want = []
     for text in texts:
-        ids = library.encode(text, add_special_tokens=False).ids
-        want.append(struct.pack(f"<{len(ids)}H", *ids))
-        assert own.encode([text]) == [want[-1]]
-    assert own.encode(texts) == want
+        want.append(library.encode(text, add_special_tokens=False).ids)
+        assert own.encode([text])[0].tolist() == want[-1]
+    assert list(map(list, own.encode(texts))) == want
 
 
 def test_token_rows_with_added_tokens(spark):
