@@ -11,22 +11,28 @@ from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField,
 
 # The tokeniser's and the sentence splitter's patterns, in classes that all engines read alike.
 TOKEN = r"[\p{L}\p{N}_]+(?:[-'][\p{L}\p{N}_]+)*|[^\p{L}\p{N}_\s]"
+#: White space as Python's str methods and patterns see it; \s alone is ASCII in Spark.
+BLANKS = r"(?U)[\s\x1c-\x1f]+"
 SENTENCE_END = r"(?<=[.!?])\s+(?=[A-Z0-9\"'])|\n+"
 
 
 def fold(x: Column) -> Column:
     """Lower case, trimmed, runs of white space as one blank; null as empty."""
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(x.cast("string"), F.lit(""))), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(x.cast("string"), F.lit(""))), BLANKS, " "))
 
 
 def squeeze(x: Column) -> Column:
     """As ``fold``, but case is kept."""
-    return F.trim(F.regexp_replace(F.coalesce(x.cast("string"), F.lit("")), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.coalesce(x.cast("string"), F.lit("")), BLANKS, " "))
 
 
 def casefold(x: Column) -> Column:
-    """Lower case with the sharp s written out, which is what folding does in the languages at hand."""
-    return F.replace(F.lower(x), F.lit("ß"), F.lit("ss"))
+    """Lower case with the sharp s and the Latin ligatures written out and one form of sigma and s. Scripts whose folding
+    does more (Cherokee, Armenian ligatures) are left in lower case."""
+    own = F.translate(F.lower(x), "ςſ", "σs")
+    for sign, letters in (("ß", "ss"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st")):
+        own = F.replace(own, F.lit(sign), F.lit(letters))
+    return own
 
 
 def words(x: Column) -> Column:
@@ -45,7 +51,9 @@ def is_noisy_tag(x: Column) -> Column:
 
 def strip_fences(x: Column) -> Column:
     """Without the marks of a Markdown code block around the text."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(x), r"(?i)^```(?:json)?\s*", ""), r"\s*```$", ""))
+    bare = F.regexp_replace(x, f"^{BLANKS}|{BLANKS.removeprefix('(?U)')}$", "")
+    bare = F.regexp_replace(F.regexp_replace(bare, r"(?iU)^```(?:json)?[\s\x1c-\x1f]*", ""), r"(?U)[\s\x1c-\x1f]*```$", "")
+    return F.regexp_replace(bare, f"^{BLANKS}|{BLANKS.removeprefix('(?U)')}$", "")
 
 
 def object_slice(x: Column) -> Column:
@@ -70,6 +78,24 @@ def excerpt(x: Column, n: int = 180) -> Column:
     return F.left(F.trim(x), F.lit(n))
 
 
+#: The colours of labels in the order in which they are given out.
+PALETTE = ["#ffd166", "#8ecae6", "#b5e48c", "#f4a6c1", "#cdb4db", "#f7b267", "#a0e7e5", "#e2e2a0"]
+
+
+def label_colour(label: Column, labels: list[str]) -> Column:
+    """A colour for each label by its place in the list; one outside it by a hash that is the same in every run."""
+    known = F.array_position(F.array(*map(F.lit, labels)).cast("array<string>"), label).cast("int")
+    other = F.conv(F.substring(F.md5(label), 1, 6), 16, 10).cast("int")
+    place = F.when(known > 0, known - 1).otherwise(other)
+    return F.element_at(F.array(*map(F.lit, PALETTE)), place % len(PALETTE) + 1)
+
+
+def darker(colour: Column, share: float = 0.5) -> Column:
+    """A colour #rrggbb with each part at a share of itself, for text on it."""
+    part = lambda at: F.lpad(F.lower(F.hex(F.floor(F.conv(F.substring(colour, at, 2), 16, 10).cast("int") * share).cast("long"))), 2, "0")
+    return F.concat(F.lit("#"), part(2), part(4), part(6))
+
+
 def escape_html(x: Column) -> Column:
     for mark, form in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
         x = F.replace(x, F.lit(mark), F.lit(form))

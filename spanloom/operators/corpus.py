@@ -147,3 +147,12 @@ def summary(rows: DataFrame, groups: list[str], value: str) -> DataFrame:
 def counts_of_counts(rows: DataFrame, key: str) -> DataFrame:
     """How many keys have so many rows."""
     return rows.groupBy(key).agg(F.count("*").alias("windows")).groupBy("windows").agg(F.count("*").alias("documents"))
+
+
+#: All that an export may tell of where its example comes from; gold spans are not among it.
+TRACE = ("example_id", "doc_id", "source_split", "length_bucket", "sentence_count")
+
+
+def traceability(windows: DataFrame, dataset: str) -> DataFrame:
+    """The columns of TRACE and the dataset's name, by an explicit list, so that what is added to windows never follows."""
+    return windows.select(F.lit(dataset).alias("source_dataset"), *TRACE)

@@ -103,8 +103,9 @@ def evaluate_batch(gold: DataFrame, predictions: DataFrame, iterations: int = 0,
     return Evaluation(summary, groups, flexible_groups, per_example, listing("fp"), listing("fn"), failed, intervals)
 
 
-def evaluate_exports(exports: DataFrame, examples: DataFrame) -> DataFrame:
-    """A row for each reviewed document: whether it can be scored and why not, its cutoff and scope, and its counts.
+def _linked(exports: DataFrame, examples: DataFrame) -> DataFrame:
+    """exports with reason (null if it can be scored), legacy, w (cutoff and scope), and g and f: the gold and the predicted
+    spans up to the cutoff.
 
     exports: doc_name, example_id, model_predictions (null in old exports), review_log (source, status and spans),
     processed_char_end and n_sentences. Old exports are scored by their log, unless labels were edited in it.
@@ -125,11 +126,39 @@ def evaluate_exports(exports: DataFrame, examples: DataFrame) -> DataFrame:
     gold = F.transform("entities", lambda e: F.struct(e["start_char"].alias("start"), e["end_char"].alias("stop"), canonical_label(e["label"]).alias("label")))
     found = F.transform("p", lambda e: F.struct(e["start"].alias("start"), e["end"].alias("stop"), canonical_label(e["type"]).alias("label")))
     upto = lambda c: F.array_distinct(F.filter(c, lambda s: s["stop"] <= F.col("w.cutoff")))
-    own = own.withColumn("g", upto(gold)).withColumn("f", upto(found))
+    return own.withColumn("legacy", legacy).withColumn("g", upto(gold)).withColumn("f", upto(found))
+
+
+def evaluate_exports(exports: DataFrame, examples: DataFrame) -> DataFrame:
+    """A row for each reviewed document: whether it can be scored and why not, its cutoff and scope, strict counts and
+    ratios, the F1 of boundary-tolerant and of overlap matching, and the spans found too much and missed."""
+    own = _linked(exports, examples)
     ok = F.col("reason").isNull()
     counts = {"tp": F.size(F.array_intersect("f", "g")), "fp": F.size(F.array_except("f", "g")), "fn": F.size(F.array_except("g", "f"))}
-    own = with_prf(own.withColumns(counts))
-    return own.select("doc_name", ok.alias("available"), "reason", legacy.alias("legacy"), F.col("w.scope").alias("scope"), F.col("w.cutoff").alias("processed_char_end"), *(F.when(ok, F.col(c)).alias(c) for c in (*COUNTS, "precision", "recall", "f1")), F.when(ok, F.array_sort(F.array_except("f", "g"))).alias("false_positives"), F.when(ok, F.array_sort(F.array_except("g", "f"))).alias("false_negatives"))
+    out = with_prf(own.withColumns(counts)).select("doc_name", ok.alias("available"), "reason", "legacy", F.col("w.scope").alias("scope"), F.col("w.cutoff").alias("processed_char_end"), *(F.when(ok, F.col(c)).alias(c) for c in (*COUNTS, "precision", "recall", "f1")), F.when(ok, F.array_sort(F.array_except("f", "g"))).alias("false_positives"), F.when(ok, F.array_sort(F.array_except("g", "f"))).alias("false_negatives"))
+    for mode in ("boundary_tolerant", "overlap"):
+        part = with_prf(_flexible(own, mode, ["doc_name"])).select("doc_name", *(F.col(c).alias(f"{mode}_{c}") for c in (*COUNTS, "f1")))
+        names = [f"{mode}_{c}" for c in (*COUNTS, "f1")]
+        out = out.join(part, "doc_name", "left").withColumns({c: F.when(F.col("available"), F.coalesce(F.col(c), F.lit(0))) for c in names})  # no spans at all: 0
+    return out
+
+
+def _flexible(linked: DataFrame, mode: str, groups: list[str]) -> DataFrame:
+    own = linked.filter("reason is null")
+    side = lambda c: own.select(F.col("doc_name").alias("example_id"), *groups, F.explode(c).alias("s")).select("example_id", *groups, "s.start", "s.stop", "s.label")
+    gold, found = side("g"), side("f")
+    if mode == "boundary_tolerant":
+        texts = own.select(F.col("doc_name").alias("example_id"), "text")
+        gold, found = _with_tokens(gold, texts), _with_tokens(found, texts)
+    return spans.flexible_counts(gold, found, groups, mode)
+
+
+def exports_by_label(exports: DataFrame, examples: DataFrame) -> DataFrame:
+    """Strict counts and ratios of the exports that can be scored, by document and label."""
+    own = _linked(exports, examples).filter("reason is null")
+    side = lambda c, g, p: own.select("doc_name", F.explode(c).alias("s")).select("doc_name", "s.*", F.lit(g).alias("g"), F.lit(p).alias("p"))
+    met = side("g", 1, 0).unionByName(side("f", 0, 1)).groupBy("doc_name", "label", "start", "stop").agg(F.max("g").alias("g"), F.max("p").alias("p"))
+    return with_prf(met.groupBy("doc_name", "label").agg(F.sum(F.col("g") * F.col("p")).alias("tp"), F.sum((1 - F.col("g")) * F.col("p")).alias("fp"), F.sum(F.col("g") * (1 - F.col("p"))).alias("fn")))
 
 
 def micro(exports: DataFrame) -> DataFrame:

@@ -7,16 +7,22 @@ Calls are at least once: a task that runs again asks again, which the attempts t
 
 from __future__ import annotations
 
+import json
 import re
 import time
 from collections.abc import Callable, Iterator
-from typing import Protocol
+from dataclasses import dataclass
+from functools import partial
+from typing import Any, Protocol
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from ..functions.text import object_slice, strict_json, strip_fences
+from ..functions.text import fold, object_slice, strict_json, strip_fences
 from . import parsing, retrieval, votes
 from .tokens import indexed, split_sentences, span_of, tokenize
 
@@ -29,12 +35,24 @@ class Provider(Protocol):
     def answer(self, request: dict) -> dict: ...
 
 
-def asked(provider: Provider, request: dict, tries: int = 3, wait: float = 0.0) -> dict:
-    """One answer: errors that may pass are tried again after a growing wait; parameters that a model refuses are dropped."""
+def is_json(text: str | None) -> bool:
+    """Whether a reply without its fences is JSON to the last character."""
+    try:
+        json.loads(re.sub(r"\s*```$", "", re.sub(r"^```(?:json)?\s*", "", (text or "").strip(), flags=re.IGNORECASE)))
+    except ValueError:
+        return False
+    return True
+
+
+def asked(provider: Provider, request: dict, tries: int = 3, wait: float = 0.0, accept: Callable[[str | None], bool] | None = None) -> dict:
+    """One answer: errors that may pass are tried again after a growing wait; parameters that a model refuses are dropped;
+    an answer that is not accepted is asked for again, and the last one stands."""
     request = dict(request)
     for attempt in range(1, tries + 1):
         try:
             out = provider.answer(request)
+            if accept and attempt < tries and not accept(out.get("text")):
+                continue
             usage = out.get("input_tokens") is not None and out.get("output_tokens") is not None
             return {"text": out.get("text"), "model_id": out.get("model_id"), "input_tokens": out.get("input_tokens"), "output_tokens": out.get("output_tokens"), "usage_reported": usage, "logprobs": out.get("logprobs") or [], "attempts": attempt, "error": None}
         except Exception as error:  # noqa: BLE001  a failed row is a row with an error
@@ -49,14 +67,14 @@ def asked(provider: Provider, request: dict, tries: int = 3, wait: float = 0.0)
     raise AssertionError
 
 
-def call(rows: DataFrame, provider: Callable[[], Provider], columns: list[str], tries: int = 3, wait: float = 0.0) -> DataFrame:
+def call(rows: DataFrame, provider: Callable[[], Provider], columns: list[str], tries: int = 3, wait: float = 0.0, accept: Callable[[str | None], bool] | None = None) -> DataFrame:
     """rows with a struct column reply. columns go to the provider; provider() makes one for each task."""
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = provider()
         for batch in batches:
             requests = [{k: None if v is None or v != v else v for k, v in r.items()} for r in batch[columns].to_dict("records")]  # pandas has nulls as NaN
-            batch["reply"] = [asked(own, request, tries, wait) for request in requests]
+            batch["reply"] = [asked(own, request, tries, wait, accept) for request in requests]
             yield batch
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
@@ -87,15 +105,33 @@ def bullets(items: Column) -> Column:
     return F.array_join(F.transform(items, lambda x: F.concat(F.lit("- "), x)), "\n")
 
 
-def schema_prompt(labels: list[str], descriptions: dict[str, str] | None = None) -> str:
-    """A prompt for extraction built from a label schema."""
+RULES = "Copy each span from the text as it stands and give no span that the text does not hold. If there is none, reply with an empty list."
+
+
+def schema_prompt(labels: list[str], descriptions: dict[str, str] | None = None, domain: str = "", dataset: str = "") -> str:
+    """A prompt for extraction built from a label schema: what the texts are, each label with what it means, the rules and
+    the reply's form."""
     seen = list(dict.fromkeys(label.strip() for label in labels if label.strip()))
     lines = [f"- {label}" + (f": {descriptions[label]}" if descriptions and label in descriptions else "") for label in seen]
-    return "Mark every span of these types:\n" + "\n".join(lines) + '\nReply with JSON: {{"entities": [{{"text": "", "type": "", "start": 0, "end": 0}}]}}, inclusive token numbers.\n\n{tokens}'
+    about = " ".join(x for x in (f"The texts are from {dataset}." if dataset else "", domain.strip()) if x)
+    body = (about + "\n" if about else "") + "Mark every span of these types:\n" + "\n".join(lines) + f"\n{RULES}"
+    return body.replace("{", "{{").replace("}", "}}") + '\nReply with JSON: {{"entities": [{{"text": "", "type": "", "start": 0, "end": 0}}]}}, inclusive token numbers.\n\n{tokens}'
 
 
-def routing_prompt(departments: list[str]) -> str:
-    return "Choose one department:\n" + "\n".join(f"- {d}" for d in dict.fromkeys(departments)) + '\nReply with JSON: {{"department": "", "evidence": ""}}.\n\n{text}'
+def routing_prompt(departments: list[str], guidance: str = "") -> str:
+    """A prompt that asks for one of the departments and for evidence in the text's own words."""
+    body = "Choose one department:\n" + "\n".join(f"- {d}" for d in dict.fromkeys(departments)) + (f"\n{guidance.strip()}" if guidance.strip() else "")
+    body += "\nUse a name from the list and none of your own. The evidence is a passage of the text, word for word."
+    return body.replace("{", "{{").replace("}", "}}") + '\nReply with JSON: {{"department": "", "evidence": ""}}.\n\n{text}'
+
+
+def few_shot(examples: Column, structured: bool = True) -> Column:
+    """Worked examples for a prompt. examples: array of structs with text and entities (text, type, start, stop)."""
+    entity = lambda e: F.struct(e["text"].alias("text"), e["type"].alias("type"), e["start"].alias("start"), e["stop"].alias("end"))
+    as_json = lambda x: F.to_json(F.struct(F.transform(x["entities"], entity).alias("entities")))
+    line = lambda e: F.concat_ws(" | ", e["text"], e["type"], e["start"].cast("string"), e["stop"].cast("string"))
+    as_lines = lambda x: F.when(F.size(x["entities"]) > 0, F.array_join(F.transform(x["entities"], line), "\n")).otherwise("NONE")
+    return F.array_join(F.transform(examples, lambda x: F.concat(F.lit("Text: "), x["text"], F.lit("\nAnswer:\n"), (as_json if structured else as_lines)(x))), "\n\n")
 
 
 ENTITIES = "entities array<struct<text:string,type:string,start:int,end:int>>"
@@ -238,4 +274,118 @@ def route_by_neighbours(queries: DataFrame, index: DataFrame, departments: list[
     return asked_for.join(won, "query_id", "left").withColumn("status", F.when(F.col("department").isNull(), "no_match").otherwise("ok"))
 
 
-METHODS = {"zero_shot": classify, "few_shot": classify, "agent": classify, "structured": structured_entities, "freeform": freeform_entities, "verify": verified}
+def encoded(rows: DataFrame, text: str, encoder: Callable[[], Callable[[list[str]], Any]], dimension: int, to: str = "embedding", batch: int = 32) -> DataFrame:
+    """rows with unit vectors of their texts. encoder() loads a function from texts to vectors once for each task; it sees
+    ``batch`` texts at a time. Vectors of another shape, not finite or zero fail the query; null counts as empty text."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = None
+        for rows in batches:
+            own = own or encoder()
+            texts, found = [x or "" for x in rows.column(text).to_pylist()], []
+            for at in range(0, len(texts), batch):
+                some = texts[at : at + batch]
+                vectors = np.asarray(own(some), np.float64)
+                if vectors.shape != (len(some), dimension):
+                    raise ValueError(f"the encoder gave {vectors.shape} for {(len(some), dimension)}")
+                sizes = np.linalg.norm(vectors, axis=1, keepdims=True)
+                if not np.isfinite(vectors).all() or not (sizes > 0).all():
+                    raise ValueError("the encoder gave vectors that are zero or not finite")
+                found.append(vectors / sizes)
+            flat = np.concatenate(found).ravel() if found else np.empty(0)
+            array = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * dimension), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([*rows.columns, array], [*rows.schema.names, to])
+
+    return rows.mapInArrow(part, StructType([*rows.schema.fields, StructField(to, ArrayType(DoubleType()))]))
+
+
+def nearest_texts(queries: DataFrame, index: DataFrame, encoder: Callable[[], Callable[[list[str]], Any]], dimension: int, k: int = 5, extra: tuple[str, ...] = ("type", "queue")) -> DataFrame:
+    """The k indexed tickets most similar to each text, without those of the same text, ranked. queries: vec_id and text;
+    index: vec_id, text, unit vectors in embedding and the extra columns."""
+    asked_for = encoded(queries, "text", encoder, dimension)
+    hits = retrieval.top_k(asked_for, index, k * retrieval.OVERFETCH, extra=("text", *extra))
+    hits = hits.join(queries.select(F.col("vec_id").alias("query_id"), F.col("text").alias("query_text")), "query_id")
+    return retrieval.filtered(hits, fold(F.col("query_text")) != fold(F.col("text")), k).drop("query_text")
+
+
+def classify_by_neighbours(tickets: DataFrame, index: DataFrame, provider: Callable[[], Provider], template: str, types: list[str], queues: list[str], tags: list[str], k: int = 3) -> DataFrame:
+    """Classification with retrieved examples: each ticket's nearest labelled tickets whose labels the schema has, written
+    into the prompt. tickets: vec_id, text, embedding; index: vec_id, text, embedding, type, queue, tags."""
+    hits = retrieval.top_k(tickets, index, k * retrieval.OVERFETCH, extra=("text", "type", "queue", "tags"))
+    hits = hits.join(tickets.select(F.col("vec_id").alias("query_id"), F.col("text").alias("query_text")), "query_id")
+    allowed = F.col("type").isin(types) & F.col("queue").isin(queues) & (fold(F.col("query_text")) != fold(F.col("text")))
+    shown = examples_from_neighbours(retrieval.filtered(hits, allowed, k), k).withColumnRenamed("query_id", "vec_id")
+    own = tickets.drop("embedding").join(shown, "vec_id", "left").na.fill("", ["examples"])
+    return classify(own, provider, template, types, queues, tags)
+
+
+@dataclass(frozen=True)
+class ModelSource:
+    """An endpoint and the models that it offers."""
+
+    key: str
+    label: str
+    endpoint: str | None
+    models: tuple[str, ...]
+    has_key: bool = False
+    needs_key: bool = True
+    logprobs: bool = False
+
+    @property
+    def ready(self) -> bool:
+        return bool(self.endpoint) and (self.has_key or not self.needs_key)
+
+
+def model_choices(settings: dict[str, dict]) -> dict[str, tuple[ModelSource, str]]:
+    """source:model of each model that can be asked, in the order of the settings."""
+    out = {}
+    for key, own in settings.items():
+        source = ModelSource(key, own.get("label") or key, own.get("endpoint"), tuple(own.get("models") or ()), bool(own.get("api_key")), own.get("needs_key", True), bool(own.get("supports_logprobs")))
+        out |= {f"{key}:{model}": (source, model) for model in source.models if source.ready}
+    return out
+
+
+def chosen_model(choices: dict[str, tuple[ModelSource, str]], wanted: str | None) -> tuple[ModelSource, str]:
+    """The model of an id, or of a bare name that only one source has; the first one where none is asked for."""
+    if not choices:
+        raise ValueError("no model can be asked")
+    if not wanted:
+        return next(iter(choices.values()))
+    if wanted in choices:
+        return choices[wanted]
+    named = [c for c in choices.values() if c[1] == wanted]
+    if len(named) != 1:
+        raise ValueError(f"{'several sources have' if named else 'no source has'} the model {wanted}")
+    return named[0]
+
+
+def extract(rows: DataFrame, provider: Callable[[], Provider], template: str, labels: list[str], freeform: bool = False, tries: int = 2) -> DataFrame:
+    """Entities of rows (id, text, tokens, and examples if the template has them): the first reply of up to ``tries`` whose
+    JSON is valid, else the last; free-form replies are asked for once."""
+    words = F.transform("tokens", lambda t: t["text"])
+    values = {"tokens": indexed(words), "text": F.col("text"), "examples": F.col("examples") if "examples" in rows.columns else F.lit("")}
+    values |= {c: F.col(c) for c in rows.columns if c not in values}
+    own = rows.withColumn("prompt", filled(template, values))
+    if freeform:
+        return freeform_entities(call(own, provider, ["prompt"]), labels)
+    return structured_entities(call(own, provider, ["prompt"], tries, accept=is_json), labels)
+
+
+def extract_verified(rows: DataFrame, provider: Callable[[], Provider], template: str, second: str, labels: list[str]) -> DataFrame:
+    """Two steps: a second prompt sees the first's entities as JSON and replaces them where its own JSON is valid."""
+    first = extract(rows, provider, template, labels)
+    again = first.select("id", "text", "tokens", F.to_json(F.struct("entities")).alias("entities_json"))
+    return verified(first, extract(again, provider, second, labels), "id")
+
+
+#: Methods by name: what each needs is a template, labels (or a ticket schema) and a provider.
+CLASSIFIERS: dict[str, Callable[..., DataFrame]] = {"zero_shot": classify, "few_shot": classify, "agent": partial(classify, steps=2), "neighbours": classify_by_neighbours}
+EXTRACTORS: dict[str, Callable[..., DataFrame]] = {"zero_shot_structured": extract, "few_shot_structured": extract, "zero_shot_freeform": partial(extract, freeform=True), "few_shot_freeform": partial(extract, freeform=True), "verified": extract_verified}
+
+
+def method(kind: str, name: str) -> Callable[..., DataFrame]:
+    """The classifier or extractor of a name."""
+    known = {"classification": CLASSIFIERS, "extraction": EXTRACTORS}[kind]
+    if name not in known:
+        raise ValueError(f"unknown method {name}; there are {', '.join(known)}")
+    return known[name]

@@ -96,3 +96,14 @@ def cutoff(explicit: Column, sentences: Column, processed: Column, text: Column)
         .when(end.isNotNull(), F.struct(end.cast("int").alias("cutoff"), F.lit("sentences").alias("scope")))
         .otherwise(F.struct(F.length(text).alias("cutoff"), F.lit("full").alias("scope")))
     )
+
+
+def step_changes(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
+    """key, change and text of entities that a second step added, removed, or kept under another key: rephrased_or_shifted
+    are pairs with one text whose start or stop differs. Rows: key, text, start, stop."""
+    own = ["text", "start", "stop"]
+    listed = lambda kept, against, name: listing(kept, against, [key, *own]).withColumn("change", F.lit(name))
+    a = first.select(key, "text", F.col("start").alias("a0"), F.col("stop").alias("a1")).distinct()
+    b = second.select(key, "text", F.col("start").alias("b0"), F.col("stop").alias("b1")).distinct()
+    moved = a.join(b, [key, "text"]).filter("a0 <> b0 or a1 <> b1").select(key, "text", F.col("b0").alias("start"), F.col("b1").alias("stop"), F.lit("rephrased_or_shifted").alias("change")).distinct()
+    return listed(second, first, "added").unionByName(listed(first, second, "removed")).unionByName(moved)

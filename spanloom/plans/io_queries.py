@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from ..functions.metrics import set_counts
 from ..functions.text import TOKEN
 from ..operators import corpus, inference, scoring, tokens, validate
-from ..runtime import scratch, table
+from ..runtime import scratch, table, written
 from ..sources import readers, writers
 from ..streaming import runner
 from .scoring_queries import SPAN, _gold, _predicted
-from .text_queries import BOUNDS, TOKENS, _Q
+from .text_queries import BOUNDS, SENTENCES, TOKENS, _Q
 
 
 def _raw(spark: SparkSession, sf: str) -> DataFrame:
@@ -27,7 +27,7 @@ def _raw(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def document_records(spark, sf):
-    """TOK-06, TOK-07, TOK-08, SRC-02: documents normalised with offsets."""
+    """TOK-06, TOK-07, TOK-08: documents normalised with offsets."""
     own = corpus.documents(_raw(spark, sf).filter(F.size("words") > 0))
     return own.select(F.col("doc_id").cast("long").alias("doc_id"), "token_count", F.md5("text").alias("digest"), F.get("entities", F.lit(0))["text"].alias("entity"), F.get("sentences", F.lit(0))["end_char"].alias("length"))
 
@@ -39,8 +39,12 @@ select doc_id, token_count, md5(x) digest, entity, length(x)::integer as length
 
 
 def document_violations(spark, sf):
-    """VAL-06, VAL-08: normalised documents break no rule."""
-    return validate.document_violations(corpus.documents(_raw(spark, sf).filter(F.size("words") > 0))).agg(F.count("*").alias("violations"))
+    """VAL-06, VAL-08: normalised documents break only the rules that faults planted in them break."""
+    own = corpus.documents(_raw(spark, sf).filter(F.size("words") > 0))
+    n = F.col("doc_id").cast("long")
+    moved = F.transform("sentences", lambda x: x.withField("end_char", x["end_char"] + F.lit(1)))
+    own = own.withColumn("token_count", F.when(n % 10 == 3, F.col("token_count") + 1).otherwise(F.col("token_count"))).withColumn("sentences", F.when(n % 7 == 2, moved).otherwise(F.col("sentences")))
+    return validate.document_violations(own).groupBy("rule").agg(F.count("*").alias("violations"), F.sum(F.col("key").cast("long")).alias("keys"))
 
 
 def _sentences(spark: SparkSession, sf: str) -> DataFrame:
@@ -66,9 +70,12 @@ def window_records(spark, sf):
 
 
 def window_violations(spark, sf):
-    """VAL-07: windows agree with their documents."""
+    """VAL-07: windows agree with their documents but for the faults planted in them."""
     bounds = {name: (low, high) for name, low, high in BOUNDS}
-    return validate.example_violations(_windows(spark, sf), _sentences(spark, sf), bounds).agg(F.count("*").alias("violations"))
+    n = F.col("doc_id").cast("long")
+    own = _windows(spark, sf).withColumn("source_split", F.when(n % 10 == 3, "x").otherwise(F.col("source_split"))).withColumn("text", F.when(n % 7 == 2, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).withColumn("length_bucket", F.when(n % 6 == 1, "long").otherwise(F.col("length_bucket")))
+    own, docs = written(own, "windows"), written(_sentences(spark, sf), "documents")  # checks read their input several times
+    return validate.example_violations(own, docs, bounds).groupBy("rule").agg(F.count("*").alias("violations"))
 
 
 def flatten_roundtrip(spark, sf):
@@ -98,7 +105,7 @@ def bootstrap_exact(spark, sf):
 
 
 def jsonl_roundtrip(spark, sf):
-    """SNK-01, SNK-02, SRC-03, SRC-04: canonical lines by split, read strictly."""
+    """SNK-01, SNK-02, SRC-03: canonical lines by split, read strictly."""
     to = scratch(spark, "lines")
     writers.write_lines(table(spark, sf, "customer").withColumn("split", F.col("c_custkey") % 3), to, "split")
     back = readers.jsonl(spark, to, "c_custkey long, c_name string, c_mktsegment string, c_acctbal double")
@@ -117,7 +124,7 @@ def vector_index_roundtrip(spark, sf):
     """SNK-08, SNK-09, SRC-15: a written index passes its checks."""
     to = scratch(spark, "index")
     writers.write_index(table(spark, sf, "embeddings"), to, "vec_id")
-    return writers.open_index(spark, to, "vec_id").agg(F.count("*").alias("n"), F.sum("vec_id").alias("ids"))
+    return writers.open_index(spark, to, "vec_id").agg(F.count("*").alias("n"), F.sum("vec_id").alias("ids"), F.round(F.sum(F.element_at("embedding", 1) * F.col("vec_id")), 6).alias("first"), F.round(F.sum(F.element_at("embedding", -1) * F.col("vec_id")), 6).alias("last"))
 
 
 def budget_admission(spark, sf):
@@ -150,7 +157,7 @@ class Props:
 
 
 def resume_stream(spark, sf):
-    """STM-01 to STM-06: a run over a stream of files, with attempts written before the calls; the latest results."""
+    """STM-02 to STM-04, STM-06: a run over a stream of files, with attempts written before the calls; the latest results."""
     own = table(spark, sf, "events").select("event_id", "props")
     source = scratch(spark, "requests")
     own.write.parquet(source)
@@ -169,11 +176,11 @@ QUERIES = {f.__name__: f for f in (document_records, document_violations, window
 
 ORACLE_SQL = {
     "document_records": DOCUMENTS_SQL,
-    "document_violations": "select 0::bigint violations",
-    "window_violations": "select 0::bigint violations",
+    "document_violations": f"""with d as (select doc_id from documents where len({TOKENS}) > 0), v as (select 'token_count' r, doc_id from d where doc_id % 10 = 3 union all select 'sentences_boundary', doc_id from d where doc_id % 7 = 2) select r as "rule", count(*) violations, sum(doc_id)::bigint "keys" from v group by 1""",
+    "window_violations": f"""with d as (select doc_id n from documents where len({SENTENCES}) >= 4) select 'split' as "rule", count(*) violations from d where n % 10 = 3 union all select 'window_text', count(*) from d where n % 7 = 2 union all select 'bucket', count(*) from d where n % 6 = 1""",
     "jsonl_roundtrip": "select c_mktsegment, count(*) n, sum(c_custkey)::bigint \"keys\", max(c_name) \"last\" from customer group by 1",
     "csv_roundtrip": "select conv_id, turn, md5(text) digest, len(string_split(text, ' '))::integer n from conversations",
-    "vector_index_roundtrip": "select count(*) n, sum(vec_id)::bigint ids from embeddings",
+    "vector_index_roundtrip": """with e as (select vec_id, list_transform(embedding, lambda x: x::double) v from embeddings), u as (select *, sqrt(list_sum(list_transform(v, lambda x: x * x))) s from e) select count(*) n, sum(vec_id)::bigint ids, round(sum(v[1] / s * vec_id), 6) "first", round(sum(v[-1] / s * vec_id), 6) "last" from u""",
     "budget_admission": "with e as (select event_id, sum(event_id % 7 + 1) over (order by event_id) running from events) select event_id, running::bigint running from e where running <= 20000",
     "resume_stream": "select event_id, 'ok' status, (props->>'$.k')::integer k from events",
     "vote_windows": "select date_trunc('day', ts) as day, event_type, count(*) votes, avg(value) mean from events group by 1, 2",

@@ -147,7 +147,7 @@ def knn_overfetch_filter(spark, sf):
 
 
 def knn_weighted_vote(spark, sf):
-    """AGG-23, LLM-17."""
+    """AGG-23."""
     own = table(spark, sf, "embeddings")
     hits = retrieval.top_k(own.filter("vec_id % 50 = 0"), own, 5, extra=("label",))
     return retrieval.weighted_vote(hits, "label").withColumn("confidence", F.round("confidence", 9))

@@ -9,6 +9,7 @@ from ..functions.metrics import set_counts, with_prf
 from ..operators import scoring, spans
 from ..runtime import table
 from .derived import GOLD_SQL, PREDICTED_SQL, view
+from .text_queries import BLANKS, NORM
 
 GP = f"gold as ({GOLD_SQL}), pred as ({PREDICTED_SQL})"
 PRF = """case when tp + fp > 0 then tp::double / (tp + fp) else 0 end as "precision", case when tp + fn > 0 then tp::double / (tp + fn) else 0 end as recall,
@@ -51,7 +52,7 @@ def _multiset(keys):
 
 def _multiset_sql(keys: str, group: str = "") -> str:
     k = f"example, {keys}{', ' + group if group else ''}"
-    norm = "trim(regexp_replace(text, '\\s+', ' ', 'g')) key_text"
+    norm = f"trim(regexp_replace(text, '{BLANKS}', ' ', 'g')) key_text"
     return f"""with {GP}, g as (select {k}, count(*) n from (select *, {norm} from gold) group by all), p as (select {k}, count(*) n from (select *, {norm} from pred) group by all),
 c as (select {group + "," if group else ""} sum(least(coalesce(g.n, 0), coalesce(p.n, 0)))::bigint tp, sum(greatest(coalesce(p.n, 0) - coalesce(g.n, 0), 0))::bigint fp, sum(greatest(coalesce(g.n, 0) - coalesce(p.n, 0), 0))::bigint fn from g full join p using ({k}) group by all)
 select *, {PRF}{", tp + fn as support" if group else ""} from c"""
@@ -213,7 +214,6 @@ def split_disjointness(spark, sf):
 QUERIES = {f.__name__: f for f in (strict_prf_by_label, prf_by_grouping, per_type_support, macro_doc_f1, bootstrap_ci, overlap_candidates, flex_overlap_prf, flex_tolerant_prf, fp_listing, fn_listing, window_overlap_stats, prefix_cutoff, containment, coverage_missing_unknown, latest_prediction, run_totals, accuracy_macro_f1, tag_set_metrics, tag_metrics_rounded, evidence_valid_rate, json_validity_rates, leaderboard_union, split_disjointness)}
 QUERIES |= {"multiset_prf_strict": _multiset(scoring.STRICT), "multiset_prf_lenient": _multiset(scoring.LENIENT)}
 
-_NORM = lambda x: f"trim(regexp_replace(lower(coalesce({x}, '')), '\\s+', ' ', 'g'))"
 ORACLE_SQL = {
     "strict_prf_by_label": f"with {SETS}, c as (select label, {COUNTS} from m group by label) select *, {PRF} from c",
     "prf_by_grouping": f"with {SETS}, e as (select example, example % 4 bucket, example % 3 split, {COUNTS} from m group by 1), c as (select bucket, split, grouping(bucket, split)::bigint grouping_id, sum(tp)::bigint tp, sum(fp)::bigint fp, sum(fn)::bigint fn from e group by grouping sets ((), (bucket), (split))) select *, {PRF} from c",
@@ -244,10 +244,10 @@ select *, (n_gold - n_missing - n_failed)::double / n_gold coverage_rate from c"
 l as (select g l from r union select p from r), c as (select l, count(*) filter (g = l and p = l) tp, count(*) filter (p = l and g <> l) fp, count(*) filter (g = l and p <> l) fn from l, r group by l), f as (select *, {PRF} from c)
 select count(*) n_labels, avg(f1) macro_f1, (select count(*) filter (g = p)::double / count(*) from r) accuracy from f""",
     "tag_set_metrics": TAGS_SQL,
-    "evidence_valid_rate": f"""with e as (select text, unnest(['  ' || substr(text, 1, 12 + turn::int), case when turn % 3 = 0 then '' else substr(text, 5, 6) || '#' end]) ev from conversations), c as (select count(*) n_evidence, count(*) filter ({_NORM("ev")} <> '' and contains({_NORM("text")}, {_NORM("ev")})) n_valid from e where ev <> '')
+    "evidence_valid_rate": f"""with e as (select text, unnest(['  ' || substr(text, 1, 12 + turn::int), case when turn % 3 = 0 then '' else substr(text, 5, 6) || '#' end]) ev from conversations), c as (select count(*) n_evidence, count(*) filter ({NORM("ev")} <> '' and contains({NORM("text")}, {NORM("ev")})) n_valid from e where ev <> '')
 select *, n_valid::double / n_evidence evidence_valid_rate from c""",
     "json_validity_rates": """with r as (select event_id % 3 = 0 v, event_id % 5 <> 0 a, event_id % 7 = 0 l from events) select count(*) n, count(*) filter (a) n_applicable, count(*) filter (a and v)::double / count(*) filter (a) json_valid_rate,
 count(*) filter (a and not v)::double / count(*) filter (a) invalid_json_rate, count(*) filter (l)::double / count(*) invalid_label_rate from r""",
     "leaderboard_union": "select n_name name, (n_nationkey * 7 % 25)::double score, n_regionkey region from nation union all select r_name, r_regionkey + 0.5::double, null from region",
-    "split_disjointness": f"select md5({_NORM('text')}) \"key\", count(distinct doc_id % 3) n_splits from documents group by 1 having count(distinct doc_id % 3) > 1",
+    "split_disjointness": f"select md5({NORM('text')}) \"key\", count(distinct doc_id % 3) n_splits from documents group by 1 having count(distinct doc_id % 3) > 1",
 }

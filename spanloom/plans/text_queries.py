@@ -8,7 +8,8 @@ from ..functions import text as T
 from ..operators import corpus, labels, parsing, tokens, validate
 from ..runtime import table
 
-NORM = lambda x: f"trim(regexp_replace(lower(coalesce({x}, '')), '\\s+', ' ', 'g'))"
+BLANKS = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+NORM = lambda x: f"trim(regexp_replace(lower(coalesce({x}, '')), '{BLANKS}', ' ', 'g'))"
 TOKENS = f"regexp_extract_all(text, '{T.TOKEN.replace(chr(39), chr(39) * 2)}')"
 SENTENCES = r"""list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?])\s+([A-Z0-9"''])', '\1' || chr(30) || '\2', 'g'), chr(30) || '|\n+'), lambda s: trim(s, ' ' || chr(9) || chr(10) || chr(13))), lambda s: regexp_matches(s, '\S'))"""
 BOUNDS = [("short", 1, 5), ("medium", 6, 15), ("long", 16, 60), ("very_long", 61, None)]

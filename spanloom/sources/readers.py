@@ -100,6 +100,22 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
+def prompt_template(spark: SparkSession, path: str) -> str:
+    """A template's text; the same path is read once."""
+    if path not in _TEMPLATES:
+        _TEMPLATES[path] = spark.read.text(path, wholetext=True).first().value
+    return _TEMPLATES[path]
+
+
+_TEMPLATES: dict[str, str] = {}
+
+
+def sample_texts(spark: SparkSession) -> DataFrame:
+    """name and text of a few built-in examples to try the engine on."""
+    rows = [("release note", "Ann Berg joined the Oslo office in May. She tests the new parser with two colleagues."), ("ticket", "The invoice of March is missing, and the portal shows an error."), ("empty", "")]
+    return spark.createDataFrame(rows, "name string, text string")
+
+
 def template_config(config: dict) -> dict:
     """A use case's settings: a name, labels without repeats in their order, and optional departments and prompt."""
     own = config.get("runner", config)

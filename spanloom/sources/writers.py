@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +60,59 @@ def reassembled(examples: DataFrame, sentences: DataFrame, entities: DataFrame)
     return own.withColumn("sections", F.array()).drop("character_count", "entity_count", "section_count"), bad
 
 
+def put(spark: SparkSession, path: str, content: bytes, tries: int = 5, wait: float = 0.1) -> None:
+    """A small file in one step: written beside its place and renamed, tried again after a growing wait if the store fails."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    place, draft = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.draft")
+    for attempt in range(1, tries + 1):
+        try:
+            fs = place.getFileSystem(conf)
+            out = fs.create(draft, True)
+            out.write(bytearray(content))
+            out.close()
+            if fs.exists(place):
+                fs.delete(place, False)
+            if not fs.rename(draft, place):
+                raise OSError(f"cannot rename to {path}")
+            return
+        except Exception:  # noqa: BLE001  any failure of the store
+            if attempt == tries:
+                raise
+            time.sleep(wait * 2 ** (attempt - 1))
+
+
+def write_one_file(rows: DataFrame, path: str) -> None:
+    """Lines as one file of a given name, which the layout of a corpus asks for; one task writes it, so it is for splits of
+    a bounded size. Larger ones go through ``write_lines``."""
+    draft = f"{path}.{uuid.uuid4().hex}"
+    rows.coalesce(1).write.text(draft)
+    spark = rows.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(draft)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    (part,) = [f.getPath() for f in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{draft}/part-*"))]
+    fs.rename(part, spark._jvm.org.apache.hadoop.fs.Path(path))
+    fs.delete(at, True)
+
+
+def save_state(spark: SparkSession, folder: str, key: str, state: dict) -> str:
+    """The state of one example as a small file named by the digest of its key."""
+    path = f"{folder}/{hashlib.sha1(key.encode()).hexdigest()}.json"
+    put(spark, path, json.dumps({"key": key} | state, sort_keys=True, ensure_ascii=False).encode())
+    return path
+
+
+def load_states(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """All saved states below a folder."""
+    return spark.read.schema(f"key string, {schema}").option("pathGlobFilter", "*.json").json(folder) if readers.exists(spark, folder) else spark.createDataFrame([], f"key string, {schema}")
+
+
+def prediction_lines(records: DataFrame, path: str, debug: tuple[str, ...] = ("reply",)) -> None:
+    """Predictions as JSON lines, and what only debugging needs beside them."""
+    rest = [c for c in records.columns if c not in debug]
+    records.select(*rest).write.mode("overwrite").json(f"{path}/predictions")
+    records.select(rest[0], *(c for c in debug if c in records.columns)).write.mode("overwrite").json(f"{path}/debug")
+
+
 def write_scores(scores: DataFrame, path: str) -> None:
     """CSV with arrays and structs as JSON."""
     nested = [f.name for f in scores.schema.fields if f.dataType.typeName() in ("array", "struct", "map")]

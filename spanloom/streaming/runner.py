@@ -44,11 +44,15 @@ class Runner:
         for row in self._table("results", "fingerprint string").select("fingerprint").distinct().limit(2).collect():
             if row.fingerprint != self.mark:
                 raise ValueError("the folder holds results of another configuration")
+        self.used = self.attempts().count()  # once; each step adds its own
 
     def _table(self, name: str, schema: str | None = None) -> DataFrame:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
         if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
             return self.spark.createDataFrame([], schema or ", ".join(f"{k} string" for k in self.key))
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch=*/try=*/_SUCCESS"))
+        if not files:  # a first try that did not end
+            return self.spark.createDataFrame([], schema or ", ".join(f"{k} string" for k in self.key))
         return self.spark.read.parquet(f"{self.folder}/{name}")
 
     def attempts(self) -> DataFrame:
@@ -59,21 +63,33 @@ class Runner:
 
     def latest(self) -> DataFrame:
         """The last result of each key."""
-        return latest(self.results(), self.key, ["batch"])
+        return latest(self.results(), self.key, ["batch", "try"])
 
     def step(self, rows: DataFrame, batch: int, provider: Callable[[], Provider], columns: list[str]) -> None:
-        """One batch: what is not done and fits the budget is recorded as attempted, asked and appended, failures too."""
+        """One batch: what is not done and fits the budget is recorded as attempted, asked and appended, failures too.
+
+        Each try of a batch has folders of its own, so a batch that runs again after a failure asks for what has no good
+        result yet and for nothing twice. Attempts of all tries count towards the budget, as their calls may have been made.
+        """
         done = self.results()
         if "status" in done.columns:
             rows = rows.join(done.filter("status = 'ok'").select(*self.key).distinct(), self.key, "left_anti")
-        used = self.attempts().count()
-        own = admitted(rows.withColumn("__one", F.lit(1)), self.key, "__one", self.most_calls - used).drop("__one", "running")
+        nth = self._tries(batch)
+        own = admitted(rows.withColumn("__one", F.lit(1)), self.key, "__one", self.most_calls - self.used).drop("__one", "running")
         # written and read again: a second evaluation must not admit other rows
-        own.withColumn("batch", F.lit(batch).cast("long")).write.mode("append").parquet(f"{self.folder}/attempts")
-        fixed = self.spark.read.parquet(f"{self.folder}/attempts").filter(F.col("batch") == batch)
+        place = f"batch={batch}/try={nth}"
+        own.write.mode("overwrite").parquet(f"{self.folder}/attempts/{place}")
+        fixed = self.spark.read.schema(own.schema).parquet(f"{self.folder}/attempts/{place}")
+        self.used += fixed.count()
         out = call(fixed, provider, columns, tries=1)
         status = F.when(F.col("reply.error").isNull(), "ok").otherwise("error")
-        out.withColumns({"status": status, "fingerprint": F.lit(self.mark), "finished_at": F.current_timestamp()}).write.mode("append").parquet(f"{self.folder}/results")
+        out.withColumns({"status": status, "fingerprint": F.lit(self.mark), "finished_at": F.current_timestamp()}).write.mode("overwrite").parquet(f"{self.folder}/results/{place}")
+
+    def _tries(self, batch: int) -> int:
+        """How often the batch has been begun."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/attempts/batch={batch}")
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return len(fs.listStatus(path)) if fs.exists(path) else 0
 
     def stream(self, source: str, schema, provider: Callable[[], Provider], columns: list[str], files_per_batch: int = 1):
         """All files of a folder that have not been read yet, some at a time; ends when none is left."""
@@ -85,10 +101,15 @@ class Runner:
     def _next(self, n: int) -> int:
         return n
 
-    def progress(self, planned: int) -> dict:
-        """Calls planned, attempted and answered, and the share that is done."""
-        answered = self.results().filter("status = 'ok'").select(*self.key).distinct().count() if "status" in self.results().columns else 0
-        return {"planned": planned, "attempted": self.attempts().count(), "answered": answered, "share": answered / planned if planned else 0.0}
+    def progress(self, planned: int, seconds: float | None = None) -> dict:
+        """Calls planned, attempted and answered, the share that is done, and how long the rest will take at the pace so far."""
+        own = self.results()
+        answered = own.filter("status = 'ok'").select(*self.key).distinct().count() if "status" in own.columns else 0
+        share = answered / planned if planned else 0.0
+        out = {"planned": planned, "attempted": self.used, "answered": answered, "share": share, "seconds_left": None}
+        if answered and seconds is not None:
+            out["seconds_left"] = seconds / answered * (planned - answered)
+        return out
 
 
 def windowed_votes(events: DataFrame, late: str = "1 hour", width: str = "1 hour") -> DataFrame:

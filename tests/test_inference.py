@@ -101,11 +101,68 @@ def test_resume_after_a_failure(spark, tmp_path):
     run = runner.Runner(spark, folder, ["key"], {"model": "m"}, 10)
     run.step(rows.withColumn("fail", F.lit(False)), 1, Second, ["prompt", "fail"])
     assert {r.key: r.status for r in run.latest().collect()} == {"a": "ok", "b": "ok", "c": "ok"}
-    assert run.progress(3) == {"planned": 3, "attempted": 4, "answered": 3, "share": 1.0}
+    assert run.progress(3) == {"planned": 3, "attempted": 4, "answered": 3, "share": 1.0, "seconds_left": None}
     with pytest.raises(ValueError, match="another configuration"):
         runner.Runner(spark, folder, ["key"], {"model": "other"}, 10)
 
 
+def test_a_batch_that_runs_again(spark, tmp_path):
+    """A stop after the attempts were written, and the batch run again: each row is asked once and has one result."""
+    folder, rows = f"file://{tmp_path}/run", spark.createDataFrame([(f"k{i}", f"q{i}", False) for i in range(5)], "key string, prompt string, fail boolean")
+
+    class Stopped(runner.Runner):
+        def _tries(self, batch):
+            self.stopped = super()._tries(batch)
+            return self.stopped
+
+    def broken():
+        raise RuntimeError("stop")
+
+    run = Stopped(spark, folder, ["key"], {}, 20)
+    with pytest.raises(Exception, match="stop"):
+        run.step(rows, 0, broken, ["prompt", "fail"])
+    run = Stopped(spark, folder, ["key"], {}, 20)
+    assert run.used == 5  # reserved before the calls
+    run.step(rows, 0, Second, ["prompt", "fail"])
+    assert run.stopped == 1 and run.results().count() == 5 and run.latest().count() == 5
+    run.step(rows, 0, Second, ["prompt", "fail"])
+    assert run.results().count() == 5 and run.progress(5, 10.0)["seconds_left"] == 0
+
+
+def test_an_answer_that_is_not_accepted(spark):
+    class Twice:
+        def __init__(self):
+            self.n = 0
+
+        def answer(self, request):
+            self.n += 1
+            return {"text": "{" if self.n == 1 else "```json\n{}\n```"}
+
+    out = inference.asked(Twice(), {"prompt": "p"}, 2, accept=inference.is_json)
+    assert (out["text"], out["attempts"]) == ("```json\n{}\n```", 2)
+    assert inference.asked(Twice(), {"prompt": "p"}, 1, accept=inference.is_json)["text"] == "{"
+
+
+def test_models():
+    choices = inference.model_choices({"a": {"endpoint": "x", "api_key": "k", "models": ["m", "n"]}, "b": {"endpoint": "y", "needs_key": False, "models": ["m"]}, "c": {"models": ["z"], "api_key": "k"}, "d": {"endpoint": "w", "models": ["o"]}})
+    assert list(choices) == ["a:m", "a:n", "b:m"]
+    assert inference.chosen_model(choices, None)[1] == "m" and inference.chosen_model(choices, "n")[0].key == "a" and inference.chosen_model(choices, "b:m")[0].key == "b"
+    for wanted in ("m", "z"):
+        with pytest.raises(ValueError, match="model"):
+            inference.chosen_model(choices, wanted)
+    with pytest.raises(ValueError, match="unknown"):
+        inference.method("extraction", "none")
+
+
+def test_encoder_checks(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, None)], "vec_id long, text string")
+    good = inference.encoded(rows, "text", lambda: lambda texts: [[3.0, 4.0]] * len(texts), 2).collect()
+    assert all(r.embedding == pytest.approx([0.6, 0.8]) for r in good)
+    for bad in ([[0.0, 0.0]], [[float("nan"), 1.0]], [[1.0]]):
+        with pytest.raises(Exception, match="encoder"):
+            inference.encoded(rows, "text", lambda bad=bad: lambda texts: bad * len(texts), 2).collect()
+
+
 def test_budget(spark, tmp_path):
     rows = spark.createDataFrame([(f"k{i}", f"q{i}", False) for i in range(3)], "key string, prompt string, fail boolean")
     run = runner.Runner(spark, f"file://{tmp_path}/run", ["key"], {}, 2)
