@@ -19,7 +19,7 @@ Buckets hold packed records; text moves only to be joined with what was found in
 
 Results on odd input: null and empty texts have no bytes and lose none, their digest is that of no bytes; texts shorter
 than the width lose none; rows that repeat a doc_id and its text are one document and each keep their row; different
-texts of one doc_id are ordered by a hash of the text; a null doc_id comes before all others; very long texts are read
+texts of one doc_id are ordered by a digest of the text; a null doc_id comes before all others; very long texts are read
 in overlapping parts, whole; other columns are kept by ``without_repeats`` and ignored otherwise.
 """
 
@@ -30,13 +30,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.labels import dense_ids
 from ..runtime import written
 from .bwt import window_classes
 from .shingles import mix
-from .workers import forget, slices
+from .workers import forget, fresh, slices
 
 GRAM = 16
 RECORD = np.dtype([("anchor", "u8"), ("same", "u8"), ("left", "u4"), ("right", "u4"), ("doc", "i8"), ("start", "u4"), ("windows", "u1")])
@@ -49,6 +50,17 @@ SAMPLE = 64  # one document in so many tells the frequent anchors
 Hot = tuple[np.ndarray, np.ndarray]  # sorted anchors, and over how many buckets each is dealt
 
 
+def _tasks(spark: SparkSession, buckets: int) -> np.ndarray:
+    """A number for each bucket that repartition(buckets, number) sends to a task of its own; hashing the buckets
+    themselves would leave a third of the tasks idle and give others several."""
+    numbers = spark.range(32 * buckets).select(F.col("id").cast("int").alias("number"))
+    rows = numbers.groupBy(F.pmod(F.hash("number"), F.lit(buckets)).alias("task")).agg(F.min("number").alias("number")).collect()
+    own = np.arange(buckets, dtype=np.int32)
+    for row in rows:
+        own[row.task] = row.number
+    return own
+
+
 def _powers(n: int, base: np.uint64) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(n + 1, base), np.full(n + 1, _U(pow(int(base), -1, 1 << 64)))
     up[0] = down[0] = 1
@@ -136,8 +148,8 @@ def _parts(texts: list[bytes], keys: list[int], width: int, most: int = 1 << 20)
         yield out()
 
 
-def _dealt(anchors: np.ndarray, docs: np.ndarray, hot: Hot, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """The bucket of each record, and whether its anchor is dealt over several."""
+def _dealt(anchors: np.ndarray, docs: np.ndarray, hot: Hot, tasks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each record's bucket, and whether its anchor is dealt over several."""
     own, parts = hot
     at = np.minimum(np.searchsorted(own, anchors), max(0, len(own) - 1))
     is_hot = (own[at] == anchors) if len(own) else np.zeros(len(anchors), bool)
@@ -145,7 +157,7 @@ def _dealt(anchors: np.ndarray, docs: np.ndarray, hot: Hot, buckets: int) -> tup
     if is_hot.any():
         salt = mix(docs[is_hot].astype(np.int64).view(np.uint64) + _B) % parts[at[is_hot]]
         bucket[is_hot] += mix(anchors[is_hot] ^ (salt * _B2)) * (salt > 0)
-    return (bucket % _U(buckets)).astype(np.int32), is_hot
+    return tasks[(bucket % _U(len(tasks))).astype(np.int64)], is_hot
 
 
 def _hot(docs: DataFrame, width: int, buckets: int, least: int = 30) -> Hot:
@@ -169,7 +181,7 @@ def _hot(docs: DataFrame, width: int, buckets: int, least: int = 30) -> Hot:
     return own[order], parts[order]
 
 
-def _packed(docs: DataFrame, width: int, buckets: int, hot: Hot) -> DataFrame:
+def _packed(docs: DataFrame, width: int, tasks: np.ndarray, hot: Hot) -> DataFrame:
     """bucket and records. Of equal strings within a slice only the first goes on; the others are marked at once (anchor 0)."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +202,7 @@ def _packed(docs: DataFrame, width: int, buckets: int, hot: Hot) -> DataFrame:
                 own = np.concatenate(found)
                 own = own[np.lexsort((own["start"], own["doc"], own["same"], own["anchor"]))]
                 again = np.concatenate([[False], (own["anchor"][1:] == own["anchor"][:-1]) & (own["same"][1:] == own["same"][:-1])])
-                bucket, _ = _dealt(own["anchor"], own["doc"], hot, buckets)
+                bucket, _ = _dealt(own["anchor"], own["doc"], hot, tasks)
                 own["same"][again] = 0  # a repeat of the one before it, unless that is the same place of a repeated row
                 same_place = np.concatenate([[False], (own["doc"][1:] == own["doc"][:-1]) & (own["start"][1:] == own["start"][:-1])]) & again
                 own, bucket = own[~same_place], bucket[~same_place]
@@ -212,6 +224,7 @@ def _compare(packed: DataFrame, hot: Hot) -> DataFrame:
     """Marks: repeats of whole strings (anchor null), and strings whose windows must be compared (with their anchor)."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         held: dict[int, list[bytes]] = {}
         for batch in batches:
             for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("packed").to_pylist(), strict=True):
@@ -236,7 +249,7 @@ def _compare(packed: DataFrame, hot: Hot) -> DataFrame:
     return packed.mapInArrow(part, MARK)
 
 
-def _fetched(docs: DataFrame, opened: DataFrame, width: int, buckets: int, hot: Hot) -> DataFrame:
+def _fetched(docs: DataFrame, opened: DataFrame, width: int, tasks: np.ndarray, hot: Hot) -> DataFrame:
     """bucket and strings: anchor, document, start and windows of each (a record) and their bytes, one after the other."""
     wanted = opened.groupBy("doc_key").agg(F.collect_list(F.struct("place", "anchor")).alias("marks")).select("doc_key", F.col("marks.place").alias("places"), F.col("marks.anchor").alias("anchors"))
 
@@ -249,7 +262,7 @@ def _fetched(docs: DataFrame, opened: DataFrame, width: int, buckets: int, hot:
                     continue
                 seen.add(key)
                 text = text.encode()
-                to, _ = _dealt(np.array(anchors, np.int64).view(np.uint64), np.full(len(anchors), key, np.int64), hot, buckets)
+                to, _ = _dealt(np.array(anchors, np.int64).view(np.uint64), np.full(len(anchors), key, np.int64), hot, tasks)
                 for place, anchor, bucket in zip(places, anchors, to.tolist(), strict=True):
                     start, windows = place >> 8, place & 255
                     by.setdefault(bucket, []).append((anchor, key, start, windows, text[start : start + windows + width - 1]))
@@ -300,9 +313,10 @@ def windows_by_class(heads: np.ndarray, strings: list[bytes], width: int) -> tup
         starts.append(np.concatenate([np.arange(s, s + n) for s, n in zip(heads[a:b, 2].tolist(), counts, strict=True)]))
     docs, starts, classes = np.concatenate(docs), np.concatenate(starts), np.concatenate(classes)
     if len(pieces) > 1:  # an anchor's strings may lie in several transforms
-        hashes = _hash_windows(strings, width)
         _, one = np.unique(classes, return_index=True)
-        _, joint = np.unique(hashes[one], return_inverse=True)
+        both = np.empty(len(one), [("h1", "u8"), ("h2", "u8")])
+        both["h1"], both["h2"] = _hash_windows(strings, width)[one], _hash_windows(strings, width, _B2)[one]
+        _, joint = np.unique(both, return_inverse=True)
         classes = joint[classes]
     order = np.lexsort((starts, docs, classes))
     docs, starts, classes = docs[order], starts[order], classes[order]
@@ -317,12 +331,12 @@ def repeated_windows(heads: np.ndarray, strings: list[bytes], width: int) -> tup
     return docs[again], starts[again]
 
 
-def _firsts(heads: np.ndarray, strings: list[bytes], width: int, firsts: np.ndarray, docs: np.ndarray, starts: np.ndarray, buckets: int) -> pa.RecordBatch:
+def _firsts(heads: np.ndarray, strings: list[bytes], width: int, firsts: np.ndarray, docs: np.ndarray, starts: np.ndarray, tasks: np.ndarray) -> pa.RecordBatch:
     """The first windows of classes under the hashes of their bytes, for the buckets in which they are matched."""
     own = np.empty(len(firsts), FIRST)
     own["h1"], own["h2"] = _hash_windows(strings, width)[firsts], _hash_windows(strings, width, _B2)[firsts]
     own["doc"], own["start"] = docs, starts
-    bucket = ((own["h1"] >> _U(17)) % _U(buckets)).astype(np.int32)
+    bucket = tasks[((own["h1"] >> _U(17)) % _U(len(tasks))).astype(np.int64)]
     order = np.argsort(bucket, kind="stable")
     own, bucket = own[order], bucket[order]
     cuts = np.concatenate([[0], np.nonzero(bucket[1:] != bucket[:-1])[0] + 1, [len(own)]])
@@ -365,10 +379,11 @@ def _matched(firsts: DataFrame) -> DataFrame:
     return firsts.mapInArrow(part, EXPANDED_SCHEMA)
 
 
-def _expanded(fetched: DataFrame, width: int, buckets: int, hot: Hot) -> DataFrame:
+def _expanded(fetched: DataFrame, width: int, tasks: np.ndarray, hot: Hot) -> DataFrame:
     """Marks of windows that start earlier in the bucket (doc_key and place), and packed first windows of dealt anchors."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         held: dict[int, list[tuple[bytes, bytes]]] = {}
         for batch in batches:
             for bucket, heads, texts in zip(*(batch.column(c).to_pylist() for c in ("bucket", "heads", "texts")), strict=True):
@@ -382,47 +397,50 @@ def _expanded(fetched: DataFrame, width: int, buckets: int, hot: Hot) -> DataFra
             heads, strings = heads[order], [strings[i] for i in order.tolist()]
             docs, starts, index, again = windows_by_class(heads, strings, width)
             yield _runs(docs[again], starts[again])
-            _, is_hot = _dealt(heads[:, 0].view(np.uint64), heads[:, 1], hot, buckets)
+            _, is_hot = _dealt(heads[:, 0].view(np.uint64), heads[:, 1], hot, tasks)
             first = ~again & np.repeat(is_hot, heads[:, 3])[index] if is_hot.any() else np.zeros(0, bool)
             if first.any():
-                yield _firsts(heads, strings, width, index[first], docs[first], starts[first], buckets)
+                yield _firsts(heads, strings, width, index[first], docs[first], starts[first], tasks)
 
     return fetched.mapInArrow(part, EXPANDED_SCHEMA)
 
 
-def _keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
-    """docs with __doc_key, which orders documents. It is the doc_id unless ids repeat or are missing."""
+def _keyed(docs: DataFrame, key: str) -> tuple[DataFrame, bool]:
+    """docs with a column that orders documents. It is the doc_id unless ids repeat or are missing; then documents, told
+    apart by id and a 128-bit digest of their text, are numbered by range partitions."""
     odd = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null")
     if odd.isEmpty():
-        return docs.withColumn("__doc_key", F.col("doc_id").cast("long")), False
-    from pyspark.sql import Window as W
-
-    ids = docs.select("doc_id", F.xxhash64("text").alias("__text")).distinct()
-    ids = written(ids.withColumn("__doc_key", F.row_number().over(W.orderBy(F.asc_nulls_first("doc_id"), "__text")).cast("long")), "document-keys")
-    ids = ids.select(F.col("doc_id").alias("__id"), F.col("__text").alias("__hash"), "__doc_key")
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))).drop("__id", "__hash"), True
-
-
-def marked(docs: DataFrame, width: int = 100) -> DataFrame:
-    """docs (doc_id, text and others) with __doc_key and __places: the runs of windows that start earlier elsewhere."""
+        return docs.withColumn(key, F.col("doc_id").cast("long")), False
+    digest = F.md5("text")
+    ids = written(docs.select(F.struct("doc_id", digest.alias("digest")).alias("document")).distinct(), "documents-told")
+    ids = written(dense_ids(ids, "document", "number"), "document-keys")
+    row, own = fresh(docs.columns, "__row"), fresh(docs.columns, "__own")
+    ids = ids.select(F.col("document").alias(own), F.col("number").alias(key))
+    keyed = docs.withColumn(row, F.struct("doc_id", digest.alias("digest")))
+    same = F.col(f"{row}.doc_id").eqNullSafe(F.col(f"{own}.doc_id")) & F.col(f"{row}.digest").eqNullSafe(F.col(f"{own}.digest"))
+    return keyed.join(ids, same).drop(row, own), True
+
+
+def marked(docs: DataFrame, key: str, places: str, width: int = 100) -> DataFrame:
+    """docs (doc_id, text and others) with two columns of the given names: a key that orders documents, and the runs of
+    windows that start earlier elsewhere."""
     if not GRAM < width <= 255 + GRAM:
         raise ValueError("width")
     spark = docs.sparkSession
-    docs, replaced = _keyed(docs)
+    docs, replaced = _keyed(docs, key)
     if replaced:
         docs = written(docs, "documents")
-    texts = docs.select(F.col("__doc_key").alias("doc_key"), F.coalesce("text", F.lit("")).alias("text")).filter(F.octet_length("text") >= width)
+    texts = docs.select(F.col(key).alias("doc_key"), F.coalesce("text", F.lit("")).alias("text")).filter(F.octet_length("text") >= width)
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    hot = _hot(texts, width, buckets)
-    compared = written(_compare(_packed(texts, width, buckets, hot).repartition(buckets, "bucket"), hot), "repeat-marks")
+    hot, tasks = _hot(texts, width, buckets), _tasks(spark, buckets)
+    compared = written(_compare(_packed(texts, width, tasks, hot).repartition(buckets, "bucket"), hot), "repeat-marks")
     opened = compared.filter("anchor is not null")
-    expanded = written(_expanded(_fetched(texts, opened, width, buckets, hot).repartition(buckets, "bucket"), width, buckets, hot), "window-marks")
+    expanded = written(_expanded(_fetched(texts, opened, width, tasks, hot).repartition(buckets, "bucket"), width, tasks, hot), "window-marks")
     marks = compared.filter("anchor is null").select("doc_key", "place").unionByName(expanded.filter("packed is null").select("doc_key", "place"))
     if len(hot[0]):
         between = _matched(expanded.filter("packed is not null").select("bucket", "packed").repartition(buckets, "bucket"))
         marks = marks.unionByName(between.select("doc_key", "place"))
-    places = marks.groupBy(F.col("doc_key").alias("__doc_key")).agg(F.collect_list("place").alias("__places"))
-    return docs.join(places, "__doc_key", "left")
+    return docs.join(marks.groupBy(F.col("doc_key").alias(key)).agg(F.collect_list("place").alias(places)), key, "left")
 
 
 def removed(size: int, places: list[int] | None, width: int) -> list[tuple[int, int]]:
@@ -460,7 +478,7 @@ def report(docs: DataFrame, width: int = 100) -> DataFrame:
                     column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    own = marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width)
+    own = marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "__key", "__places", width)
     return own.select("doc_id", "text", "__places").mapInArrow(part, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -468,19 +486,19 @@ def without_repeats(docs: DataFrame, width: int = 100) -> DataFrame:
     """docs with the repeats cut from their texts. A character that is cut in part goes whole. Texts that lose nothing,
     null ones too, stay as they are; all rows and columns stay."""
     columns, schema = docs.columns, docs.schema
-    text_at = columns.index("text")
+    text_at, key, marks = columns.index("text"), fresh(columns, "__key"), fresh(columns, "__places")
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for text, places in zip(batch.column("text"), batch.column("__places"), strict=True):
+            for text, places in zip(batch.column("text"), batch.column(marks), strict=True):
                 text = text.as_py()
                 if text and (found := places.as_py()):
                     raw = text.encode()
                     text = _kept(raw, removed(len(raw), found, width)).decode("utf-8", "ignore")
                 texts.append(text)
-            arrays = [batch.column(c) for c in columns]
+            arrays = [batch.column(i) for i in range(len(columns))]
             arrays[text_at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(arrays, columns)
 
-    return marked(docs, width).select(*columns, "__places").mapInArrow(part, schema)
+    return marked(docs, key, marks, width).select(*(F.col(f"`{c}`") for c in [*columns, marks])).mapInArrow(part, schema)

@@ -34,6 +34,14 @@ def forget() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """The name, with underscores behind it until no column has it in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 @contextlib.contextmanager
 def no_cycles():
     """Large tables that hold no reference cycles are not walked in search of some while this lasts."""
