@@ -3,7 +3,8 @@
 A test item of n characters may occur with up to floor(rate * n) edits. Cut into one piece more than that, one piece
 at least is free of edits, so exact hits of the pieces (one Aho-Corasick pass over a text) find every occurrence; the
 places they point to are verified with Myers' bit-parallel distance. Texts and items are compared in lower case with
-runs of white space as one blank.
+runs of white space as one blank. begin and stop are characters of the normalised text: stop is where the first best match
+ends, and begin lies an item's length before it, so it is exact where the distance is 0.
 
 Results on odd input: null or blank items and texts take no part; an item too short for an edit must occur exactly;
 repeated items count once, under their smallest id; repeated documents each get their rows; a text is searched whole,
@@ -16,9 +17,12 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import runtime
 from .workers import cached, slices
 
 LINKS = "doc_id long, item_id long, distance int, begin int, stop int, n_chars int"
@@ -116,42 +120,54 @@ class Matcher:
         return sorted(out)
 
 
-def item_slices(benchmark: DataFrame, most_bytes: int) -> Iterator[Items]:
-    """The distinct normalised items with their smallest ids, in slices of about most_bytes, one slice on the driver at a time."""
+def item_files(benchmark: DataFrame, most_bytes: int) -> list[str]:
+    """The distinct normalised items with their smallest ids, as files of about most_bytes in the shared folder. The driver
+    sees their names alone."""
     item = F.trim(F.regexp_replace(F.lower("text"), r"(?U)[\s\x1c-\x1f]+", " "))
     own = benchmark.filter("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), item.alias("item")).filter("item <> ''")
-    own = own.groupBy("item").agg(F.min("item_id").alias("item_id"))
+    own = runtime.written(own.groupBy("item").agg(F.min("item_id").alias("item_id")), "items")
     total = own.agg(F.sum(F.octet_length("item"))).first()[0] or 0
-    parts = max(1, -(-total // most_bytes))
-    for i in range(parts):
-        some = own.filter(F.pmod(F.xxhash64("item"), F.lit(parts)) == i) if parts > 1 else own
-        yield tuple(sorted((r.item_id, normal(r.item)) for r in some.collect()))
+    return runtime.written(own.repartition(max(1, -(-total // most_bytes))), "item-files").inputFiles()
 
 
-def _links(docs: DataFrame, items: Items, rate: float) -> DataFrame:
-    key = ("decontamination", hash(items), rate)
+def _items(path: str) -> Items:
+    fs, place = pafs.FileSystem.from_uri(path)
+    with fs.open_input_file(place) as source:
+        rows = pq.read_table(source).to_pydict()
+    return tuple(sorted((i, normal(item)) for i, item in zip(rows["item_id"], rows["item"], strict=True)))
+
+
+def _runs(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[tuple[list, list[str]]]:
+    """Ids and normalised texts of rows that hold about most_bytes; a longer text is a run of its own."""
+    ids, texts, size = [], [], 0
+    for batch in batches:
+        for rows in slices(batch, "text", most_bytes):
+            if size + rows.nbytes > most_bytes and ids:
+                yield ids, texts
+                ids, texts, size = [], [], 0
+            ids += rows.column("doc_id").to_pylist()
+            texts += [normal(text or "") for text in rows.column("text").to_pylist()]
+            size += rows.nbytes
+    if ids:
+        yield ids, texts
+
+
+def links(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, most_bytes: int = 16 << 20) -> DataFrame:
+    """A row for each document and item that occurs in it within its budget. Documents are read once; a task holds some of
+    their texts and one file of items at a time."""
+    paths = item_files(benchmark, most_bytes)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = cached(key, lambda: Matcher(items, rate)) if items else None
-        for batch in batches:
-            for rows in slices(batch, "text", 8 << 20):
-                out: list[list] = [[] for _ in range(6)]
-                for doc_id, text in zip(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist(), strict=True):
-                    if text and matcher:
-                        text = normal(text)
-                        for found in matcher.search(text):
+        for ids, texts in _runs(batches, (8 if len(paths) == 1 else 32) << 20):
+            out: list[list] = [[] for _ in range(6)]
+            for path in paths:
+                matcher = cached(("decontamination", path, rate), lambda path=path: Matcher(_items(path), rate))
+                if matcher.items:
+                    for doc_id, text in zip(ids, texts, strict=True):
+                        for found in matcher.search(text) if text else ():
                             for column, value in zip(out, (doc_id, *found, len(text)), strict=True):
                                 column.append(value)
-                kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], [f.split(" ")[0] for f in LINKS.split(", ")])
+            kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], [f.split(" ")[0] for f in LINKS.split(", ")])
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(part, LINKS)
-
-
-def links(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, most_bytes: int = 16 << 20) -> DataFrame:
-    """A row for each document and item that occurs in it within its budget. Items reach the tasks in slices of bounded size."""
-    out = None
-    for items in item_slices(benchmark, most_bytes):
-        own = _links(docs, items, rate)
-        out = own if out is None else out.unionByName(own)
-    return out
