@@ -88,9 +88,10 @@ def band_keys(registers: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _rid(shingles: np.ndarray) -> tuple[bytes, int]:
+def _rid(shingles: np.ndarray) -> tuple[int, int]:
+    """Both halves of a 128-bit digest of a set."""
     digest = hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
-    return digest, int.from_bytes(digest[:8], "little", signed=True)
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
 def row_key() -> Column:
@@ -99,20 +100,20 @@ def row_key() -> Column:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, class (null without shingles), registers and row_key."""
+    """doc_id, n_shingles, class and check (halves of the set's digest, null without shingles), registers and row_key."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         for batch in batches:
             for rows in slices(batch, "text", 1 << 20):
                 own = sets(rows.column("text").cast(pa.binary()).to_pylist())
-                classes = [_rid(s)[1] if len(s) else None for s in own]
+                classes, checks = zip(*(_rid(s) if len(s) else (None, None) for s in own), strict=True) if own else ((), ())
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("doc_id"), pa.array([len(s) for s in own], pa.int64()), pa.array(classes, pa.int64()), pa.array([sketch(s).tobytes() if len(s) else None for s in own], pa.binary()), rows.column("row_key")],
-                    ["doc_id", "n_shingles", "class", "registers", "row_key"],
+                    [rows.column("doc_id"), pa.array([len(s) for s in own], pa.int64()), pa.array(classes, pa.int64()), pa.array(checks, pa.int64()), pa.array([sketch(s).tobytes() if len(s) else None for s in own], pa.binary()), rows.column("row_key")],
+                    ["doc_id", "n_shingles", "class", "check", "registers", "row_key"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key()).mapInArrow(part, "doc_id long, n_shingles long, class long, registers binary, row_key long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key()).mapInArrow(part, "doc_id long, n_shingles long, class long, check long, registers binary, row_key long")
 
 
 def _banded(classes: DataFrame) -> DataFrame:
@@ -135,14 +136,14 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for rows in slices(batch, "text", 1 << 20):
                 own = sets(rows.column("text").cast(pa.binary()).to_pylist())
                 # rows may repeat an id with other texts: only the class's own text counts
-                right = [(c, s.tobytes()) for c, s in zip(rows.column("class").to_pylist(), own, strict=True) if len(s) and _rid(s)[1] == c]
+                right = [(c, s.tobytes()) for c, s in zip(rows.column("class").to_pylist(), own, strict=True) if len(s) and c in _rid(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in right], pa.int64()), pa.array([s for _, s in right], pa.binary())], ["class", "set"])
 
     def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in slices(batch, "text", 1 << 20):
                 own = [s for s in sets(rows.column("text").cast(pa.binary()).to_pylist()) if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([_rid(s)[1] for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())], ["class", "set"])
+                yield pa.RecordBatch.from_arrays([pa.array([half for s in own for half in _rid(s)], pa.int64()), pa.array([s.tobytes() for s in own for _ in range(2)], pa.binary())], ["class", "set"])
 
     own = docs.selectExpr("cast(doc_id as long) doc_id", "text")
     found = own.join(wanted, "doc_id").select("class", "text").mapInArrow(part, "class long, set binary")
@@ -260,11 +261,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return labelled(docs).drop("row_key")
 
 
+def _classes(found: DataFrame) -> DataFrame:
+    """A row for each class; least and most differ where documents of different digests share it."""
+    return found.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("first_doc"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"), F.min("check").alias("least"), F.max("check").alias("most"))
+
+
+def told_apart(found: DataFrame, classes: DataFrame) -> DataFrame:
+    """found with the digest's other half as the class where the first is that of different sets."""
+    shared = classes.filter("least <> most").select("class", F.lit(True).alias("shared"))
+    return found.join(shared, "class", "left").withColumn("class", F.when(F.col("shared"), F.col("check")).otherwise(F.col("class"))).drop("shared").select(*found.columns)
+
+
 def labelled(docs: DataFrame) -> DataFrame:
     """The same with row_key."""
     found = written(signatures(docs), "signatures")
-    classes = found.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("first_doc"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
-    classes = written(classes, "classes")
+    classes = written(_classes(found), "classes")
+    if not classes.filter("least <> most").isEmpty():  # different sets under one half of their digests
+        found = written(told_apart(found, classes), "signatures")
+        classes = written(_classes(found), "classes")
+    classes = classes.drop("least", "most")
     labels = components(links(docs, classes))
     named = classes.select("class", "first_doc").join(labels.withColumnRenamed("v", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     smallest = named.groupBy("root").agg(F.min("first_doc").alias("component_id"))

@@ -126,3 +126,13 @@ def test_components(spark):
     got = {r.v: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {3: 3, 4: 3, 5: 3, 9: 3, 10: 10, 11: 10, 12: 10, 13: 10, 14: 10}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_sets_that_share_half_a_digest(spark):
+    rows = [(1, 3, 7, 70, b"a", 1), (2, 3, 7, 71, b"b", 2), (3, 3, 7, 70, b"a", 3), (4, 3, 8, 80, b"c", 4), (5, 0, None, None, None, 5)]
+    found = spark.createDataFrame(rows, "doc_id long, n_shingles long, class long, check long, registers binary, row_key long")
+    classes = nd._classes(found)
+    assert {r["class"]: r.least != r.most for r in classes.collect()} == {7: True, 8: False}
+    told = nd.told_apart(found, classes)
+    assert told.columns == found.columns and {r.doc_id: r["class"] for r in told.collect()} == {1: 70, 2: 71, 3: 70, 4: 8, 5: None}
+    assert {r["class"]: r.first_doc for r in nd._classes(told).collect()} == {70: 1, 71: 2, 8: 4}
