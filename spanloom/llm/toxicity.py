@@ -200,27 +200,26 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_terms:
     return lexicon
 
 
-def scored(docs: DataFrame, lexicon: Lexicon, keep: bool = False) -> DataFrame:
-    """doc_id, score and n_hits; with keep, all columns of docs, __score and __n_hits."""
+def scored(docs: DataFrame, lexicon: Lexicon, keep: bool = False, names: tuple[str, str] = ("score", "n_hits")) -> DataFrame:
+    """doc_id, score and n_hits; with keep, all columns of docs and these two under the names given, which docs must not have."""
     key = ("toxicity", repr(lexicon))
     columns = docs.columns if keep else ["doc_id"]
-    own = docs.select(*columns, F.col("text").alias("__text")) if keep else docs.selectExpr("cast(doc_id as long) doc_id", "text __text")
-    names = ["__score", "__n_hits"] if keep else ["score", "n_hits"]
-    fields = StructType([*own.select(*columns).schema.fields, StructField(names[0], DoubleType()), StructField(names[1], IntegerType())])
+    own = docs if keep else docs.selectExpr("cast(doc_id as long) doc_id", "text")
+    fields = StructType([*(f for f in own.schema.fields if keep or f.name == "doc_id"), StructField(names[0], DoubleType()), StructField(names[1], IntegerType())])
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = cached(key, lexicon.automaton) if lexicon.weights else None
         none = lexicon.score((1.0, 0.0, 0.0, 0.0)) if lexicon.coefficients else 0.0
         for batch in batches:
-            for rows in slices(batch, "__text", 8 << 20):
+            for rows in slices(batch, "text", 8 << 20):
                 scores, counts = [], []
-                for text in rows.column("__text").to_pylist():
+                for text in rows.column("text").to_pylist():
                     hits = ()
                     if automaton and text:
                         folded = fold(text)
                         hits = lexicon.hits(automaton, folded)
                     scores.append(lexicon.score(lexicon.features(hits, len(folded.split()))) if hits else none)
                     counts.append(len(hits))
-                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in columns), pa.array(scores, pa.float64()), pa.array(counts, pa.int32())], [*columns, *names])
+                yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(len(columns))), pa.array(scores, pa.float64()), pa.array(counts, pa.int32())], [*columns, *names])
 
     return own.mapInArrow(part, fields)

@@ -49,7 +49,7 @@ def test_odd_rows(spark):
     assert len(rows) == len(DOCS)
     got = {r.doc_id: r for r in rows}
     assert got[1].n_hits == 1 and got[8].n_hits == 1 and got[3].score == got[4].score == got[7].score < got[1].score
-    kept = toxicity.scored(documents(spark), lexicon, keep=True)
+    kept = toxicity.scored(documents(spark), lexicon, True, ("__score", "__n_hits"))
     assert kept.columns[-2:] == ["__score", "__n_hits"] and kept.count() == len(DOCS)
     empty = toxicity.fit(documents(spark).limit(0), spark.createDataFrame([], "doc_id long, toxic int"))
     assert empty == toxicity.Lexicon() and {r.score for r in toxicity.scored(documents(spark), empty).collect()} == {0.0}
