@@ -46,7 +46,7 @@ ONE_TRANSFORM = 2 << 20  # bytes
 _U = np.uint64
 _B, _B2 = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F)
 FIRST = np.dtype([("h1", "u8"), ("h2", "u8"), ("doc", "i8"), ("start", "u4")])
-SAMPLE = 64  # one document in so many tells the frequent anchors
+SAMPLE = 16  # one document in so many tells the frequent anchors
 Hot = tuple[np.ndarray, np.ndarray]  # sorted anchors, and over how many buckets each is dealt
 
 
@@ -160,7 +160,7 @@ def _dealt(anchors: np.ndarray, docs: np.ndarray, hot: Hot, tasks: np.ndarray) -
     return tasks[(bucket % _U(len(tasks))).astype(np.int64)], is_hot
 
 
-def _hot(docs: DataFrame, width: int, buckets: int, least: int = 30) -> Hot:
+def _hot(docs: DataFrame, width: int, buckets: int, least: int = 12) -> Hot:
     """Anchors with more records than a bucket's share, by a sample of the documents: fewer than there are buckets."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
