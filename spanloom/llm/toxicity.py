@@ -71,23 +71,26 @@ class Lexicon:
     def automaton(self):
         import ahocorasick
 
-        own = ahocorasick.Automaton()
+        own, entries = ahocorasick.Automaton(), {}
         for word, weight in self.weights.items():
             stem = word.rstrip("*")
-            own.add_word(stem, (len(stem), weight, stem != word))
+            entries.setdefault(stem, []).append((len(stem), weight, stem != word))
         for phrase in self.exceptions:
-            own.add_word(phrase, (len(phrase), None, False))
+            entries.setdefault(phrase, []).append((len(phrase), None, False))
+        for text, several in entries.items():  # a text may be a word, a stem and an exception at once
+            own.add_word(text, tuple(several))
         own.make_automaton()
         return own
 
     def hits(self, automaton, folded: str) -> list[tuple[int, int, float]]:
         """Start, end and weight of the words and stems outside exception phrases."""
         found, spared, n = [], [], len(folded)
-        for end, (size, weight, stem) in automaton.iter(folded):
-            begin = end - size + 1
-            if (begin and "a" <= folded[begin - 1] <= "z") or (not stem and end + 1 < n and "a" <= folded[end + 1] <= "z"):
-                continue
-            (spared if weight is None else found).append((begin, end + 1, weight))
+        for end, entries in automaton.iter(folded):
+            for size, weight, stem in entries:
+                begin = end - size + 1
+                if (begin and "a" <= folded[begin - 1] <= "z") or (not stem and end + 1 < n and "a" <= folded[end + 1] <= "z"):
+                    continue
+                (spared if weight is None else found).append((begin, end + 1, weight))
         return [h for h in found if not any(s[0] <= h[0] and h[1] <= s[1] for s in spared)] if spared else found
 
     def features(self, hits: list, n_words: int) -> tuple[float, float, float, float]:
@@ -157,15 +160,17 @@ def _chosen(found: dict[str, tuple[int, float]], least_toxic: int) -> dict[str,
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_terms: int = 500, least_share: float = 0.02, least_log_odds: float = 2.5) -> Lexicon:
-    """A lexicon of at most most_terms words and stems: those in least_share of the toxic texts at least, with that log odds ratio."""
+    """A lexicon of at most most_terms words and stems, and as many exception phrases: those in least_share of the toxic
+    texts at least, with that log odds ratio."""
     rows = sample(docs, labels, most_rows)
     n = {int(r.toxic > 0): r.n for r in rows.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
     if not n.get(1) or not n.get(0):
         return Lexicon()
     odds = F.log((F.col("toxic") + 0.5) / (n[1] - F.col("toxic") + 0.5)) - F.log((F.col("clean") + 0.5) / (n[0] - F.col("clean") + 0.5))
     least = max(3, math.ceil(least_share * n[1]))
-    terms = _counted(rows, _terms).withColumn("odds", odds).filter(F.col("toxic") >= 2).filter(F.col("odds") >= least_log_odds)
-    found = {r.term: (r.toxic, r.odds) for r in terms.orderBy(F.desc("toxic"), "term").limit(100 * most_terms).collect()}
+    # terms in fewer texts change no choice below; at most 1.5 / least_share times as many as a toxic text has
+    terms = _counted(rows, _terms).withColumn("odds", odds).filter(F.col("toxic") >= least / 1.5).filter(F.col("odds") >= least_log_odds)
+    found = {r.term: (r.toxic, r.odds) for r in terms.collect()}
     best = sorted(_chosen(found, least).items(), key=lambda t: (-t[1], t[0]))[:most_terms]
     lexicon = Lexicon(dict(best))
     if not lexicon.weights:

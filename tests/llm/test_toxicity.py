@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 
 from spanloom.llm import toxicity
@@ -57,3 +58,28 @@ def test_odd_rows(spark):
 
 def test_fold():
     assert toxicity.fold("ÉCOLE L0ser $tar p@th") == "ecoie ioser $tar path"
+
+
+def naive(lexicon, text):
+    """n_hits and score of a text by a search for each term and phrase at each place."""
+    folded, hits = toxicity.fold(text or ""), []
+    places = lambda term, stem: [(m.start(), m.start() + len(term)) for m in re.finditer(rf"(?<![a-z])(?={re.escape(term)}{'' if stem else '(?![a-z])'})", folded)]
+    spared = [place for phrase in lexicon.exceptions for place in places(phrase, False)]
+    for term, weight in lexicon.weights.items():
+        hits += [weight for a, b in places(term.rstrip("*"), term[-1] == "*") if not any(c <= a and b <= d for c, d in spared)]
+    return len(hits), lexicon.score(lexicon.features([(0, 0, w) for w in hits], len(folded.split())))
+
+
+def test_scores_are_those_of_a_naive_search(spark):
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abe") for _ in range(rng.randrange(1, 7))) for _ in range(40)]
+    texts = ["".join(rng.choice(["A", "a", "b", "e", "b", "@", "4", "3", " ", " ", ".", "\n", "é", "ß"]) for _ in range(rng.randrange(0, 400))) for _ in range(300)]
+    texts += [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 3000))) for _ in range(40)] + [None, ""]
+    terms = {rng.choice(words): float(rng.randrange(1, 9)) for _ in range(12)} | {f"{w}*": 2.5 for w in rng.sample(words, 5)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for exceptions in ((), tuple({f"{rng.choice(words)} {rng.choice(words)}" for _ in range(60)})):
+        lexicon = toxicity.Lexicon(terms, exceptions, (-3.0, 1.0, 1.0, 1.0))
+        got = {r.doc_id: (r.n_hits, round(r.score, 9)) for r in toxicity.scored(docs, lexicon).collect()}
+        want = {i: naive(lexicon, text) for i, text in enumerate(texts)}
+        assert got == {i: (n, round(score, 9)) for i, (n, score) in want.items()}
+        assert sum(n > 0 for n, _ in want.values()) > 100
