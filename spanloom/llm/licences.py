@@ -1,8 +1,8 @@
 """Licence scan by canonical digests, in DataFrame functions alone.
 
-A text is brought to a canonical form (lower case, copyright lines dropped, equivalent spellings made one, all but
-letters and digits turned into single blanks), and its SHA-256 is joined with the digests of known licences. The whole
-text and each of its lines are looked up. The table of known texts is a literal of fixed size, or one that the caller
+A text is brought to a canonical form (lower case, copyright lines dropped, all but letters and digits turned into single
+blanks, equivalent spellings made one), and its SHA-256 is joined with the digests of known licences. The whole text,
+each of its lines and each run of a few of its paragraphs are looked up, so a licence within a text is found, too. The table of known texts is a literal of fixed size, or one that the caller
 gives, of a size to broadcast.
 
 Results on odd input: a null text counts as empty; an empty canonical form has a digest and no licence; repeated
@@ -17,13 +17,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Equivalent spellings, the first form read as the second.
+# Equivalent spellings, the first form read as the second, both after punctuation has become blanks.
 SPELLINGS = [
-    ("licence", "license"), ("licencing", "licensing"), ("sub-license", "sublicense"), ("sub license", "sublicense"), ("non-commercial", "noncommercial"), ("organisation", "organization"),
+    ("licence", "license"), ("licencing", "licensing"), ("sub license", "sublicense"), ("non commercial", "noncommercial"), ("non infringement", "noninfringement"), ("organisation", "organization"),
     ("authorisation", "authorization"), ("authorised", "authorized"), ("favour", "favor"), ("fulfil ", "fulfill "), ("whilst", "while"), ("wilful", "willful"), ("acknowledgement", "acknowledgment"),
-    ("copyright holder", "copyright owner"), ("initialise", "initialize"), ("merchantability", "merchantability"), ("per cent", "percent"), ("https://", "http://"), ("judgement", "judgment"),
+    ("copyright holder", "copyright owner"), ("initialise", "initialize"), ("merchantibility", "merchantability"), ("per cent", "percent"), ("https ", "http "), ("judgement", "judgment"),
 ]
-COPYRIGHT = r"(^|\n)[^a-z0-9\n]*(copyright|\(c\)|©)[^\n]*"
+#: A copyright line: the word with a sign, a year or a name form behind it, or a sign. A wrapped line of running text that
+#: begins with the word is none.
+COPYRIGHT = r"(^|\n)[^a-z0-9\n]*(copyright[^a-z0-9\n]*(\(c\)|©|[0-9]{4}|year|by |the [^\n]*authors)|\(c\)[^a-z0-9\n]*(copyright|[0-9]{4})|©)[^\n]*"
+PARAGRAPHS = r"\n[ \t\r]*\n"
 
 _MIT_BODY = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
@@ -34,6 +37,21 @@ _APACHE_NOTICE = """Licensed under the Apache License, Version 2.0 (the "License
 http://www.apache.org/licenses/LICENSE-2.0
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
 
+_DISCLAIMER = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_BSD_TERMS = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+_BSD_NAMES = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+"""
+_0BSD_BODY = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+_ZLIB_BODY = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution."""
+
 # Identifier and text of the licences and licence statements that are known.
 KNOWN = [
     ("MIT", "MIT License\n" + _MIT_BODY),
@@ -44,6 +62,14 @@ KNOWN = [
     ("ISC", "ISC License\n" + _ISC_BODY),
     ("ISC", _ISC_BODY),
     ("ISC", "SPDX-License-Identifier: ISC"),
+    ("0BSD", "BSD Zero Clause License\n" + _0BSD_BODY),
+    ("0BSD", _0BSD_BODY),
+    ("Zlib", "zlib License\n" + _ZLIB_BODY),
+    ("Zlib", _ZLIB_BODY),
+    ("BSD-2-Clause", "BSD 2-Clause License\n" + _BSD_TERMS + _DISCLAIMER),
+    ("BSD-2-Clause", _BSD_TERMS + _DISCLAIMER),
+    ("BSD-3-Clause", "BSD 3-Clause License\n" + _BSD_TERMS + _BSD_NAMES + _DISCLAIMER),
+    ("BSD-3-Clause", _BSD_TERMS + _BSD_NAMES + _DISCLAIMER),
     ("Apache-2.0", _APACHE_NOTICE),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
@@ -63,11 +89,10 @@ TRIGGER = "(?i)licen[sc]"
 
 def canonical(text: Column) -> Column:
     out = F.lower(F.coalesce(text, F.lit("")))
-    out = F.regexp_replace(out, COPYRIGHT, "$1")
+    out = F.regexp_replace(F.regexp_replace(out, COPYRIGHT, "$1"), r"[^\p{L}\p{N}]+", " ")
     for form, to in SPELLINGS:
-        if form != to:
-            out = F.replace(out, F.lit(form), F.lit(to))
-    return F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))
+        out = F.replace(out, F.lit(form), F.lit(to))
+    return F.trim(out)
 
 
 def digest(text: Column) -> Column:
@@ -81,7 +106,7 @@ def known(spark, texts: list[tuple[str, str]]) -> DataFrame:
 
 def _anchor(form: str) -> str | None:
     """The longest word of a canonical form that no respelling makes, so that lines of this form have it, too."""
-    made = {piece for form_, to in SPELLINGS if form_ != to for piece in to.replace("://", " ").replace("-", " ").split()}
+    made = {piece for _, to in SPELLINGS for piece in to.split()}
     words = [word for word in form.split() if word.isascii() and not any(piece in word for piece in made)]
     return max(words, key=lambda word: (len(word), word), default=None)
 
@@ -91,39 +116,62 @@ def _may_be_known(forms: list[str]) -> Callable[[Column], Column]:
     anchors = {_anchor(form) for form in forms if "licens" not in form}
     if None in anchors:
         return lambda text: F.lit(True)
-    return lambda text: functools.reduce(Column.__or__, [F.contains(F.lower(text), F.lit(word)) for word in sorted(anchors)], text.rlike(TRIGGER))
+    return lambda text: text.rlike("|".join(["(?iu)" + TRIGGER.removeprefix("(?i)"), *sorted(anchors)]))
+
+
+def _units(docs: DataFrame, looked_up: Callable[[Column], Column], lengths: list[int], most: int) -> DataFrame:
+    """doc_id, is_line and form: the canonical forms of lines and of runs of one to most paragraphs that are as long as a
+    known form. Documents are read once for both."""
+    lines = F.transform(F.filter(F.split("text", "\n"), looked_up), canonical).alias("ls")
+    paragraphs = docs.filter(looked_up(F.col("text"))).select("doc_id", lines, F.filter(F.transform(F.split("text", PARAGRAPHS), canonical), lambda p: p != "").alias("ps"))
+    ends = lambda i: F.sequence(F.lit(1), F.least(F.lit(most), F.size("ps") - i))
+    known_length = lambda form: F.length(form).isin(lengths)
+    runs = F.flatten(F.transform("ps", lambda _, i: F.filter(F.transform(ends(i), lambda n: F.array_join(F.slice("ps", i + 1, n), " ")), known_length)))
+    of = lambda forms, is_line: F.transform(forms, lambda form: F.struct(F.lit(is_line).alias("is_line"), form.alias("form")))
+    return paragraphs.select("doc_id", F.inline(F.concat(of(F.filter("ls", known_length), True), of(runs, False))))
 
 
-def scan(docs: DataFrame, texts: list[tuple[str, str]] = KNOWN) -> DataFrame:
-    """For each document its digest, the licence that its whole text is, and those that lines of it are.
+def scan(docs: DataFrame, texts: list[tuple[str, str]] = KNOWN, most_paragraphs: int = 8) -> DataFrame:
+    """For each document its digest, the licence that its whole text is, and those that lines of it are and that runs of
+    up to most_paragraphs paragraphs of it are.
 
     texts: identifiers and texts of the licences and statements to know.
     """
     forms = known(docs.sparkSession, texts)
     table = F.broadcast(forms.select("digest", "licence"))  # as many rows as texts has
-    looked_up = _may_be_known([r.form for r in forms.collect()])
+    own_forms = [r.form for r in forms.collect()]
+    looked_up = _may_be_known(own_forms)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    lines = own.filter(looked_up(F.col("text"))).select("doc_id", F.explode(F.filter(F.split("text", "\n"), looked_up)).alias("line"))
-    hits = lines.select("doc_id", digest(F.col("line")).alias("digest")).join(table, "digest").groupBy("doc_id")
-    hits = hits.agg(F.array_join(F.array_sort(F.collect_set("licence")), ",").alias("line_licences"), F.count("*").alias("n_licence_lines"))
+    names = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
+    units = _units(own, looked_up, sorted({len(form) for form in own_forms}), most_paragraphs)
+    line, block = F.when(F.col("is_line"), F.col("licence")), F.when(~F.col("is_line"), F.col("licence"))
+    hits = units.select("doc_id", "is_line", F.sha2("form", 256).alias("digest")).join(table, "digest").groupBy("doc_id")
+    hits = hits.agg(names(line).alias("line_licences"), F.count(line).alias("n_licence_lines"), names(block).alias("block_licences"))
     whole = own.select("doc_id", digest(F.col("text")).alias("digest")).join(table, "digest", "left")
-    return whole.join(hits, "doc_id", "left").select("doc_id", "digest", F.col("licence").alias("text_licence"), F.coalesce("line_licences", F.lit("")).alias("line_licences"), F.coalesce("n_licence_lines", F.lit(0)).cast("long").alias("n_licence_lines"))
+    none = F.lit("")
+    return whole.join(hits, "doc_id", "left").select(
+        "doc_id", "digest", F.col("licence").alias("text_licence"), F.coalesce("line_licences", none).alias("line_licences"), F.coalesce("n_licence_lines", F.lit(0)).cast("long").alias("n_licence_lines"), F.coalesce("block_licences", none).alias("block_licences")
+    )
 
 
 def _sql(text: str) -> str:
-    out = rf"regexp_replace(lower(coalesce({text}, '')), '{COPYRIGHT}', '\1', 'g')"
+    out = rf"regexp_replace(regexp_replace(lower(coalesce({text}, '')), '{COPYRIGHT}', '\1', 'g'), '[^\p{{L}}\p{{N}}]+', ' ', 'g')"
     for form, to in SPELLINGS:
-        if form != to:
-            out = f"replace({out}, '{form}', '{to}')"
-    return rf"sha256(trim(regexp_replace({out}, '[^\p{{L}}\p{{N}}]+', ' ', 'g')))"
+        out = f"replace({out}, '{form}', '{to}')"
+    return f"trim({out})"
 
 
 def sql() -> str:
     rows = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in KNOWN)
     return f"""
-with known as (select digest, min(licence) licence from (select licence, {_sql("t")} digest from (values {rows}) v(licence, t)) group by digest),
-lines as (select doc_id, unnest(string_split(text, chr(10))) line from documents where regexp_matches(text, '{TRIGGER}')),
-hits as (select doc_id, string_agg(distinct licence, ',' order by licence) line_licences, count(*) n_licence_lines
-  from (select doc_id, {_sql("line")} digest from lines where regexp_matches(line, '{TRIGGER}')) join known using (digest) group by doc_id)
-select d.doc_id, d.digest, k.licence text_licence, coalesce(h.line_licences, '') line_licences, coalesce(h.n_licence_lines, 0)::bigint n_licence_lines
-from (select doc_id, {_sql("text")} digest from documents) d left join known k using (digest) left join hits h using (doc_id)"""
+with known as (select digest, min(licence) licence from (select licence, sha256({_sql("t")}) digest from (values {rows}) v(licence, t)) group by digest),
+named as (select doc_id, text from documents where regexp_matches(text, '{TRIGGER}')),
+lines as (select doc_id, unnest(string_split(text, chr(10))) line from named),
+paragraphs as (select doc_id, list_filter(list_transform(regexp_split_to_array(text, '{PARAGRAPHS}'), lambda p: {_sql("p")}), lambda p: p <> '') ps from named),
+starts as (select doc_id, ps, unnest(range(1, len(ps) + 1)) i from paragraphs),
+blocks as (select doc_id, array_to_string(ps[i:i + n - 1], ' ') form from (select *, unnest(range(1, least(8, len(ps) - i + 1) + 1)) n from starts)),
+units as (select doc_id, sha256({_sql("line")}) digest, true is_line from lines where regexp_matches(line, '{TRIGGER}') union all select doc_id, sha256(form), false from blocks),
+hits as (select doc_id, string_agg(distinct licence, ',' order by licence) filter (is_line) line_licences, count(*) filter (is_line) n_licence_lines,
+  string_agg(distinct licence, ',' order by licence) filter (not is_line) block_licences from units join known using (digest) group by doc_id)
+select d.doc_id, d.digest, k.licence text_licence, coalesce(h.line_licences, '') line_licences, coalesce(h.n_licence_lines, 0)::bigint n_licence_lines, coalesce(h.block_licences, '') block_licences
+from (select doc_id, sha256({_sql("text")}) digest from documents) d left join known k using (digest) left join hits h using (doc_id)"""

@@ -55,3 +55,33 @@ def test_sql_agrees(spark, sf):
     want = duckdb.sql(licences.sql().replace(" documents", f" '{sf}/documents.parquet'")).fetchall()
     got = licences.scan(spark.read.parquet(f"{sf}/documents.parquet")).collect()
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
+def test_whole_licences_in_other_layouts_and_within_texts(spark):
+    """At any wrap width, with comment marks, numbered conditions and copyright lines, alone and between paragraphs."""
+    import textwrap
+
+    bodies = {"MIT": licences._MIT_BODY, "ISC": licences._ISC_BODY, "0BSD": licences._0BSD_BODY, "Zlib": licences._ZLIB_BODY, "BSD-2-Clause": licences._BSD_TERMS + licences._DISCLAIMER, "BSD-3-Clause": licences._BSD_TERMS + licences._BSD_NAMES + licences._DISCLAIMER}
+    rows, want = [], {}
+    for name, body in bodies.items():
+        for width in (30, 47, 61, 72, 100):
+            paragraphs = ["\n".join(textwrap.wrap(p, width)) for p in body.split("\n") if p]
+            text = "Copyright (c) 2001 Some One\n\n" + "\n\n".join(paragraphs)
+            marked = "\n".join(f" * {line}" for line in text.replace("\n\n", "\n").split("\n"))
+            for form, whole in ((text, True), (marked, True), (f"Some prose.\n\n{text}\n \nMore prose.", False), (text[:-20], None)):
+                want[len(rows)] = (name if whole else None, name if whole is False or (whole and form is text) else None)
+                rows.append((len(rows), form))
+    got = {r.doc_id: r for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (whole, block) in want.items():
+        assert got[i].text_licence == whole, rows[i]
+        assert block is None or got[i].block_licences == block, rows[i]
+        assert whole or block or not got[i].block_licences
+
+
+def test_sql_agrees_on_licences_within_texts(spark):
+    rows = [(i, f"Licensed prose.\n\n{t}\n\n© 2000 X\n\nend" if i % 2 else t) for i, (_, t) in enumerate(licences.KNOWN)] + [(90, None), (91, ""), (92, "Copyright holders\nof licences\n\n\nCopyright 1999 Y\n(c) You may license")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    own = docs.toPandas()  # noqa: F841
+    want = duckdb.sql(licences.sql().replace(" documents", " own")).fetchall()
+    skip = {i for i, t in rows if t and "licen" not in t.lower()}  # the SQL looks these up as whole texts only
+    assert sorted((tuple(r) for r in licences.scan(docs).collect() if r.doc_id not in skip), key=repr) == sorted((r for r in want if r[0] not in skip), key=repr)
