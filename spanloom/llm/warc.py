@@ -35,26 +35,30 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 class Members:
-    """The gzip members of a stream, or its plain bytes, as one stream of decompressed bytes with bounded buffers."""
+    """The gzip members of a stream, or its plain bytes, as one stream of decompressed bytes with bounded buffers: no read
+    takes over chunk bytes and no step of decompression gives over most, whatever the ratio."""
 
-    def __init__(self, source, chunk: int = 1 << 18):
-        self.source, self.chunk, self.data, self.at, self.raw, self.unzip = source, chunk, b"", 0, b"", None
+    def __init__(self, source, chunk: int = 1 << 18, most: int = 1 << 20):
+        self.source, self.chunk, self.most, self.data, self.at, self.raw, self.unzip = source, chunk, most, b"", 0, b"", None
         self.raw = source.read(chunk)
         self.zipped = self.raw[:2] == b"\x1f\x8b"
 
     def _more(self) -> bool:
         if not self.raw:
             self.raw = self.source.read(self.chunk)
-            if not self.raw:
+            if not self.raw and self.unzip is None:
                 return False
         if not self.zipped:
             new, self.raw = self.raw, b""
         else:
             self.unzip = self.unzip or zlib.decompressobj(31)
-            new = self.unzip.decompress(self.raw)
-            self.raw = self.unzip.unused_data
+            ended = not self.raw
+            new = self.unzip.decompress(self.raw, self.most)
+            self.raw = self.unzip.unused_data if self.unzip.eof else self.unzip.unconsumed_tail
             if self.unzip.eof:
                 self.unzip = None
+            elif ended and not new:  # cut short
+                return False
         self.data, self.at = self.data[self.at :] + new, 0
         return True
 
@@ -178,6 +182,7 @@ class WarcDataSource(DataSource):
 
 
 def reader(spark: SparkSession):
+    """Registers the source and lets the session push predicates down to Python sources, which stays so."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcDataSource)
     return spark.read.format("warc")

@@ -50,3 +50,21 @@ def test_unwanted_blocks_are_not_kept():
         cut = list(warc.records(io.BytesIO(data[: len(data) - 30]), ["record_type"], {}))
         assert [r["record_type"] for r in cut][:2] == ["warcinfo", "resource"]
     assert list(warc.records(io.BytesIO(b""), ["record_id"], {})) == []
+
+
+def test_decompression_is_bounded():
+    """A payload that shrinks a thousandfold, whole and cut short."""
+    html = b"\0" * 3_000_000
+    record = warc._record(1, "u", html, hashlib.sha1(html).hexdigest(), None)
+    assert len(record) < len(html) / 100
+
+    for most in (1000, 1 << 16, 1 << 20):
+        stream = warc.Members(io.BytesIO(record), 700, most)
+        sizes = []
+        while stream._more():
+            sizes.append(len(stream.data))
+            stream.at = len(stream.data)
+        assert max(sizes) <= most and sum(sizes) > len(html)
+        (row,) = warc.records(io.BytesIO(record + record[:-200]), ["payload_bytes", "payload_sha1"], {}) if most > 1000 else [None]
+        assert row is None or (row["payload_bytes"], row["payload_sha1"]) == (len(html), hashlib.sha1(html).hexdigest())
+    assert [len(list(warc.records(io.BytesIO(record[:-n]), ["payload_bytes"], {}))) for n in (200, 400, len(record) // 2)] == [0, 0, 0]
