@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 MARKS = r"^(?:[ \t]*>)+"
 QUOTED = r"(?:^|\n)[ \t]*>"
+SALTS = 32
 
 
 def normal(text: Column) -> Column:
@@ -27,8 +28,9 @@ def normal(text: Column) -> Column:
 
 
 def _own(text: Column) -> Column:
-    """The lines without quote marks."""
-    return F.trim(F.array_join(F.filter(F.split(text, "\n"), lambda line: ~line.rlike(MARKS)), "\n"))
+    """The lines without quote marks; a text without such lines as it is."""
+    kept = F.trim(F.array_join(F.filter(F.split(text, "\n"), lambda line: ~line.rlike(MARKS)), "\n"))
+    return F.when(text.rlike(QUOTED), kept).otherwise(text)
 
 
 def passages(messages: DataFrame) -> DataFrame:
@@ -56,8 +58,10 @@ def _index(messages: DataFrame) -> DataFrame:
 def links(messages: DataFrame) -> DataFrame:
     """conv_id, turn, level, hash and original: the quoted passages that were found in an earlier message."""
     quotes = passages(messages).select("conv_id", "turn", "level", F.sha2("passage", 256).alias("hash"))
-    asked = quotes.select("conv_id").distinct()
-    index = _index(messages.join(asked, "conv_id", "left_semi"))  # only conversations with quotes are indexed
+    # only conversations with quotes are indexed; one that has a large part of all messages is spread over the salts
+    asked = quotes.select("conv_id").distinct().withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    spread = messages.withColumn("__salt", F.pmod(F.xxhash64("turn"), F.lit(SALTS)).cast("int"))
+    index = _index(spread.join(asked, ["conv_id", "__salt"], "left_semi"))
     return quotes.join(index, ["conv_id", "hash"]).filter("original < turn")
 
 
@@ -99,7 +103,7 @@ passages as (
   select conv_id, turn, lev, string_agg(line, chr(10) order by pos) p from runs where lev > 0 group by conv_id, turn, text, run, lev
   union all select conv_id, turn, lev, line from runs where lev > 0),
 quotes as (select distinct conv_id, turn, lev, trim(regexp_replace(lower(p), '[^\p{L}\p{N}]+', ' ', 'g')) p from passages),
-own as (select distinct conv_id, turn, text, trim(coalesce(string_agg(line, chr(10) order by pos) filter (lev = 0), ''), ' ') own, max(lev) max_level from runs group by conv_id, turn, text),
+own as (select distinct conv_id, turn, text, case when max(lev) = 0 then text else trim(coalesce(string_agg(line, chr(10) order by pos) filter (lev = 0), ''), ' ') end own, max(lev) max_level from runs group by conv_id, turn, text),
 units as (select conv_id, turn, unnest([own] || regexp_split_to_array(own, '\n\s*\n') || string_split(own, chr(10))) u from own),
 idx as (select conv_id, trim(regexp_replace(lower(u), '[^\p{L}\p{N}]+', ' ', 'g')) p, min(turn) original from units group by all),
 links as (select q.conv_id, q.turn, max(original) filter (lev = 1) quoted, count(distinct (lev, p)) n from quotes q join idx using (conv_id, p) where original < q.turn and p <> '' group by all)

@@ -17,6 +17,8 @@ ROWS = [
     (4, 7, "user", "same"),
     (4, 8, "user", "> same"),
     (5, 0, "user", "> a\nb\n> > c\n>d"),
+    (6, 0, "user", "  blanks stay \n"),
+    (6, 1, "user", "> blanks   STAY\n a > b "),
 ]
 
 
@@ -37,6 +39,7 @@ def test_links(spark):
     assert got[4, 8][:2] == (7, "quote") and got[None, 0][:2] == (None, "none") and got[3, None][:2] == (None, "none")
     texts = {(r.conv_id, r.turn): r.text for r in rows}
     assert texts[1, 1] == "I agree." and texts[2, 1] == "" and texts[5, 0] == "b"
+    assert texts[6, 0] == "  blanks stay \n" and texts[6, 1] == "a > b" and got[6, 1][:2] == (0, "quote")
 
 
 def test_chat_and_empty(spark):
