@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -124,6 +125,41 @@ def slice_text(text: Column, start: Column, stop: Column) -> Column:
     return F.substring(text, start + F.lit(1), stop - start)
 
 
+def let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """A function of a value that is evaluated once, however often the function names it."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
+def running(sizes: Column, most: int = 512) -> Column:
+    """For each number of an array the sum of those before it. Arrays grow by copying, so sums run within blocks of ``most``
+    numbers and over the blocks' totals."""
+    grown = lambda own: F.aggregate(own, F.array(F.lit(0)), lambda sums, n: F.concat(sums, F.array(F.element_at(sums, -1) + n)))
+    starts = lambda own: F.when(F.size(own) > 0, F.sequence(F.lit(1), F.size(own), F.lit(most))).otherwise(F.array().cast("array<int>"))
+    blocks = let(sizes, lambda own: F.transform(starts(own), lambda at: grown(F.slice(own, at, F.lit(most)))))
+    of = lambda own, before: F.transform(F.slice(own, F.lit(1), F.size(own) - 1), lambda n: n + before)
+    ends = lambda own: grown(F.transform(own, lambda b: F.element_at(b, -1)))
+    return let(blocks, lambda own: let(ends(own), lambda sums: F.flatten(F.transform(own, lambda b, i: of(b, F.get(sums, i))))))
+
+
+def find_all(text: Column, pattern: str) -> Column:
+    """Leftmost matches that do not overlap, as structs of start, stop (code points, half-open), match, and what stands
+    before and after, up to the next match. Null for null. Matches must not be empty.
+
+    What stands between the matches gives the places: one split, one extraction, and sums that run."""
+    parts = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
+    sizes = lambda p: F.zip_with(F.slice(p["gaps"], F.lit(1), F.size(p["found"])), p["found"], lambda gap, m: F.length(gap) + F.length(m))
+
+    def one(p: Column, before: Column):
+        def at(m: Column, i: Column) -> Column:
+            gap = F.get(p["gaps"], i)
+            start = F.get(before, i) + F.length(gap)
+            return F.struct(start.alias("start"), (start + F.length(m)).alias("stop"), m.alias("match"), gap.alias("before"), F.get(p["gaps"], i + 1).alias("after"))
+
+        return F.transform(p["found"], at)
+
+    return F.when(text.isNotNull(), let(parts, lambda p: let(running(sizes(p)), lambda before: one(p, before))))
+
+
 def iso_utc(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
