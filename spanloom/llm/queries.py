@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import byte_bpe, decontamination, licences, near_duplicates, neighbours, quotes, repeats, sorted_tokens, toxicity, warc
+from . import byte_bpe, decontamination, divergence, licences, near_duplicates, neighbours, quotes, repeats, sorted_tokens, toxicity, warc
 
 HELD_OUT = "crc32(cast(doc_id as string)) % 3 = 1"
 
@@ -55,7 +55,15 @@ def op10_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.conversations(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_hash_prefix_forest, op2_licence_scan, op3_near_duplicates, op4_warc, op5_toxicity, op6_decontamination, op7_sorted_tokens, op8_repeats, op9_byte_bpe, op10_quotes)}
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+OPERATORS = (
+    op1_hash_prefix_forest, op2_licence_scan, op3_near_duplicates, op4_warc, op5_toxicity, op6_decontamination, op7_sorted_tokens, op8_repeats, op9_byte_bpe, op10_quotes,
+    op11_divergence,
+)
+QUERIES = {f.__name__: f for f in OPERATORS}
 
 ORACLE_SQL = {
     "op2_licence_scan": licences.sql(),
@@ -66,4 +74,5 @@ g as (select payload_digest, max(page_id) original from p where payload_bytes >=
 select page_id, payload_bytes, payload_digest, case when original <> page_id then 'revisit' else 'response' end record_type, case when original <> page_id then original end refers_to
 from p left join g using (payload_digest)""",
     "op10_quotes": quotes.SQL,
+    "op11_divergence": divergence.SQL,
 }
