@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import byte_bpe, decontamination, divergence, licences, near_duplicates, neighbours, quotes, repeats, sorted_tokens, toxicity, warc
+from . import byte_bpe, centroids, decontamination, divergence, licences, near_duplicates, neighbours, quotes, repeats, sorted_tokens, toxicity, warc
 
 HELD_OUT = "crc32(cast(doc_id as string)) % 3 = 1"
 
@@ -59,9 +59,13 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(table(spark, sf_dir, "embeddings"))[0]
+
+
 OPERATORS = (
     op1_hash_prefix_forest, op2_licence_scan, op3_near_duplicates, op4_warc, op5_toxicity, op6_decontamination, op7_sorted_tokens, op8_repeats, op9_byte_bpe, op10_quotes,
-    op11_divergence,
+    op11_divergence, op12_centroids,
 )
 QUERIES = {f.__name__: f for f in OPERATORS}
 
@@ -75,4 +79,5 @@ select page_id, payload_bytes, payload_digest, case when original <> page_id the
 from p left join g using (payload_digest)""",
     "op10_quotes": quotes.SQL,
     "op11_divergence": divergence.SQL,
+    "op12_centroids": centroids.sql(),
 }
