@@ -160,6 +160,29 @@ def find_all(text: Column, pattern: str) -> Column:
     return F.when(text.isNotNull(), let(parts, lambda p: let(running(sizes(p)), lambda before: one(p, before))))
 
 
+def apart(spans: Column) -> Column:
+    """Structs with start and stop in order, without those that begin before the end of one that is kept; of spans with one
+    start the longest is kept. Spans that are empty, null or begin before the text are left out."""
+    ranked = F.array_sort(F.transform(F.filter(spans, lambda s: (s["start"] >= 0) & (s["stop"] > s["start"])), lambda s: F.struct(s["start"].alias("a"), (-s["stop"]).alias("b"), s.alias("s"))))
+    zero = F.slice(ranked, F.lit(1), F.lit(0))
+    free = lambda kept, s: (F.size(kept) == 0) | (F.get(kept, F.size(kept) - 1)["s"]["stop"] <= s["a"])
+    return F.transform(F.aggregate(ranked, zero, lambda kept, s: F.when(free(kept, s), F.concat(kept, F.array(s))).otherwise(kept)), lambda k: k["s"])
+
+
+def rewritten(text: Column, spans: Column, span: Callable[[Column, Column], Column], rest: Callable[[Column], Column] = lambda x: x) -> Column:
+    """The text with each of the spans that ``apart`` keeps as ``span`` writes it, of the struct and its characters, and
+    what lies between as ``rest`` writes it."""
+    cut = lambda start, stop: F.substring(text, start + F.lit(1), stop - start)
+    end = lambda kept, i: F.coalesce(F.get(kept, i)["stop"], F.lit(0))
+
+    def whole(kept: Column) -> Column:
+        parts = F.transform(kept, lambda s, i: F.concat(rest(cut(F.when(i > 0, end(kept, i - 1)).otherwise(0), s["start"])), span(s, cut(s["start"], s["stop"]))))
+        last = end(kept, F.size(kept) - 1)
+        return F.concat(F.array_join(parts, ""), rest(cut(F.least(last, F.length(text)), F.length(text))))
+
+    return F.when(text.isNotNull(), let(apart(F.coalesce(spans, F.slice(spans, F.lit(1), F.lit(0)))), whole))
+
+
 def iso_utc(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
