@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import byte_bpe, centroids, decontamination, divergence, licences, near_duplicates, neighbours, quotes, repeats, sorted_tokens, toxicity, warc
+from . import byte_bpe, centroids, decontamination, divergence, licences, near_duplicates, neighbours, private, quotes, repeats, sorted_tokens, toxicity, warc
 
 HELD_OUT = "crc32(cast(doc_id as string)) % 3 = 1"
 
@@ -63,9 +63,13 @@ def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.clustered(table(spark, sf_dir, "embeddings"))[0]
 
 
+def op13_private(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private.report(table(spark, sf_dir, "documents"))
+
+
 OPERATORS = (
     op1_hash_prefix_forest, op2_licence_scan, op3_near_duplicates, op4_warc, op5_toxicity, op6_decontamination, op7_sorted_tokens, op8_repeats, op9_byte_bpe, op10_quotes,
-    op11_divergence, op12_centroids,
+    op11_divergence, op12_centroids, op13_private,
 )
 QUERIES = {f.__name__: f for f in OPERATORS}
 
@@ -80,4 +84,5 @@ from p left join g using (payload_digest)""",
     "op10_quotes": quotes.SQL,
     "op11_divergence": divergence.SQL,
     "op12_centroids": centroids.sql(),
+    "op13_private": private.sql(),
 }
