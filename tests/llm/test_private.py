@@ -21,7 +21,7 @@ def luhn(digits):
 
 def holds(kind, m):
     digits = re.sub("[^0-9]", "", m)
-    return {"email": True, "ip": kind == "ip" and all(int(x) <= 255 for x in m.split(".")), "card": 13 <= len(digits) <= 19 and luhn(digits), "phone": 9 <= len(digits) <= 15}[kind]
+    return {"email": True, "ip": kind == "ip" and all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m.split(".")), "card": 13 <= len(digits) <= 19 and luhn(digits), "phone": 9 <= len(digits) <= 15}[kind]
 
 
 def plain(kind, m):
