@@ -33,7 +33,8 @@ SCALE = 1024
 #: Integers below it have squared distances in 64 bits; others are computed with Python's integers.
 SMALL = 2**27
 LIMIT = 1e30
-OWN = ["vec_id", "v", "cluster", "upper", "lower"]
+#: The state of a round: vectors and lower bounds as bytes, rows of sums behind those of vectors.
+STATE = "vec_id long, v binary, cluster int, upper double, lower binary, distance long, n long, sums array<decimal(38,0)>, inertia decimal(38,0), evaluated long"
 
 
 def kept(vectors: DataFrame, dimension: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -130,11 +131,28 @@ class Round:
         return [sum((int(v) - c) ** 2 for v, c in zip(row, self.centroids[j], strict=True)) for row, j in zip(x, cluster, strict=True)]
 
 
-def _pass(now: Round, dimension: int, kind: pa.DataType, last: bool):
-    """What a task does in a round: its vectors with new clusters and bounds, then a row of sums for each cluster."""
+def _bytes(rows: np.ndarray) -> pa.Array:
+    """Each row as bytes."""
+    width = rows.shape[1] * rows.itemsize
+    ends = np.arange(0, (len(rows) + 1) * width, width, dtype=np.int32) if len(rows) else np.zeros(1, np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def _rows(column: pa.Array, kind: type, width: int) -> np.ndarray:
+    """A column of bytes or of lists as a matrix that can be changed."""
+    if pa.types.is_list(column.type):
+        return column.flatten().to_numpy().reshape(-1, width)
+    column = column.cast(pa.binary())
+    first, last = (int.from_bytes(column.buffers()[1][4 * i : 4 * i + 4].to_pybytes(), "little") for i in (column.offset, column.offset + len(column)))
+    return np.frombuffer(column.buffers()[2].slice(first, last - first), kind).reshape(-1, width).copy()
+
+
+def _pass(now: Round, dimension: int, kind: type, last: bool):
+    """What a task does in a round: its vectors with new clusters and bounds, then a row of sums for each cluster. In the
+    first round vectors come as lists, without bounds."""
     k = len(now.centroids)
     decimal = pa.decimal128(38, 0)
-    schema = pa.schema([("vec_id", pa.int64()), ("v", pa.list_(kind)), ("cluster", pa.int32()), ("upper", pa.float64()), ("lower", pa.list_(pa.float64())), ("distance", pa.int64()), ("n", pa.int64()), ("sums", pa.list_(decimal)), ("inertia", decimal), ("evaluated", pa.int64())])
+    schema = pa.schema([("vec_id", pa.int64()), ("v", pa.binary()), ("cluster", pa.int32()), ("upper", pa.float64()), ("lower", pa.binary()), ("distance", pa.int64()), ("n", pa.int64()), ("sums", pa.list_(decimal)), ("inertia", decimal), ("evaluated", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from decimal import Decimal
@@ -143,9 +161,13 @@ def _pass(now: Round, dimension: int, kind: pa.DataType, last: bool):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = whole(batch.column("v").flatten().to_numpy().reshape(-1, dimension))
-            cluster, upper = (batch.column(c).to_numpy().copy() for c in ("cluster", "upper"))
-            lower = batch.column("lower").flatten().to_numpy().reshape(-1, k).copy()
+            v = _rows(batch.column("v"), kind, dimension)
+            x = whole(v)
+            if "lower" in batch.schema.names:
+                cluster, upper = (batch.column(c).to_numpy().copy() for c in ("cluster", "upper"))
+                lower = _rows(batch.column("lower"), np.float64, k)
+            else:
+                cluster, upper, lower = np.zeros(len(x), np.int32), np.full(len(x), np.inf), np.zeros((len(x), k))
             evaluated += now.assign(x, cluster, upper, lower)
             far = now.distances(x, cluster) if last else [None] * len(x)
             exact = np.abs(x).max() < SMALL
@@ -157,8 +179,7 @@ def _pass(now: Round, dimension: int, kind: pa.DataType, last: bool):
                 inertia[j] += sum(far[i] for i in at) if last else 0
             fits = [d if d is not None and d < 2**63 else None for d in far]
             none = pa.nulls(len(x))
-            ends = pa.array(np.arange(0, len(x) * k + 1, k, dtype=np.int32))
-            columns = [batch.column("vec_id"), batch.column("v"), cluster, upper, pa.ListArray.from_arrays(ends, pa.array(lower.ravel())), pa.array(fits, pa.int64()), *(none.cast(f.type) for f in list(schema)[6:])]
+            columns = [batch.column("vec_id"), _bytes(v), cluster, upper, _bytes(lower), pa.array(fits, pa.int64()), *(none.cast(f.type) for f in list(schema)[6:])]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], schema=schema)
         if any(n):
             found = [j for j in range(k) if n[j]]
@@ -190,18 +211,16 @@ def clustered(vectors: DataFrame, k: int = 8, rounds: int = 10, seed: str = "3",
     columns = "vec_id long, cluster int, distance long, cluster_inertia long, inertia long, centroid_sha256 string"
     if not centroids:
         return spark.createDataFrame([], columns), [], []
-    k, kind = len(centroids), own.schema["v"].dataType.elementType
-    schema = f"vec_id long, v array<{kind.simpleString()}>, cluster int, upper double, lower array<double>, distance long, n long, sums array<decimal(38,0)>, inertia decimal(38,0), evaluated long"
-    arrow = pa.float32() if kind.typeName() == "float" else pa.float64()
-    state = own.withColumns({"cluster": F.lit(0), "upper": F.lit(float("inf")), "lower": F.array_repeat(F.lit(0.0), k)})
+    kind = np.float32 if own.schema["v"].dataType.elementType.typeName() == "float" else np.float64
+    state = own
     before, path, evaluated = None, None, []
     for nth in range(rounds + 1):
         older, path = path, runtime.scratch(spark, f"centroids-{nth}")
-        state.select(*OWN).mapInArrow(_pass(Round(centroids, before), dimension, arrow, nth == rounds), schema).write.option("compression", "zstd").parquet(path)
-        state = spark.read.schema(schema).parquet(path)
-        sums = _sums(state)
+        state.mapInArrow(_pass(Round(centroids, before), dimension, kind, nth == rounds), STATE).write.parquet(path)
+        whole_state = spark.read.schema(STATE).parquet(path)
+        sums = _sums(whole_state)
         evaluated.append(sum(s[3] for s in sums.values()))
-        state = state.filter("n is null")
+        state = whole_state.filter("n is null").select("vec_id", "v", "cluster", *(["distance"] if nth == rounds else ["upper", "lower"]))
         if nth < rounds:
             before, centroids = centroids, [[x // sums[j][0] for x in sums[j][1]] if j in sums else c for j, c in enumerate(centroids)]
         if older:
