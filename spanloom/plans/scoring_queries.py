@@ -100,6 +100,13 @@ def flex_tolerant_prf(spark, sf):
     return with_prf(own.agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn"))))
 
 
+def dominant_matches(spark, sf):
+    """JON-08: the pairs that greedy matching takes over labels of many examples, by rounds of pairs that are best at both ends."""
+    side = lambda rows, x: rows.select((F.col("example") % 50).alias("example"), (F.col("start") + F.floor(F.col("example") / 50) % 40 * 7).cast("int").alias("start"), (F.col("stop") + F.floor(F.col("example") / 50) % 40 * 7).cast("int").alias("stop"), "label")
+    pairs = spans.candidates(side(_gold(spark, sf), "g"), side(_predicted(spark, sf), "p"), ["example"], "overlap")
+    return spans.one_to_one(pairs, ["example"], rounds=3).select("example", "label", "p_start", "p_stop", "g_start", "g_stop")
+
+
 def fp_listing(spark, sf):
     """SET-02."""
     return spans.listing(_predicted(spark, sf), _gold(spark, sf), SPAN)
@@ -114,7 +121,7 @@ def window_overlap_stats(spark, sf):
     """JON-06, AGG-18: pairs of windows of a document that overlap."""
     own = _gold(spark, sf).withColumn("key", F.col("example") * 10 + F.col("line"))
     pairs = spans.overlapping_pairs(own, ["example"], "key")
-    return pairs.agg(F.count("*").alias("pairs"), F.max("ratio").alias("max_ratio"), F.avg("ratio").alias("mean_ratio"))
+    return pairs.agg(F.count("*").alias("pairs"), F.max("ratio").alias("max_ratio"), F.round(F.avg("ratio"), 9).alias("mean_ratio"))
 
 
 def prefix_cutoff(spark, sf):
@@ -211,7 +218,7 @@ def split_disjointness(spark, sf):
     return split_leaks(rows.withColumn("key", F.md5("t")), "key", "split")
 
 
-QUERIES = {f.__name__: f for f in (strict_prf_by_label, prf_by_grouping, per_type_support, macro_doc_f1, bootstrap_ci, overlap_candidates, flex_overlap_prf, flex_tolerant_prf, fp_listing, fn_listing, window_overlap_stats, prefix_cutoff, containment, coverage_missing_unknown, latest_prediction, run_totals, accuracy_macro_f1, tag_set_metrics, tag_metrics_rounded, evidence_valid_rate, json_validity_rates, leaderboard_union, split_disjointness)}
+QUERIES = {f.__name__: f for f in (strict_prf_by_label, prf_by_grouping, per_type_support, macro_doc_f1, bootstrap_ci, overlap_candidates, flex_overlap_prf, flex_tolerant_prf, dominant_matches, fp_listing, fn_listing, window_overlap_stats, prefix_cutoff, containment, coverage_missing_unknown, latest_prediction, run_totals, accuracy_macro_f1, tag_set_metrics, tag_metrics_rounded, evidence_valid_rate, json_validity_rates, leaderboard_union, split_disjointness)}
 QUERIES |= {"multiset_prf_strict": _multiset(scoring.STRICT), "multiset_prf_lenient": _multiset(scoring.LENIENT)}
 
 ORACLE_SQL = {
@@ -228,7 +235,7 @@ from p join g using (example, label) where greatest(p.start, g.start) < least(p.
     "fp_listing": f"with {GP} select distinct example, start, stop, label from pred where (example, start, stop, label) not in (select (example, start, stop, label) from gold)",
     "fn_listing": f"with {GP} select distinct example, start, stop, label from gold where (example, start, stop, label) not in (select (example, start, stop, label) from pred)",
     "window_overlap_stats": f"""with {GP}, w as (select example, example * 10 + line k, start, stop from gold), r as (select (least(a.stop, b.stop) - greatest(a.start, b.start))::double / least(a.stop - a.start, b.stop - b.start) ratio
-from w a join w b on a.example = b.example and a.k < b.k and greatest(a.start, b.start) < least(a.stop, b.stop)) select count(*) pairs, max(ratio) max_ratio, avg(ratio) mean_ratio from r""",
+from w a join w b on a.example = b.example and a.k < b.k and greatest(a.start, b.start) < least(a.stop, b.stop)) select count(*) pairs, max(ratio) max_ratio, round(avg(ratio), 9) mean_ratio from r""",
     "prefix_cutoff": f"with {GP} select example, count(*) kept from gold where example % 2 <> 0 or stop <= 60 group by 1",
     "containment": f"""with {GP}, w as (select o_orderkey example, o_orderkey % 7 window_id, o_custkey % 30 w0, o_custkey % 30 + 45 w1 from orders),
 i as (select window_id, count(*) inside, sum(start - w0)::bigint starts from gold join w using (example) where start >= w0 and stop <= w1 group by 1),

@@ -349,6 +349,10 @@ select (select count(*) from o) n_gold, (select count(*) from o where k % 6 = 0)
 _SIDES = f"{GP}, g as (select distinct example, label, start, stop from gold), p as (select distinct example, label, start, stop from pred)"
 _FLEX = "s as (select (select coalesce(sum(tp), 0) from matched)::bigint tp, (select count(*) from p) np, (select count(*) from g) ng), t as (select tp, np - tp fp, ng - tp fn from s) select *, {prf} from t".format(prf=PRF)
 FLEX_OVERLAP_SQL = f"""with recursive {_SIDES}, {greedy_sql(f"select p.example, label, {_KEYS}, {_OVERLAP} from p join g using (example, label) where greatest(p.start, g.start) < least(p.stop, g.stop)", "example")}, {_FLEX}"""
+_MOVED = "example % 50 example, label, (start + (example // 50) % 40 * 7)::integer start, (stop + (example // 50) % 40 * 7)::integer stop"
+DOMINANT_SQL = f"""with recursive {GP}, g as (select distinct {_MOVED} from gold), p as (select distinct {_MOVED} from pred), {greedy_sql(f"select p.example, label, {_KEYS}, {_OVERLAP} from p join g using (example, label) where greatest(p.start, g.start) < least(p.stop, g.stop)", "example")},
+ends as (select example, unnest(up) u, unnest(ug) v from (select example, up, ug from walk qualify row_number() over (partition by example order by r desc) = 1))
+select example, split_part(u, ':', 3) as label, split_part(u, ':', 1)::integer p_start, split_part(u, ':', 2)::integer p_stop, split_part(v, ':', 1)::integer g_start, split_part(v, ':', 2)::integer g_stop from ends"""
 _ENDS = "abs(p.start // 3 - g.start // 3) + abs((p.stop - 1) // 3 - (g.stop - 1) // 3)"
 FLEX_TOLERANT_SQL = f"""with recursive {_SIDES}, {greedy_sql(f"select p.example, label, {_KEYS}, -({_ENDS})::double score from p join g using (example, label) where abs(p.start // 3 - g.start // 3) <= 1 and abs((p.stop - 1) // 3 - (g.stop - 1) // 3) <= 2", "example")}, {_FLEX}"""
 
@@ -598,6 +602,7 @@ ORACLE_SQL = {
     "unicode_blanks": "select c_custkey k, 'a ß' || chr(8203) || 'c' folded, 'A ß' || chr(8203) || 'c' squeezed, '{}' bare from customer",
     "resumed_run": _RESUMED_SQL,
     "flex_overlap_prf": FLEX_OVERLAP_SQL,
+    "dominant_matches": DOMINANT_SQL,
     "flex_tolerant_prf": FLEX_TOLERANT_SQL,
     "window_records": WINDOWS_SQL,
     "flatten_roundtrip": FLATTEN_SQL,

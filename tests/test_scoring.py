@@ -121,3 +121,39 @@ def test_latest(spark):
     rows = spark.createDataFrame([("a", 1, "x"), ("a", 3, "z"), ("a", 2, "y"), ("b", 1, None)], "k string, seq int, v string")
     assert {r.k: r.v for r in scoring.latest(rows, ["k"], ["seq"]).collect()} == {"a": "z", "b": None}
     assert Counter(r.name for r in scoring.leaderboard([spark.createDataFrame([("a", 1.0)], "name string, s double"), spark.createDataFrame([("b", 2.0, 1)], "name string, s double, e int")], "s").collect()) == {"a": 1, "b": 1}
+
+
+@pytest.mark.parametrize("mode", ["overlap", "boundary_tolerant"])
+def test_rounds_and_one_pass_take_the_same_pairs(spark, mode):
+    rng = random.Random(11)
+    sides = [{(rng.randrange(3), s := rng.randrange(60), s + rng.randrange(1, 12), rng.choice("AB")) for _ in range(150)} for _ in range(2)]
+    extra = {"first": F.floor(F.col("start") / 3).cast("int"), "last": F.floor((F.col("stop") - 1) / 3).cast("int")}
+    gold, predicted = (spark.createDataFrame(sorted(side), SPANS).withColumns(extra) for side in sides)
+    pairs = spans.candidates(gold, predicted, ["doc"], mode).cache()
+    got = [sorted(map(tuple, spans.one_to_one(pairs, ["doc"], n).collect())) for n in (0, 1, 2, 50)]
+    assert got[0] and got[0] == got[1] == got[2] == got[3]
+
+
+def test_one_document_of_many_spans(spark):
+    n = 50_000  # predicted spans are shifted by one or two characters; all pairs of the document would be 2.5 billion
+    gold = spark.range(n).selectExpr("1 as doc", "cast(id * 7 as int) as start", "cast(id * 7 + 5 as int) as stop", "'A' as label")
+    predicted = spark.range(n).selectExpr("1 as doc", "cast(id * 7 + 1 + id % 2 as int) as start", "cast(id * 7 + 6 + id % 2 as int) as stop", "'A' as label")
+    pairs = spans.candidates(gold, predicted, ["doc"], "overlap")
+    assert pairs.count() == n
+    for rounds in (0, 2):
+        assert spans.greedy_matches(pairs, ["doc"], rounds).first().tp == n
+    joined = spans.overlap_join(gold.selectExpr("doc", "start a0", "stop a1"), predicted.selectExpr("doc", "start b0", "stop b1"), ["doc"], ("a0", "a1", "b0", "b1"), 14)
+    joined.collect()
+    assert joined.count() == n
+
+
+def test_range_joins_are_those_of_all_pairs(spark):
+    rng = random.Random(5)
+    own = [[(rng.randrange(2), s := rng.randrange(-5, 60), s + rng.choice([0, 1, 3, 20, 45])) for _ in range(60)] for _ in range(2)]
+    a, b = (spark.createDataFrame([*rows, (0, None, 4), (1, 9, 3)], f"doc int, {x}0 int, {x}1 int") for rows, x in zip(own, "ab", strict=True))
+    for width in (1, 7, 1000):
+        got = spans.overlap_join(a, b, ["doc"], ("a0", "a1", "b0", "b1"), width).collect()
+        assert sorted(map(tuple, got)) == sorted((d, p, q, r, s) for d, p, q in own[0] for e, r, s in own[1] if d == e and p < s and r < q)
+        entities = a.selectExpr("doc", "a0 as start", "a1 as stop", "a0 as own")
+        inside = spans.contained(entities, b.selectExpr("doc", "b0 as start", "b1 as stop", "1 as window_id"), "doc", width).collect()
+        assert sorted((r.doc, r.own, r.stop - r.start) for r in inside) == sorted((d, p, q - p) for d, p, q in own[0] for e, r, s in own[1] if d == e and r <= p and q <= s)
