@@ -12,6 +12,7 @@ documents each get their row, with the lines of all rows of their id; other colu
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -23,9 +24,15 @@ SPELLINGS = [
     ("authorisation", "authorization"), ("authorised", "authorized"), ("favour", "favor"), ("fulfil ", "fulfill "), ("whilst", "while"), ("wilful", "willful"), ("acknowledgement", "acknowledgment"),
     ("copyright holder", "copyright owner"), ("initialise", "initialize"), ("merchantibility", "merchantability"), ("per cent", "percent"), ("https ", "http "), ("judgement", "judgment"),
 ]
-#: A copyright line: the word with a sign, a year or a name form behind it, or a sign. A wrapped line of running text that
-#: begins with the word is none.
-COPYRIGHT = r"(^|\n)[^a-z0-9\n]*(copyright[^a-z0-9\n]*(\(c\)|©|[0-9]{4}|year|by |the [^\n]*authors)|\(c\)[^a-z0-9\n]*(copyright|[0-9]{4})|©)[^\n]*"
+# Header lines that say nothing of the licence, by patterns that both engines read alike, in lower case. A line that begins
+# with the word copyright names a holder, unless a word follows with which running text goes on: such lines are shielded.
+RUNNING = r"(^|\n)([^a-z0-9\n]*)copyright([ \t]+(?:holders?|owners?|notices?|laws?|statements?|licen[sc]es?|disclaimers?|interests?|and|or|in|is|as|to|of|are|under|management|treaty)\b)"
+HOLDER = r"(^|\n)[^a-z0-9\n]*(?:copyright\b|\(c\)[^a-z0-9\n]*(?:copyright|[0-9]{4})|©)[^\n]*"
+RESERVED = r"(^|\n)[^a-z0-9\n]*all rights reserved[^a-z0-9\n]*(\n|\z)"
+#: The number, letter or sign of a list's entry.
+MARKER = r"(^|\n)[^a-z0-9\n]*(?:\(?[0-9]{1,2}[.)]|\(?[a-z]\)|\([ivx]{1,4}\))[ \t]+"
+#: (what the text must hold, pattern, replacement): the steps in their order.
+HEADERS = [("copyright", RUNNING, r"\1\2 kopyright\3"), ("(c)|copyright|©", HOLDER, r"\1"), ("kopyright", "kopyright", "copyright"), ("all rights reserved", RESERVED, r"\1\n"), ("", MARKER, r"\1")]
 PARAGRAPHS = r"\n[ \t\r]*\n"
 
 _MIT_BODY = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -52,24 +59,20 @@ Permission is granted to anyone to use this software for any purpose, including
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution."""
 
-# Identifier and text of the licences and licence statements that are known.
-KNOWN = [
-    ("MIT", "MIT License\n" + _MIT_BODY),
-    ("MIT", _MIT_BODY),
+# The headings under which whole licences stand, the licences, and the statements that are known.
+WHOLE = {
+    "MIT": (["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "Expat License", "License: MIT", "License", "The MIT License (Expat)"], _MIT_BODY),
+    "ISC": (["ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)", "License: ISC", "License"], _ISC_BODY),
+    "0BSD": (["BSD Zero Clause License", "Zero-Clause BSD", "BSD Zero Clause License (0BSD)", "0BSD License", "License: 0BSD", "License"], _0BSD_BODY),
+    "Zlib": (["zlib License", "The zlib License", "zlib/libpng License", "The zlib/libpng License", "zlib License (Zlib)", "License: Zlib", "License"], _ZLIB_BODY),
+    "BSD-2-Clause": (["BSD 2-Clause License", "The BSD 2-Clause License", "BSD 2-Clause \"Simplified\" License", "Simplified BSD License", "FreeBSD License", "The 2-Clause BSD License", "BSD License", "The BSD License", "License: BSD-2-Clause", "License"], _BSD_TERMS + _DISCLAIMER),
+    "BSD-3-Clause": (["BSD 3-Clause License", "The BSD 3-Clause License", "BSD 3-Clause \"New\" or \"Revised\" License", "New BSD License", "Modified BSD License", "The 3-Clause BSD License", "BSD License", "The BSD License", "License: BSD-3-Clause", "License"], _BSD_TERMS + _BSD_NAMES + _DISCLAIMER),
+}
+STATEMENTS = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("MIT", "SPDX-License-Identifier: MIT"),
-    ("ISC", "ISC License\n" + _ISC_BODY),
-    ("ISC", _ISC_BODY),
     ("ISC", "SPDX-License-Identifier: ISC"),
-    ("0BSD", "BSD Zero Clause License\n" + _0BSD_BODY),
-    ("0BSD", _0BSD_BODY),
-    ("Zlib", "zlib License\n" + _ZLIB_BODY),
-    ("Zlib", _ZLIB_BODY),
-    ("BSD-2-Clause", "BSD 2-Clause License\n" + _BSD_TERMS + _DISCLAIMER),
-    ("BSD-2-Clause", _BSD_TERMS + _DISCLAIMER),
-    ("BSD-3-Clause", "BSD 3-Clause License\n" + _BSD_TERMS + _BSD_NAMES + _DISCLAIMER),
-    ("BSD-3-Clause", _BSD_TERMS + _BSD_NAMES + _DISCLAIMER),
     ("Apache-2.0", _APACHE_NOTICE),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
@@ -83,13 +86,25 @@ KNOWN = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "Licensed under CC0 1.0."),
 ]
+
+
+def _bodies() -> list[tuple[str, str]]:
+    """Whole licences under each heading and under none, by lines and as one line, in which list markers stay."""
+    return [(name, sep.join([*heading, *body.strip().split("\n")])) for name, (titles, body) in WHOLE.items() for heading in ([], *([t] for t in titles)) for sep in ("\n", " ")]
+
+
+KNOWN = [*_bodies(), *STATEMENTS]
 #: A line without this is none of the known ones that have such a word; ``_may_be_known`` sees to the others.
 TRIGGER = "(?i)licen[sc]"
 
 
 def canonical(text: Column) -> Column:
     out = F.lower(F.coalesce(text, F.lit("")))
-    out = F.regexp_replace(F.regexp_replace(out, COPYRIGHT, "$1"), r"[^\p{L}\p{N}]+", " ")
+    for needs, pattern, to in HEADERS:
+        step = F.regexp_replace(out, pattern, to.replace("\\n", "\n").replace("\\", "$"))
+        held = [F.contains(out, F.lit(word)) for word in needs.split("|") if word]
+        out = F.when(functools.reduce(Column.__or__, held), step).otherwise(out) if held else step
+    out = F.regexp_replace(out, r"[^\p{L}\p{N}]+", " ")
     for form, to in SPELLINGS:
         out = F.replace(out, F.lit(form), F.lit(to))
     return F.trim(out)
@@ -155,7 +170,10 @@ def scan(docs: DataFrame, texts: list[tuple[str, str]] = KNOWN, most_paragraphs:
 
 
 def _sql(text: str) -> str:
-    out = rf"regexp_replace(regexp_replace(lower(coalesce({text}, '')), '{COPYRIGHT}', '\1', 'g'), '[^\p{{L}}\p{{N}}]+', ' ', 'g')"
+    out = f"lower(coalesce({text}, ''))"
+    for _, pattern, to in HEADERS:
+        out = f"regexp_replace({out}, '{pattern}', " + " || ".join(["chr(10)" if part == "\\n" else f"'{part}'" for part in re.split(r"(\\n)", to) if part]) + ", 'g')"
+    out = rf"regexp_replace({out}, '[^\p{{L}}\p{{N}}]+', ' ', 'g')"
     for form, to in SPELLINGS:
         out = f"replace({out}, '{form}', '{to}')"
     return f"trim({out})"
@@ -170,7 +188,7 @@ lines as (select doc_id, unnest(string_split(text, chr(10))) line from named),
 paragraphs as (select doc_id, list_filter(list_transform(regexp_split_to_array(text, '{PARAGRAPHS}'), lambda p: {_sql("p")}), lambda p: p <> '') ps from named),
 starts as (select doc_id, ps, unnest(range(1, len(ps) + 1)) i from paragraphs),
 blocks as (select doc_id, array_to_string(ps[i:i + n - 1], ' ') form from (select *, unnest(range(1, least(8, len(ps) - i + 1) + 1)) n from starts)),
-units as (select doc_id, sha256({_sql("line")}) digest, true is_line from lines where regexp_matches(line, '{TRIGGER}') union all select doc_id, sha256(form), false from blocks),
+units as (select doc_id, sha256({_sql("line")}) digest, true is_line from lines union all select doc_id, sha256(form), false from blocks),
 hits as (select doc_id, string_agg(distinct licence, ',' order by licence) filter (is_line) line_licences, count(*) filter (is_line) n_licence_lines,
   string_agg(distinct licence, ',' order by licence) filter (not is_line) block_licences from units join known using (digest) group by doc_id)
 select d.doc_id, d.digest, k.licence text_licence, coalesce(h.line_licences, '') line_licences, coalesce(h.n_licence_lines, 0)::bigint n_licence_lines, coalesce(h.block_licences, '') block_licences
