@@ -8,13 +8,15 @@ Writing: of records with equal payloads of ``least_bytes`` at least, the one wit
 the others revisit it.
 
 Results on odd input: null html is an empty payload; a null page_id never is the original of a group, and its record
-gets the id ``null``; rows that repeat the largest page_id of a group are all responses; no pages give no archive; an
-empty or truncated file gives the records that are whole; other columns are ignored.
+gets the id ``null``; rows that repeat the largest page_id of a group are all responses; no pages give no archive and no
+rows; an empty, truncated or damaged file gives the records before the damage (one whose length is no number ends it); other
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import io
 import zlib
 from collections.abc import Iterator
 
@@ -31,6 +33,7 @@ from .. import runtime
 SCHEMA = "record_id string, record_type string, target_uri string, payload_digest string, refers_to string, http_length long, payload binary, payload_bytes long, payload_sha1 string"
 HEADERS = {"record_id": b"warc-record-id", "record_type": b"warc-type", "target_uri": b"warc-target-uri", "payload_digest": b"warc-payload-digest", "refers_to": b"warc-refers-to"}
 PREFIX = "urn:page:"
+SALTS = 32
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -53,7 +56,12 @@ class Members:
         else:
             self.unzip = self.unzip or zlib.decompressobj(31)
             ended = not self.raw
-            new = self.unzip.decompress(self.raw, self.most)
+            try:
+                new = self.unzip.decompress(self.raw, self.most)
+            except zlib.error:  # a damaged member: what lies behind it cannot be told
+                self.raw, self.unzip = b"", None
+                self.source = io.BytesIO()
+                return False
             self.raw = self.unzip.unused_data if self.unzip.eof else self.unzip.unconsumed_tail
             if self.unzip.eof:
                 self.unzip = None
@@ -104,7 +112,10 @@ def records(source, columns: list[str], allowed: dict[str, set]) -> Iterator[dic
     wanted = any(c in ("payload", "payload_bytes", "payload_sha1") for c in columns)
     while (head := stream.until(b"\r\n\r\n")) is not None:
         fields = _fields(head[head.find(b"WARC/") :])
-        n = int(fields.get(b"content-length", b"0"))
+        length = fields.get(b"content-length", b"0")
+        if not length.isdigit():
+            return
+        n = int(length)
         row = {c: _bare(c, fields.get(h)) for c, h in HEADERS.items()}
         if any(row[c] not in values for c, values in allowed.items()):
             if stream.take(n + 4, keep=False) is None:
@@ -119,7 +130,7 @@ def records(source, columns: list[str], allowed: dict[str, set]) -> Iterator[dic
             if fields.get(b"content-type", b"").startswith(b"application/http"):
                 cut = block.find(b"\r\n\r\n")
                 http, payload = _fields(block[:cut]), block[cut + 4 :]
-            row["http_length"] = int(http[b"content-length"]) if b"content-length" in http else None
+            row["http_length"] = int(http[b"content-length"]) if http.get(b"content-length", b"").isdigit() else None
             if whole:
                 row |= {"payload": payload, "payload_bytes": len(payload), "payload_sha1": hashlib.sha1(payload).hexdigest() if "payload_sha1" in columns else None}
         elif stream.take(n + 4, keep=False) is None:
@@ -189,12 +200,15 @@ def reader(spark: SparkSession):
 
 
 def with_originals(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
-    """page_id, url, payload, payload_digest and refers_to. Only digests that occur twice are joined back, and they are
-    counted before they are shuffled, so a payload that a third of all pages have costs no more than others."""
+    """page_id, url, payload, payload_digest and refers_to. Only digests that occur twice are joined back; they are counted
+    before they are shuffled, and joined on a salt of the page too, so a payload of a third of all pages is spread over
+    SALTS tasks."""
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload")).withColumn("payload_digest", F.sha1("payload"))
     large = own.filter(F.octet_length("payload") >= least_bytes)
     groups = large.groupBy("payload_digest").agg(F.count("*").alias("__n"), F.max("page_id").alias("__original")).filter("__n > 1 and __original is not null").drop("__n")
-    revisits = large.select("page_id", "payload_digest").join(groups, "payload_digest").filter("page_id is null or page_id <> __original").distinct()
+    salt = F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")
+    groups = groups.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    revisits = large.select("page_id", "payload_digest", salt.alias("__salt")).join(groups, ["payload_digest", "__salt"]).drop("__salt").filter("page_id is null or page_id <> __original").distinct()
     # rows of one page may differ, so the digest is part of the key
     revisits = revisits.select(F.col("page_id").alias("__page"), F.col("payload_digest").alias("__digest"), "__original")
     marked = own.join(revisits, F.col("page_id").eqNullSafe(F.col("__page")) & (F.col("payload_digest") == F.col("__digest")), "left")
@@ -237,11 +251,15 @@ def write(pages: DataFrame, to: str, least_bytes: int = 1000) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
-    """A row for each record, from the archives: responses by their payloads, revisits by their headers."""
+    """A row for each record, from the archives: responses by their payloads, and revisits by their headers alone. Each kind
+    is read by a predicate that the source takes over, so the blocks of the other are passed by."""
     spark = pages.sparkSession
     to = runtime.scratch(spark, "warc")
     write(pages, to, least_bytes)
-    rows = reader(spark).schema("record_id string, record_type string, payload_digest string, refers_to string, http_length long, payload_bytes long, payload_sha1 string").load(to)
+    head = "record_id string, record_type string, payload_digest string, refers_to string, http_length long"
+    responses = reader(spark).schema(f"{head}, payload_bytes long, payload_sha1 string").load(to).filter("record_type = 'response'")
+    revisits = reader(spark).schema(head).load(to).filter("record_type = 'revisit'")
+    rows = responses.unionByName(revisits, allowMissingColumns=True)
     number = lambda c: F.expr(f"try_cast(substring({c}, {len(PREFIX) + 1}) as long)")
     return rows.select(
         number("record_id").alias("page_id"),

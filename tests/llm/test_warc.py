@@ -68,3 +68,13 @@ def test_decompression_is_bounded():
         (row,) = warc.records(io.BytesIO(record + record[:-200]), ["payload_bytes", "payload_sha1"], {}) if most > 1000 else [None]
         assert row is None or (row["payload_bytes"], row["payload_sha1"]) == (len(html), hashlib.sha1(html).hexdigest())
     assert [len(list(warc.records(io.BytesIO(record[:-n]), ["payload_bytes"], {}))) for n in (200, 400, len(record) // 2)] == [0, 0, 0]
+
+
+def test_damaged_archives_give_the_records_before():
+    whole = warc._record(1, "u", b"abc", "d", None)
+    damaged = whole[:40] + bytes(b ^ 255 for b in whole[40:80]) + whole[80:]
+    assert [r["record_id"] for r in warc.records(io.BytesIO(whole + damaged + whole), ["record_id"], {})] == ["urn:page:1"]
+    plain = gzip.decompress(whole)
+    unsized = plain.replace(b"Content-Length: ", b"Content-Length: x", 1)
+    assert len(list(warc.records(io.BytesIO(plain + plain.replace(b"Content-Length: 3", b"Content-Length: ?")), ["record_id", "http_length", "payload"], {}))) in (1, 2)
+    assert len(list(warc.records(io.BytesIO(plain + unsized.replace(b"application/http", b"text/plain")), ["record_id", "payload"], {}))) >= 1
