@@ -47,6 +47,8 @@ _U = np.uint64
 _B, _B2 = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F)
 FIRST = np.dtype([("h1", "u8"), ("h2", "u8"), ("doc", "i8"), ("start", "u4")])
 SAMPLE = 16  # one document in so many tells the frequent anchors
+#: Bytes of text to a bucket, whose records and strings one task holds.
+BUCKET_BYTES = 16 << 20
 Hot = tuple[np.ndarray, np.ndarray]  # sorted anchors, and over how many buckets each is dealt
 
 
@@ -431,7 +433,8 @@ def marked(docs: DataFrame, key: str, places: str, width: int = 100) -> DataFram
     if replaced:
         docs = written(docs, "documents")
     texts = docs.select(F.col(key).alias("doc_key"), F.coalesce("text", F.lit("")).alias("text")).filter(F.octet_length("text") >= width)
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))  # a task holds one
     hot, tasks = _hot(texts, width, buckets), _tasks(spark, buckets)
     compared = written(_compare(_packed(texts, width, tasks, hot).repartition(buckets, "bucket"), hot), "repeat-marks")
     opened = compared.filter("anchor is not null")
