@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .. import runtime
 from .workers import cached, slices
 
-LINKS = "doc_id long, item_id long, distance int, begin int, stop int, n_chars int"
+LINKS = "item_id long, distance int, begin int, stop int, n_chars int"
 Items = tuple[tuple[int, str], ...]
 
 
@@ -154,12 +154,13 @@ def _runs(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[tuple[
 
 def links(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, most_bytes: int = 16 << 20) -> DataFrame:
     """A row for each document and item that occurs in it within its budget. Documents are read once; a task holds some of
-    their texts and one file of items at a time."""
+    their texts and one file of items at a time. doc_id: a number, or a string that tells documents apart."""
     paths = item_files(benchmark, most_bytes)
+    named = dict(docs.dtypes)["doc_id"] == "string"
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in _runs(batches, (8 if len(paths) == 1 else 32) << 20):
-            out: list[list] = [[] for _ in range(6)]
+            out: list[list] = [[] for _ in range(6)]  # doc_id and LINKS
             for path in paths:
                 matcher = cached(("decontamination", path, rate), lambda path=path: Matcher(_items(path), rate))
                 if matcher.items:
@@ -167,7 +168,8 @@ def links(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, most_bytes:
                         for found in matcher.search(text) if text else ():
                             for column, value in zip(out, (doc_id, *found, len(text)), strict=True):
                                 column.append(value)
-            kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], [f.split(" ")[0] for f in LINKS.split(", ")])
+            kinds = [pa.string() if named else pa.int64(), pa.int64(), *[pa.int32()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["doc_id", *(f.split(" ")[0] for f in LINKS.split(", "))])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(part, LINKS)
+    kind = "string" if named else "long"
+    return docs.selectExpr(f"cast(doc_id as {kind}) doc_id", "text").mapInArrow(part, f"doc_id {kind}, {LINKS}")

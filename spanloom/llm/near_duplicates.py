@@ -98,8 +98,8 @@ def _rid(shingles: np.ndarray) -> tuple[int, int]:
 
 
 def row_key() -> Column:
-    """Tells rows of docs apart that have no id, or the same, unless their texts are the same, too."""
-    return F.xxhash64("doc_id", "text").alias("row_key")
+    """Tells rows of docs apart that have no id, or the same, unless their texts are the same, too: 128 bits of both."""
+    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(" "), F.coalesce("text", F.lit("")))).alias("row_key")
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -116,7 +116,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                     ["doc_id", "n_shingles", "class", "check", "registers", "row_key"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key()).mapInArrow(part, "doc_id long, n_shingles long, class long, check long, registers binary, row_key long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key()).mapInArrow(part, "doc_id long, n_shingles long, class long, check long, registers binary, row_key string")
 
 
 def _banded(classes: DataFrame) -> DataFrame:
