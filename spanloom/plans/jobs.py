@@ -71,7 +71,7 @@ def export_csv(spark: SparkSession, windows: str, to: str) -> None:
 
 
 def rebuild_from_csv(spark: SparkSession, folder: str, to: str) -> None:
-    back, bad = writers.reassembled(*(readers.csv(spark, f"{folder}/{n}", s) for n, s in (("examples", readers.EXAMPLES), ("sentences", readers.SENTENCES), ("entities", readers.ENTITIES))))
+    back, bad = writers.reassembled(*(readers.csv(spark, writers.published(spark, folder, n), s) for n, s in (("examples", readers.EXAMPLES), ("sentences", readers.SENTENCES), ("entities", readers.ENTITIES))))
     validate.require(bad)
     writers.write_lines(back, to)
 

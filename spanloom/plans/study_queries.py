@@ -310,11 +310,11 @@ def _batch(spark: SparkSession, sf: str) -> evaluation.Evaluation:
 
 
 def batch_groups(spark, sf):
-    """EVL-02, SNK-07, AGG-13, PRJ-06: a batch's bundle written and read; its strict counts by bucket, split and label."""
+    """EVL-02, SNK-07, AGG-13, PRJ-06: a batch's bundle published and read; its strict counts by bucket, split and label."""
     to = scratch(spark, "bundle")
     own = _batch(spark, sf)
-    writers.write_bundle({"groups": own.groups}, to)
-    return readers.csv(spark, f"{to}/groups", "group_type string, group string, tp long, fp long, fn long, precision double, recall double, f1 double")
+    writers.write_bundle({"summary": own.summary, "groups": own.groups, "per_example": own.per_example, "false_positives": own.false_positives, "false_negatives": own.false_negatives, "failed_examples": own.failed}, to)
+    return readers.csv(spark, writers.published(spark, to, "groups"), "group_type string, group string, tp long, fp long, fn long, precision double, recall double, f1 double")
 
 
 def batch_summary(spark, sf):

@@ -6,6 +6,7 @@ import hashlib
 import json
 import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,9 +40,10 @@ def flattened(windows: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def write_flat(windows: DataFrame, folder: str) -> None:
-    for name, rows in flattened(windows).items():
-        rows.write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{folder}/{name}")
+def write_flat(windows: DataFrame, folder: str) -> str:
+    """The three tables as CSV, published together."""
+    save = lambda rows: lambda path: rows.write.option("header", True).option("escape", '"').csv(path)
+    return publish(windows.sparkSession, folder, {name: save(rows) for name, rows in flattened(windows).items()})
 
 
 def reassembled(examples: DataFrame, sentences: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -60,20 +62,34 @@ def reassembled(examples: DataFrame, sentences: DataFrame, entities: DataFrame)
     return own.withColumn("sections", F.array()).drop("character_count", "entity_count", "section_count"), bad
 
 
+def _replace(spark: SparkSession, draft, place) -> None:
+    """Renames a file over another in one step, so that readers see the old or the new one at any time."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    if place.getFileSystem(conf).getUri().getScheme() == "file":  # Hadoop's local files are deleted, then renamed
+        names = [jvm.java.nio.file.Paths.get(p.toUri().getPath(), spark.sparkContext._gateway.new_array(jvm.java.lang.String, 0)) for p in (draft, place)]
+        how = spark.sparkContext._gateway.new_array(jvm.java.nio.file.CopyOption, 2)
+        how[0], how[1] = jvm.java.nio.file.StandardCopyOption.REPLACE_EXISTING, jvm.java.nio.file.StandardCopyOption.ATOMIC_MOVE
+        jvm.java.nio.file.Files.move(*names, how)
+        return
+    how = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+    how[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(place.toUri(), conf).rename(draft, place, how)
+
+
 def put(spark: SparkSession, path: str, content: bytes, tries: int = 5, wait: float = 0.1) -> None:
-    """A small file in one step: written beside its place and renamed, tried again after a growing wait if the store fails."""
+    """A small file in one step: written beside its place and renamed over what is there, tried again after a growing wait if
+    the store fails. What was there before stays until then."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     place, draft = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.draft")
     for attempt in range(1, tries + 1):
         try:
             fs = place.getFileSystem(conf)
+            fs = fs.getRawFileSystem() if fs.getUri().getScheme() == "file" and hasattr(fs, "getRawFileSystem") else fs  # without a file of checksums beside it
+            fs.mkdirs(place.getParent())
             out = fs.create(draft, True)
             out.write(bytearray(content))
             out.close()
-            if fs.exists(place):
-                fs.delete(place, False)
-            if not fs.rename(draft, place):
-                raise OSError(f"cannot rename to {path}")
+            _replace(spark, fs.makeQualified(draft), fs.makeQualified(place))
             return
         except Exception:  # noqa: BLE001  any failure of the store
             if attempt == tries:
@@ -81,6 +97,46 @@ def put(spark: SparkSession, path: str, content: bytes, tries: int = 5, wait: fl
             time.sleep(wait * 2 ** (attempt - 1))
 
 
+def get(spark: SparkSession, path: str) -> bytes | None:
+    """A small file's content; None if there is none."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(place):
+        return None
+    return bytes(spark.read.format("binaryFile").load(path).first().content)
+
+
+def publish(spark: SparkSession, folder: str, parts: dict[str, Callable[[str], None]], about: dict | None = None) -> str:
+    """Several tables that belong together, in one step: each writer writes its part below a folder of this run, then one small
+    manifest names the run. Readers go by the manifest, so they see all parts of one run, the last that was published whole.
+    Of older runs the one before stays for readers that have begun; those before it are deleted."""
+    folder, run = folder.rstrip("/"), uuid.uuid4().hex
+    before = manifest_of(spark, folder)
+    for name, write in parts.items():
+        write(f"{folder}/runs/{run}/{name}")
+    runs = [run, *(before["runs"] if before else [])][:2]
+    put(spark, f"{folder}/CURRENT.json", json.dumps({"run": run, "runs": runs, "parts": sorted(parts), "about": about or {}}, sort_keys=True, ensure_ascii=False).encode())
+    for old in before["runs"] if before else []:
+        if old not in runs:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/runs/{old}")
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return run
+
+
+def manifest_of(spark: SparkSession, folder: str) -> dict | None:
+    """What was published last in a folder."""
+    content = get(spark, f"{folder.rstrip('/')}/CURRENT.json")
+    return None if content is None else json.loads(content)
+
+
+def published(spark: SparkSession, folder: str, part: str) -> str:
+    """The path of a part of the last run that was published."""
+    found = manifest_of(spark, folder)
+    if found is None or part not in found["parts"]:
+        raise ValueError(f"{folder} has no published {part}")
+    return f"{folder.rstrip('/')}/runs/{found['run']}/{part}"
+
+
 def write_one_file(rows: DataFrame, path: str) -> None:
     """Lines as one file of a given name, which the layout of a corpus asks for; one task writes it, so it is for splits of
     a bounded size. Larger ones go through ``write_lines``."""
@@ -119,13 +175,13 @@ def write_scores(scores: DataFrame, path: str) -> None:
     scores.withColumns({c: F.to_json(c) for c in nested}).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
-def write_bundle(parts: dict[str, DataFrame], folder: str) -> None:
-    """A batch's summary, per-example scores, false positives and negatives, and failures, each in a folder of its own."""
-    for name, rows in parts.items():
-        if name in ("summary", "failed_examples"):
-            rows.write.mode("overwrite").json(f"{folder}/{name}")
-        else:
-            write_scores(rows, f"{folder}/{name}")
+def write_bundle(parts: dict[str, DataFrame], folder: str) -> str:
+    """A batch's summary, per-example scores, false positives and negatives, and failures, published together."""
+
+    def save(name: str, rows: DataFrame) -> Callable[[str], None]:
+        return (lambda path: rows.write.json(path)) if name in ("summary", "failed_examples") else (lambda path: write_scores(rows, path))
+
+    return publish(next(iter(parts.values())).sparkSession, folder, {name: save(name, rows) for name, rows in parts.items()})
 
 
 def parquet_to_csv(spark: SparkSession, source: str, to: str) -> None:

@@ -94,13 +94,10 @@ class Runner:
     def stream(self, source: str, schema, provider: Callable[[], Provider], columns: list[str], files_per_batch: int = 1):
         """All files of a folder that have not been read yet, some at a time; ends when none is left."""
         rows = self.spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
-        query = rows.writeStream.option("checkpointLocation", f"{self.folder}/checkpoint").trigger(availableNow=True).foreachBatch(lambda batch, n: self.step(batch, self._next(n), provider, columns)).start()
+        query = rows.writeStream.option("checkpointLocation", f"{self.folder}/checkpoint").trigger(availableNow=True).foreachBatch(lambda batch, n: self.step(batch, n, provider, columns)).start()
         query.awaitTermination()
         return query
 
-    def _next(self, n: int) -> int:
-        return n
-
     def progress(self, planned: int, seconds: float | None = None) -> dict:
         """Calls planned, attempted and answered, the share that is done, and how long the rest will take at the pace so far."""
         own = self.results()

@@ -10,6 +10,7 @@ from spanloom.operators import evaluation
 from spanloom.operators.tokens import tokenize
 from spanloom.plans import jobs
 from spanloom.plans.io_queries import Echo
+from spanloom.sources import writers
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -65,7 +66,7 @@ def test_batch_run_and_evaluation(spark, prepared, tmp_path):
     assert (s.micro_tp, s.micro_fp, s.micro_fn) == (gold - 1, 1, 1) and (s.overlap_tp, s.boundary_tolerant_tp) == (gold, gold)
     assert own.false_positives.count() == own.false_negatives.count() == 1 and own.failed.first().status == "error" and s.llm_calls == 8
     assert {r.group_type for r in own.groups.collect()} == {"bucket", "split", "label"} and own.intervals.count() == 3
-    assert spark.read.json(f"{tmp_path}/out/summary").count() == 1 and len(own.per_example.collect()) == 3
+    assert spark.read.json(writers.published(spark, f"{tmp_path}/out", "summary")).count() == 1 and len(own.per_example.collect()) == 3
 
 
 def test_resumable_batch(spark, prepared, tmp_path):
