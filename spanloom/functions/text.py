@@ -14,7 +14,7 @@ from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField,
 TOKEN = r"[\p{L}\p{N}_]+(?:[-'][\p{L}\p{N}_]+)*|[^\p{L}\p{N}_\s]"
 #: White space as Python's str methods and patterns see it; \s alone is ASCII in Spark.
 BLANKS = r"(?U)[\s\x1c-\x1f]+"
-SENTENCE_END = r"(?<=[.!?])\s+(?=[A-Z0-9\"'])|\n+"
+SENTENCE_END = r"(?U)(?<=[.!?])[\s\x1c-\x1f]+(?=[A-Z0-9\"'])|\n+"
 
 
 def fold(x: Column) -> Column:
@@ -36,6 +36,11 @@ def casefold(x: Column) -> Column:
     return own
 
 
+def strip(x: Column) -> Column:
+    """Without white space at both ends, of any kind."""
+    return F.regexp_replace(x, rf"^{BLANKS}|{BLANKS.removeprefix('(?U)')}\z", "")
+
+
 def words(x: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(x, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
 
@@ -130,7 +135,7 @@ def let(value: Column, of: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), of), F.lit(0))
 
 
-def running(sizes: Column, most: int = 512) -> Column:
+def running(sizes: Column, most: int = 32) -> Column:
     """For each number of an array the sum of those before it. Arrays grow by copying, so sums run within blocks of ``most``
     numbers and over the blocks' totals."""
     grown = lambda own: F.aggregate(own, F.array(F.lit(0)), lambda sums, n: F.concat(sums, F.array(F.element_at(sums, -1) + n)))

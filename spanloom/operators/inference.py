@@ -206,7 +206,8 @@ def passes(spark, estimator: str, models: list[str], k: int = 3) -> DataFrame:
 
 def sentences(docs: DataFrame, key: str, text: str, most: int | None = None) -> DataFrame:
     """A row for each sentence with its tokens (offsets in the document)."""
-    own = docs.select(key, F.size(split_sentences(text)).alias("total_sentences"), F.posexplode(split_sentences(text) if most is None else F.slice(split_sentences(text), 1, most)).alias("sentence", "s"))
+    own = docs.select(key, split_sentences(text).alias("__s"))
+    own = own.select(key, F.size("__s").alias("total_sentences"), F.posexplode("__s" if most is None else F.slice("__s", 1, most)).alias("sentence", "s"))
     own = own.withColumn("tokens", tokenize("s.text"))
     shifted = F.transform("tokens", lambda t: F.struct(t["text"].alias("text"), (t["start"] + F.col("s.start")).alias("start"), (t["stop"] + F.col("s.start")).alias("stop")))
     return own.select(key, "sentence", "total_sentences", F.col("s.text").alias("text"), F.col("s.start").alias("start"), F.col("s.stop").alias("stop"), shifted.alias("tokens"))

@@ -11,16 +11,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from ..functions.text import SENTENCE_END
+from ..functions.text import SENTENCE_END, strip
 
+# The tokeniser's pattern, and how detokenising puts blanks.
 _TOKEN = re.compile(r"\w+(?:[-']\w+)*|[^\w\s]")
-_END = re.compile(SENTENCE_END)
-# How detokenising puts blanks.
 NO_BLANK_BEFORE = [".", ",", ";", ":", "?", "!", "%", ")", "]", "}"]
 NO_BLANK_AFTER = ["(", "[", "{"]
 JOINS = ["-", "–", "—", "/"]
 SUFFIXES = ["'s", "'re", "'ve", "'ll", "'d", "'m", "n't"]
 
+_END = re.compile(SENTENCE_END.removeprefix("(?U)"))  # Python's patterns know all white space without the mark
+
 
 _SPAN = [StructField("text", StringType()), StructField("start", IntegerType()), StructField("stop", IntegerType())]
 
@@ -70,9 +71,8 @@ def split_sentences(x: pa.Array) -> pa.Array:
 
 
 def sentence_texts(x: Column) -> Column:
-    """The sentences alone, in Spark's own functions."""
-    parts = F.transform(F.split(x, SENTENCE_END), lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
-    return F.filter(parts, lambda s: s.rlike(r"\S"))
+    """The same sentences alone, in Spark's own functions: what has a sign that is no white space has a token."""
+    return F.filter(F.transform(F.split(F.coalesce(x, F.lit("")), SENTENCE_END, -1), strip), lambda s: s != "")
 
 
 def indexed(tokens: Column) -> Column:

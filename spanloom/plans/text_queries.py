@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import corpus, labels, parsing, tokens, validate
+from ..operators import corpus, inference, labels, parsing, tokens, validate
 from ..runtime import table
 
 BLANKS = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
@@ -53,6 +53,14 @@ def sentence_slices(spark, sf):
     return own.agg(F.count("*").alias("documents"), F.sum(F.size("s")).alias("sentences"), F.sum("n").alias("native"), F.sum(bad).alias("wrong"))
 
 
+def blank_sentences(spark, sf):
+    """TOK-02, AGG-33: calls planned and sentences made of texts whose blanks after full stops are of other kinds."""
+    kind = F.element_at(F.array(*map(F.lit, ("\u00a0", "\u2003", "\u0085", "\u3000"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    own = table(spark, sf, "documents").select("doc_id", F.replace(F.col("text"), F.lit(". "), F.concat(F.lit("."), kind)).alias("text"))
+    calls = inference.sentences(own, "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("made"), F.first("total_sentences").cast("long").alias("sentences"))
+    return own.select("doc_id", F.size(tokens.sentence_texts(F.col("text"))).cast("long").alias("planned")).join(calls, "doc_id", "left").na.fill(0)
+
+
 def planned_calls(spark, sf):
     """AGG-32, AGG-33: one call for each sentence."""
     own = table(spark, sf, "documents").select("source", F.size(tokens.sentence_texts(F.col("text"))).alias("n"))
@@ -276,7 +284,7 @@ def validation_violations(spark, sf):
     return validate.violations(own, "doc_id", rules).groupBy("rule").agg(F.count("*").alias("n"), F.min(F.col("key").cast("long")).alias("first_key"))
 
 
-QUERIES = {f.__name__: f for f in (norm_text_dupes, tokenize_offsets, token_counts_by_lang, sentence_split, sentence_slices, planned_calls, detokenize, tag_runs_to_spans, single_tag_runs, indexed_tokens, span_char_to_token, find_phrase, length_buckets, window_materialise, pilot_selection, smoke_sample, json_fence_parse, freeform_parse, freeform_typed, validate_prediction, validate_entities, candidate_tags, label_schema, ticket_cleaning, csv_row_context, pdf_cleanup, html_escape, scalar_functions, validation_violations)}
+QUERIES = {f.__name__: f for f in (norm_text_dupes, tokenize_offsets, token_counts_by_lang, sentence_split, sentence_slices, blank_sentences, planned_calls, detokenize, tag_runs_to_spans, single_tag_runs, indexed_tokens, span_char_to_token, find_phrase, length_buckets, window_materialise, pilot_selection, smoke_sample, json_fence_parse, freeform_parse, freeform_typed, validate_prediction, validate_entities, candidate_tags, label_schema, ticket_cleaning, csv_row_context, pdf_cleanup, html_escape, scalar_functions, validation_violations)}
 
 _N = f"len({SENTENCES})"
 _STATS = "count(*) documents, min(n) min, max(n) max, avg(n) mean, median(n)::double median"
@@ -286,6 +294,7 @@ ORACLE_SQL = {
     "token_counts_by_lang": f"with t as (select lang, len({TOKENS}) n from documents) select lang, count(*) documents, min(n)::integer as min, max(n)::integer as max, avg(n) mean, median(n)::double median from t group by lang",
     "sentence_split": f"with s as (select doc_id, {SENTENCES} s from documents) select doc_id, i - 1 i, s[i] sentence from (select doc_id, s, unnest(range(1, len(s) + 1)) i from s)",
     "sentence_slices": f"select count(*) documents, sum({_N})::bigint sentences, sum({_N})::bigint native, 0::bigint wrong from documents",
+    "blank_sentences": f"select doc_id, ({_N})::bigint planned, ({_N})::bigint made, ({_N})::bigint sentences from documents",
     "planned_calls": f"select source, count(*) documents, sum({_N})::bigint calls from documents group by source",
     "detokenize": DETOKENIZE_SQL,
     "tag_runs_to_spans": _RUNS.format("tag <> 'view'"),

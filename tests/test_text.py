@@ -61,7 +61,7 @@ def test_scalars(spark):
 
 
 @settings(max_examples=15, deadline=None)
-@given(st.lists(st.text(alphabet="aB1 .!?\n-'é_(", max_size=60), min_size=1, max_size=20))
+@given(st.lists(st.text(alphabet="aB1 .!?\n-'é_(\u00a0\u2003\x85\x1c", max_size=60), min_size=1, max_size=20))
 def test_tokens_and_sentences_as_stated(texts):
     from pyspark.sql import SparkSession
 
