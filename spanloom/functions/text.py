@@ -108,6 +108,13 @@ def escape_html(x: Column) -> Column:
     return x
 
 
+def highlighted(text: Column, spans: Column, labels: list[str]) -> Column:
+    """HTML of a text with its spans (start, stop, label) as marks in the colour of their label; of spans that overlap the
+    first is marked, of those with one start the longest."""
+    mark = lambda s, x: F.concat(F.lit('<mark style="background:'), label_colour(s["label"], labels), F.lit('" title="'), escape_html(s["label"]), F.lit('">'), escape_html(x), F.lit("</mark>"))
+    return rewritten(text, spans, mark, escape_html)
+
+
 def model_name(x: Column) -> Column:
     """What follows the first colon; all of it without one."""
     at = F.instr(x, ":")
@@ -185,7 +192,7 @@ def rewritten(text: Column, spans: Column, span: Callable[[Column, Column], Colu
         last = end(kept, F.size(kept) - 1)
         return F.concat(F.array_join(parts, ""), rest(cut(F.least(last, F.length(text)), F.length(text))))
 
-    return F.when(text.isNotNull(), let(apart(F.coalesce(spans, F.slice(spans, F.lit(1), F.lit(0)))), whole))
+    return F.when(text.isNotNull(), F.when(spans.isNull(), rest(text)).otherwise(let(apart(spans), whole)))
 
 
 def iso_utc(ts: Column) -> Column:

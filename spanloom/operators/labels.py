@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import is_noisy_tag, label_words, words
+from ..runtime import written
 
 
 def clean_tickets(raw: DataFrame, order: str) -> DataFrame:
@@ -39,20 +40,61 @@ def tag_frequency(rows: DataFrame, tags: str) -> DataFrame:
     return rows.select(F.explode(tags).alias("tag")).groupBy("tag").agg(F.count("*").alias("frequency"))
 
 
-def tag_list(x: Column) -> Column:
-    """A JSON list of tags; what is none gives no tags."""
-    return F.coalesce(F.filter(F.from_json(x, "array<string>"), lambda t: F.trim(t) != ""), F.array().cast("array<string>"))
+def tag_list(x: Column, kind: str = "string") -> Column:
+    """Tags of a JSON list or, of another kind than string, of a list, without blank ones; what is none gives no tags."""
+    own = F.from_json(x, "array<string>") if kind == "string" else x
+    return F.coalesce(F.filter(F.transform(own, lambda t: F.trim(t)), lambda t: t != ""), F.array().cast("array<string>"))
 
 
-def candidate_tags(texts: DataFrame, key: str, text: str, tags: DataFrame, most: int = 40, fallback: int = 20) -> DataFrame:
-    """key, tag and place of at most ``most`` tags for each text. tags: tag, pos (order of the schema) and frequency.
+def _grams(x: Column, size: int) -> Column:
+    """The different runs of ``size`` characters."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(x) - size + 1), lambda i: F.substring(x, i, F.lit(size))))
+
+
+def suggested(texts: DataFrame, key: str, text: str, tags: DataFrame, gram: int = 4) -> DataFrame:
+    """key, tag, low, pos, frequency and score of the tags that a text's words or a phrase in it suggest, by an inverted index.
+
+    tags: tag, low, words, pos and frequency. Words of texts meet words of tags, and a tag that may stand in a text as a
+    phrase is told by the characters with which it begins: ``gram`` of them, or all of a shorter one. Texts meet only the
+    tags that share a word or a beginning with them; a tag of a beginning is then looked for in the text.
+    """
+    rows = texts.select(key, F.lower(F.coalesce(text, F.lit(""))).alias("__low"), F.array_distinct(words(F.col(text))).alias("__words"))
+    by_word = tags.select("pos", F.explode("words").alias("word")).groupBy("word", "pos").agg(F.count("*").alias("hits"))
+    hits = rows.select(key, F.explode("__words").alias("word")).join(by_word, "word").groupBy(key, "pos").agg(F.sum("hits").alias("hits"))
+    begins = tags.filter("low <> ''").select("pos", "low", F.left("low", F.lit(gram)).alias("gram"))
+    sizes = [r.n for r in begins.select(F.length("gram").alias("n")).distinct().collect()]  # gram values at most
+    parts = [F.when(F.length("__low") >= n, _grams(F.col("__low"), n)).otherwise(F.array().cast("array<string>")) for n in sorted(sizes)]
+    met = rows.select(key, F.explode(F.concat(*parts) if parts else F.array().cast("array<string>")).alias("gram")).join(begins, "gram").groupBy(key).agg(F.collect_list(F.struct("pos", "low")).alias("__may"))
+    inside = rows.join(met, key).select(key, F.explode(F.filter("__may", lambda t: F.contains("__low", t["low"]))).alias("t")).select(key, "t.pos", F.lit(2).cast("long").alias("hits"))
+    found = hits.unionByName(inside).groupBy(key, "pos").agg(F.sum("hits").alias("hits"))
+    return found.join(tags.filter(F.size("words") > 0), "pos").select(key, "tag", "low", "pos", "frequency", (F.col("hits") + (F.size("words") <= 2).cast("int")).alias("score"))
+
+
+def indexed_candidate_tags(texts: DataFrame, key: str, text: str, tags: DataFrame, most: int, fallback: int) -> DataFrame:
+    """The rows of ``candidate_tags`` for schemas of any size."""
+    lexical = max(most - fallback, 0)
+    best = F.row_number().over(W.partitionBy(key).orderBy(F.desc("score"), F.desc("frequency"), "low", "pos"))
+    ranked = suggested(texts, key, text, tags).withColumn("__r", best).filter(F.col("__r") <= lexical)  # tasks keep their best before the shuffle
+    first = ranked.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("__r", "tag"))), lambda t: t["tag"]).alias("__first"))
+    listed = lambda n, *order: F.array(*(F.lit(r.tag) for r in tags.orderBy(*order).limit(n).collect())).cast("array<string>")  # noqa: E731  no more than most tags
+    rest = F.concat(listed(fallback, F.desc("frequency"), "low", "pos"), listed(most, "pos"))
+    own = texts.select(key).join(first, key, "left")
+    picked = F.slice(F.array_distinct(F.concat(F.coalesce("__first", F.array().cast("array<string>")), rest)), 1, most)
+    return own.select(key, F.posexplode(picked).alias("place", "tag"))
+
+
+def candidate_tags(texts: DataFrame, key: str, text: str, tags: DataFrame, most: int = 40, fallback: int = 20, small: int = 2000) -> DataFrame:
+    """key, tag and place of at most ``most`` tags for each text. tags: tag, pos (order of the schema, no two alike) and frequency.
 
     First the tags that the text's words suggest, then the most frequent (those taken already are passed over, not
-    replaced), then the schema's order. The tags are a schema of bounded size and travel as one array, so no text
-    is joined with them and nothing is shuffled.
+    replaced), then the schema's order. A schema of ``small`` tags or fewer, which is counted, travels as one array, so no
+    text is joined with it and nothing is shuffled; a larger one goes through an inverted index. The rows are the same.
     """
     fallback = min(max(fallback, 0), most)
     lexical = max(most - fallback, 0)
+    if tags.limit(small + 1).count() > small:
+        named = tags.filter(~is_noisy_tag(F.col("tag"))).select("tag", F.lower("tag").alias("low"), label_words(F.col("tag")).alias("words"), "pos", F.coalesce("frequency", F.lit(0)).cast("long").alias("frequency"))
+        return indexed_candidate_tags(texts, key, text, written(named, "tags"), most, fallback)
     own = tags.filter(~is_noisy_tag(F.col("tag"))).select("tag", F.lower("tag").alias("low"), label_words(F.col("tag")).alias("words"), "pos", F.coalesce("frequency", F.lit(0)).cast("long").alias("frequency"))
     schema = own.agg(
         F.array_sort(F.collect_list(F.struct((-F.col("frequency")).alias("f"), "low", "pos", "tag", "words"))).alias("__by_frequency"),

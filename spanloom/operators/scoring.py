@@ -85,6 +85,15 @@ def extraction_counts(gold: DataFrame, predicted: DataFrame, groups: list[str],
     return multiset_counts(with_key(gold), with_key(predicted), groups, keys)
 
 
+def extraction_rows(gold: DataFrame, predicted: DataFrame, record: str) -> DataFrame:
+    """Strict and lenient counts, precision and recall of each record that has a span on either side."""
+    out = None
+    for name, keys in (("strict", STRICT), ("lenient", LENIENT)):
+        own = with_prf(extraction_counts(gold, predicted, [record], keys)).select(record, *(F.col(c).alias(f"{name}_{c}") for c in ("tp", "fp", "fn", "precision", "recall")))
+        out = own if out is None else out.join(own, record)
+    return out
+
+
 def extraction_scorecard(records: DataFrame) -> DataFrame:
     """records: id, method, model, gold and prediction arrays of spans, json flags. One row of 12 columns."""
     flat = lambda side: records.select("id", F.inline(side))
@@ -108,9 +117,10 @@ def macro_f1(counts: DataFrame, document: str) -> DataFrame:
 
 
 def portable_draws(clusters: DataFrame, iterations: int) -> DataFrame:
-    """it and number: as many draws as clusters in each iteration, by hashes that any SQL engine can repeat. clusters: number."""
+    """it and number: as many draws as clusters in each iteration, by hashes that any SQL engine can repeat. clusters: number.
+    Each task makes the draws of its slots, so they are made where they are summed."""
     n = clusters.count()
-    slots = clusters.select(F.col("number").alias("slot")).crossJoin(F.broadcast(clusters.sparkSession.range(iterations).withColumnRenamed("id", "it")))  # the iterations are a parameter
+    slots = clusters.select(F.col("number").alias("slot"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(iterations - 1).cast("long"))).alias("it"))
     drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("it").cast("string"), F.col("slot").cast("string"))), 1, 8), 16, 10).cast("long") % n
     return slots.select("it", drawn.alias("number"))
 
@@ -126,9 +136,10 @@ def exact_draws(spark, n: int, iterations: int, seed: int = 42) -> DataFrame:
 
 def bootstrap(counts: DataFrame, draws: DataFrame, iterations: int) -> DataFrame:
     """Percentile intervals of precision, recall and F1 when clusters are drawn again. counts: number, tp, fp, fn; draws:
-    it, number and times (1 if missing). The bounds are elements of the sorted values, not interpolated."""
+    it, number and times (1 if missing). The bounds are elements of the sorted values, not interpolated. Draws meet their
+    counts and are summed in their task, so a row an iteration and task is shuffled."""
     times = F.col("times") if "times" in draws.columns else F.lit(1)
-    sums = draws.withColumn("times", times).groupBy("it", "number").agg(F.sum("times").alias("times")).join(counts, "number")
+    sums = draws.withColumn("times", times).join(counts, "number")
     own = with_prf(sums.groupBy("it").agg(*(F.sum(F.col(c) * F.col("times")).alias(c) for c in ("tp", "fp", "fn"))))
     low, high = int(0.025 * iterations), min(iterations - 1, int(0.975 * iterations))
     names = ("precision", "recall", "f1")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import io_queries, review_queries, scoring_queries, stream_queries, study_queries, text_queries
+from . import io_queries, report_queries, review_queries, scoring_queries, stream_queries, study_queries, text_queries
 
-MODULES = [scoring_queries, text_queries, review_queries, io_queries, study_queries, stream_queries]
+MODULES = [scoring_queries, text_queries, review_queries, io_queries, study_queries, stream_queries, report_queries]
 
 
 def queries() -> dict:

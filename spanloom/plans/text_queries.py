@@ -228,6 +228,13 @@ def candidate_tags(spark, sf):
     return labels.candidate_tags(texts, "item_id", "text", tags, 8, 4)
 
 
+def candidate_tags_indexed(spark, sf):
+    """RNK-03: the same rows by the inverted index that large schemas go through."""
+    tags = table(spark, sf, "part").groupBy(F.col("p_name").alias("tag")).agg(F.count("*").alias("frequency"), F.min("p_partkey").alias("pos"))
+    texts = table(spark, sf, "benchmark").select("item_id", F.concat(F.col("text"), F.lit(" red "), F.when(F.col("item_id") % 2 == 0, "widget").otherwise("small ring")).alias("text"))
+    return labels.candidate_tags(texts, "item_id", "text", tags, 8, 4, small=0)
+
+
 CANDIDATES_SQL = """with t as (select p_name tag, lower(p_name) low, list_filter(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), lambda w: w <> '') w, count(*) f, min(p_partkey) pos from part where trim(p_name) <> '' and length(p_name) <= 60 and length(p_name) - length(replace(p_name, ',', '')) < 2 group by 1),
 d as (select item_id, lower(x) low, regexp_extract_all(lower(x), '[a-z0-9]+') w from (select item_id, text || ' red ' || case when item_id % 2 = 0 then 'widget' else 'small ring' end x from benchmark)),
 s as (select d.item_id, t.tag, t.f, t.low, t.pos, len(list_filter(t.w, lambda x: list_contains(d.w, x))) o, case when contains(d.low, t.low) then 2 else 0 end b, len(t.w) n from d, t),
@@ -284,7 +291,7 @@ def validation_violations(spark, sf):
     return validate.violations(own, "doc_id", rules).groupBy("rule").agg(F.count("*").alias("n"), F.min(F.col("key").cast("long")).alias("first_key"))
 
 
-QUERIES = {f.__name__: f for f in (norm_text_dupes, tokenize_offsets, token_counts_by_lang, sentence_split, sentence_slices, blank_sentences, planned_calls, detokenize, tag_runs_to_spans, single_tag_runs, indexed_tokens, span_char_to_token, find_phrase, length_buckets, window_materialise, pilot_selection, smoke_sample, json_fence_parse, freeform_parse, freeform_typed, validate_prediction, validate_entities, candidate_tags, label_schema, ticket_cleaning, csv_row_context, pdf_cleanup, html_escape, scalar_functions, validation_violations)}
+QUERIES = {f.__name__: f for f in (norm_text_dupes, tokenize_offsets, token_counts_by_lang, sentence_split, sentence_slices, blank_sentences, planned_calls, detokenize, tag_runs_to_spans, single_tag_runs, indexed_tokens, span_char_to_token, find_phrase, length_buckets, window_materialise, pilot_selection, smoke_sample, json_fence_parse, freeform_parse, freeform_typed, validate_prediction, validate_entities, candidate_tags, candidate_tags_indexed, label_schema, ticket_cleaning, csv_row_context, pdf_cleanup, html_escape, scalar_functions, validation_violations)}
 
 _N = f"len({SENTENCES})"
 _STATS = "count(*) documents, min(n) min, max(n) max, avg(n) mean, median(n)::double median"
@@ -314,6 +321,7 @@ select case when reason is null then 'LOC' end as type, reason, count(*) n, case
     "validate_prediction": VALIDATE_SQL,
     "validate_entities": ENTITIES_SQL,
     "candidate_tags": CANDIDATES_SQL,
+    "candidate_tags_indexed": CANDIDATES_SQL,
     "label_schema": "select 'p_brand' field, string_agg(distinct p_brand, '|' order by p_brand) labels from part union all select 'p_type', string_agg(distinct p_type, '|' order by p_type) from part",
     "ticket_cleaning": "with c as (select conv_id * 1000 + turn seq, role, text, turn from conversations where turn <> 3 and text is not null and role is not null) select row_number() over (order by seq) ticket_id, md5(trim(role) || chr(10) || chr(10) || trim(text)) digest, case when turn % 2 = 0 then 'a,b' else 'b,a' end tags from c",
     "csv_row_context": "select c_custkey, 'c_name: ' || c_name || chr(10) || chr(10) || 'c_mktsegment: ' || c_mktsegment || chr(10) || chr(10) || 'c_nationkey: ' || c_nationkey document from customer",

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 RAW = "doc_id string, words array<string>, sentences array<array<int>>, sections array<array<int>>, ner array<array<string>>"
@@ -13,10 +14,6 @@ SENTENCES = "example_id string, doc_id string, relative_sentence_index int, sour
 ENTITIES = "example_id string, doc_id string, entity_id string, label string, text string, start_char int, end_char int, source_token_start int, source_token_end_exclusive int"
 
 
-def _split() -> Column:
-    return F.regexp_extract(F.input_file_name(), r"([^/]+)\.jsonl$", 1)
-
-
 def exists(spark: SparkSession, path: str) -> bool:
     own = spark._jvm.org.apache.hadoop.fs.Path(path)
     return own.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(own) not in (None, [])
@@ -33,15 +30,29 @@ def split_files(spark: SparkSession, folder: str) -> DataFrame:
     return own
 
 
+def numbered_lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    """path, line (from 1) and value of text files, blank lines too, whatever ranges of bytes a file is read in.
+
+    Files are cut where Spark plans it. A first pass counts the lines of each range (a row a range), their sums give the
+    number of lines before it, and a line adds its place within its range. Lines are joined with those sums, which Spark
+    broadcasts while they are small.
+    """
+    own = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("__at"), "value", F.monotonically_increasing_id().alias("__id"))
+    ranges = own.groupBy("path", "__at").agg(F.min("__id").alias("__first"), F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(W.partitionBy("path").orderBy("__at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = ranges.select("path", "__at", (before - F.col("__first") + 1).alias("__offset"))
+    return own.join(offsets, ["path", "__at"]).select("path", (F.col("__id") + F.col("__offset")).alias("line"), "value")
+
+
 def raw_records(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Raw records with their split, and the violations: lines that are no JSON or lack a required field."""
-    own = spark.read.text(paths).withColumn("source_split", _split()).filter(F.trim("value") != "")
+    """Raw records with their split, and the violations, with path and line: lines that are no JSON or lack a required field."""
+    own = numbered_lines(spark, paths).withColumn("source_split", F.regexp_extract("path", r"([^/]+)\.jsonl$", 1)).filter(F.trim("value") != "")
     own = own.withColumn("r", F.from_json("value", RAW + ", _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"}))
     missing = F.array_compact(F.array(*(F.when(F.col(f"r.{c}").isNull(), F.lit(c)) for c in REQUIRED)))
     own = own.withColumn("missing", F.when(F.col("r._corrupt_record").isNotNull(), F.array(F.lit("json"))).otherwise(missing))
     ner = F.transform("r.ner", lambda e: F.struct(F.get(e, F.lit(0)).try_cast("int").alias("start"), F.get(e, F.lit(1)).try_cast("int").alias("stop"), F.get(e, F.lit(2)).alias("label")))
     good = own.filter(F.size("missing") == 0).select("r.doc_id", "source_split", "r.words", "r.sentences", "r.sections", ner.alias("ner"))
-    return good, own.filter(F.size("missing") > 0).select(F.lit("required_fields").alias("rule"), F.array_join("missing", ",").alias("key"), "source_split")
+    return good, own.filter(F.size("missing") > 0).select(F.lit("required_fields").alias("rule"), F.array_join("missing", ",").alias("key"), "source_split", "path", "line")
 
 
 def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:

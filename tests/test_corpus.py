@@ -117,3 +117,36 @@ def test_splits(spark):
     a = spark.createDataFrame([(1, "x"), (1, "x"), (2, "y")], "k int, s string")
     assert validate.same_rows(a, a.repartition(3)) and not validate.same_rows(a, a.distinct())
     assert [r.s for r in validate.split_leaks(spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "s string, p int"), "s", "p").collect()] == ["a"]
+
+
+def test_line_numbers_over_ranges(spark, tmp_path):
+    """Files of many ranges, of one, and without a line end, with blank lines and lines longer than a range."""
+    rng = random.Random(2)
+    files = {f"f{i}.txt": ["x" * rng.choice([0, 1, 5, 90, 700]) + f" {i} {j}" for j in range(n)] for i, n in enumerate((400, 1, 37))}
+    for name, lines in files.items():
+        (tmp_path / name).write_text("\n".join(lines) + ("\n" if name != "f2.txt" else ""))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("512", "4096", "100000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "0")
+            rows = readers.numbered_lines(spark, f"file://{tmp_path}/*.txt").collect()
+            got = {name: [r.value for r in sorted((r for r in rows if r.path.endswith(name)), key=lambda r: r.line)] for name in files}
+            assert got == files and all(sorted(r.line for r in rows if r.path.endswith(n)) == list(range(1, len(lines) + 1)) for n, lines in files.items())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_candidate_tags_of_a_large_schema(spark):
+    """100,000 tags through the inverted index; and the same rows as the array where both can be had."""
+    many = spark.range(100_000).selectExpr("concat('tag', id, case when id % 3 = 0 then ' red' else '' end) as tag", "cast(id as int) as pos", "id % 7 as frequency")
+    texts = spark.createDataFrame([(1, "the tag99999 red and tag5"), (2, "nothing"), (3, None), (4, "RED tag12")], "id int, text string")
+    got = labels.candidate_tags(texts, "id", "text", many, 6, 2)
+    first = {k: [r.tag for r in sorted(got.collect(), key=lambda r: r.place) if r.id == k][:2] for k in range(1, 5)}
+    assert first[1][0] == "tag99999 red" and first[4][0] == "tag12 red" and got.count() == 24
+    few = spark.createDataFrame([("VPN", 0, 5), ("Access", 1, 0), ("in", 2, 3), ("a b c", 3, 1), ("st", 4, 9), ("long phrase here", 5, 0), ("x, y, z", 6, 99), ("ß", 7, 1), ("-", 8, 50)], "tag string, pos int, frequency long")
+    asked = spark.createDataFrame([(i, t) for i, t in enumerate(["vpn access down", "a long phrase here", "string", "", None, "ß", "C b a -", "phrase"])], "id int, text string")
+    for most, fallback in ((4, 1), (3, 0), (9, 9), (2, 5)):
+        rows = [sorted(map(tuple, labels.candidate_tags(asked, "id", "text", few, most, fallback, small).collect())) for small in (2000, 0)]
+        assert rows[0] == rows[1]

@@ -78,3 +78,31 @@ def test_touched_tokens(spark):
     own = spark.createDataFrame([("New York is big",)], "x string").withColumn("t", tokens.tokenize("x"))
     got = own.select(tokens.touched(F.col("t"), F.lit(5), F.lit(10)).alias("a"), tokens.touched(F.col("t"), F.lit(3), F.lit(4)).alias("b"), tokens.span_of(F.col("t"), F.lit(0), F.lit(1)).alias("c"), tokens.span_of(F.col("t"), F.lit(2), F.lit(9)).alias("d")).first()
     assert got.a == (1, 2) and got.b == (-10_000, -10_000) and got.c == (0, 8) and got.d is None
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.text(alphabet="ab <&é🙂", max_size=30), st.lists(st.tuples(st.integers(-2, 32), st.integers(0, 34)), max_size=6))
+def test_spans_are_rewritten_by_a_cursor(text, spans):
+    from pyspark.sql import SparkSession
+
+    out, at = [], 0
+    for start, stop in sorted((s for s in spans if s[0] >= 0 and s[1] > s[0]), key=lambda s: (s[0], -s[1])):
+        if start >= at:
+            out.append(text[at:start] + "[" + text[start:stop] + "]")
+            at = stop
+    own = SparkSession.getActiveSession().createDataFrame([(text, spans), (text, None)], "t string, s array<struct<start:int,stop:int>>")
+    got = own.select(T.rewritten(F.col("t"), F.col("s"), lambda s, x: F.concat(F.lit("["), x, F.lit("]"))).alias("r")).collect()
+    assert [r.r for r in got] == ["".join(out) + text[at:], text]
+
+
+def test_highlighted(spark):
+    own = spark.createDataFrame([("a<b & c", [(0, 3, "X"), (1, 5, "Y"), (6, 7, "Y")])], "t string, s array<struct<start:int,stop:int,label:string>>")
+    got = own.select(T.highlighted(F.col("t"), F.col("s"), ["X", "Y"]).alias("h")).first().h
+    assert got == f'<mark style="background:{T.PALETTE[0]}" title="X">a&lt;b</mark> &amp; <mark style="background:{T.PALETTE[1]}" title="Y">c</mark>'
+
+
+def test_find_all(spark):
+    texts = ["", "aa1bb22", "é11🙂2 3", "1" * 100, "x" * 1000 + "7", *(" ".join(str(i) for i in range(n)) for n in (31, 32, 33, 500))]
+    own = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    for r in own.select("t", T.find_all(F.col("t"), "[0-9]+").alias("m")).collect():
+        assert r.m == r.t == None if r.t is None else [(m.start, m.stop, m.match) for m in r.m] == [(m.start(), m.end(), m[0]) for m in re.finditer("[0-9]+", r.t)]  # noqa: E711
