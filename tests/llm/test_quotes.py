@@ -69,3 +69,26 @@ def test_sql_agrees(spark):
 def test_native_plan(spark):
     plan = quotes.conversations(frame(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_threads(spark):
+    rows = quotes.conversations(frame(spark)).collect()
+    got = {(r.conv_id, r.turn): (r.root, r.depth) for r in rows}
+    assert [got[1, t] for t in range(5)] == [(0, 0), (0, 1), (0, 2), (0, 3), (0, 1)]
+    assert got[2, 2] == (0, 2) and got[4, 7] == (7, 0) and got[4, 8] == (7, 1) and got[None, 0] == (0, 0) and got[3, None] == (None, 0)
+    long = [(1, t, "u", f"turn {t}") for t in range(300)] + [(1, 400 + t, "u", f"> turn {t * 50}\nanswer {t}") for t in range(3)]
+    deep = {r.turn: (r.root, r.depth) for r in quotes.conversations(frame(spark, long)).collect()}
+    assert all(deep[t] == (0, t) for t in range(300)) and [deep[400 + t] for t in range(3)] == [(0, 1), (0, 51), (0, 101)]
+
+
+def test_announcing_lines(spark):
+    text = "Hello.\nOn Mon, 3 May, A B <a@b.c> wrote:\n> first\n\nOn this he wrote:\nno quote\nAm 3. Mai schrieb X:\n> first\nEnd"
+    rows = [(1, 0, "u", "first"), (1, 1, "u", text), (1, 2, "u", "On Monday X wrote:\nplain")]
+    got = {r.turn: (r.text, r.reply_to) for r in quotes.conversations(frame(spark, rows)).collect()}
+    assert got[1] == ("Hello.\n\nOn this he wrote:\nno quote\nEnd", 0) and got[2] == ("On Monday X wrote:\nplain", 1)
+    con = duckdb.connect()
+    con.execute("create table conversations (conv_id bigint, turn bigint, role varchar, text varchar)")
+    con.executemany("insert into conversations values (?, ?, ?, ?)", rows)
+    want = con.execute(quotes.SQL)
+    names = [d[0] for d in want.description]
+    assert sorted(map(tuple, quotes.conversations(frame(spark, rows)).select(*names).collect())) == sorted(want.fetchall())
