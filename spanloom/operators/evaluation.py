@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.metrics import ratio, with_prf
 from ..functions.text import canonical_label, slice_text
+from ..runtime import written
 from . import scoring, spans
 from .tokens import tokenize, touched
 
@@ -51,14 +52,15 @@ def evaluate_batch(gold: DataFrame, predictions: DataFrame, iterations: int = 0,
     """
     latest = scoring.latest(predictions, ["example_id"], list(order))
     both = gold.withColumnsRenamed({"source_split": "split", "length_bucket": "bucket"}).join(latest.withColumn("__asked", F.lit(True)), "example_id", "left")
-    done = both.filter("status = 'ok'").cache()
+    done = written(both.filter("status = 'ok'"), "evaluated")  # read by a dozen results
     cut = F.col("processed_char_end")
     found = _keys(done, "predictions", "start", "end", "type", cut)
     wanted = _keys(done, "entities", "start_char", "end_char", "label", cut)
     by = ["example_id", "doc_id", "bucket", "split", "label"]
     side = lambda d, g, p: d.select(*by, "start", "stop", F.lit(g).alias("g"), F.lit(p).alias("p"))
     matches = side(wanted, 1, 0).unionByName(side(found, 0, 1)).groupBy(*by, "start", "stop").agg(F.max("g").alias("g"), F.max("p").alias("p"))
-    matches = matches.withColumns({"tp": F.col("g") * F.col("p"), "fp": (1 - F.col("g")) * F.col("p"), "fn": F.col("g") * (1 - F.col("p"))}).cache()
+    matches = matches.withColumns({"tp": F.col("g") * F.col("p"), "fp": (1 - F.col("g")) * F.col("p"), "fn": F.col("g") * (1 - F.col("p"))})
+    matches = written(matches, "matches")
     sums = [F.sum(c).alias(c) for c in COUNTS]
     strict = done.select("example_id", "doc_id", "bucket", "split").join(matches.groupBy("example_id").agg(*sums), "example_id", "left").na.fill(0, list(COUNTS))
 

@@ -81,8 +81,22 @@ def matched_label(label: Column, allowed: list[str]) -> Column:
     return F.element_at(F.create_map(*(F.lit(x) for kv in names.items() for x in kv)), F.lower(F.trim(label))) if names else F.lit(None).cast("string")
 
 
+#: The shapes of answers that hold nothing, by task.
+EMPTY = {
+    "classification": "struct<type:struct<label:string,evidence:string>,queue:struct<label:string,evidence:string>,tags:array<struct<label:string,evidence:string>>>",
+    "extraction": "struct<entities:array<struct<text:string,type:string,start:int,end:int>>>",
+}
+
+
+def empty_answer(task: str) -> Column:
+    """An answer without labels or entities, for rows that have none."""
+    blank = F.struct(F.lit("").alias("label"), F.lit("").alias("evidence"))
+    own = F.struct(blank.alias("type"), blank.alias("queue"), F.array().cast("array<struct<label:string,evidence:string>>").alias("tags")) if task == "classification" else F.struct(F.array().cast("array<struct<text:string,type:string,start:int,end:int>>").alias("entities"))
+    return own.cast(EMPTY[task])
+
+
 def routed(rows: DataFrame, departments: list[str]) -> DataFrame:
-    """department (configured spelling), evidence (blank unless the text has it), evidence_valid, and error."""
+    """department (configured spelling, of two that differ but for case the later), evidence (blank unless the text has it), evidence_valid, and error."""
     names = {d.casefold(): d for d in departments}
     found = F.element_at(F.create_map(*(F.lit(x) for kv in names.items() for x in kv)), casefold(F.trim("department")))
     valid = contains_evidence(F.col("evidence"), F.col("text"))

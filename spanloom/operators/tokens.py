@@ -86,6 +86,17 @@ def span_of(tokens: Column, first: Column, last: Column) -> Column:
     return F.when(ok, F.struct(F.get(tokens, first)["start"].alias("start"), F.get(tokens, last)["stop"].alias("stop")))
 
 
+def span_between(tokens: Column, start: Column, stop: Column, strict: bool = False) -> Column:
+    """Characters of tokens start to stop, the last not included. Outside 0 <= start < stop <= number of tokens it is null or,
+    if strict, an error that fails the query. tokens: structs with start and stop."""
+    ok = F.coalesce((start >= 0) & (start < stop) & (stop <= F.size(tokens)), F.lit(False))
+    span = F.struct(F.get(tokens, start)["start"].alias("start"), F.get(tokens, stop - 1)["stop"].alias("stop"))
+    if not strict:
+        return F.when(ok, span)
+    said = F.concat(F.lit("no token span ["), F.coalesce(start.cast("string"), F.lit("null")), F.lit(", "), F.coalesce(stop.cast("string"), F.lit("null")), F.lit(") of "), F.size(tokens).cast("string"))
+    return F.when(ok, span).otherwise(F.raise_error(said))
+
+
 def touched(tokens: Column, start: Column, stop: Column, none: int = -10_000) -> Column:
     """First and last token that characters [start, stop) overlap; ``none`` twice if there is none."""
     hit = F.filter(F.transform(tokens, lambda t, i: F.when(F.greatest(t["start"], start) < F.least(t["stop"], stop), i)), lambda i: i.isNotNull())

@@ -206,7 +206,37 @@ def tag_lists(spark, sf):
 
 _TAG_LISTS_SQL = """select p_partkey, case when p_partkey % 5 = 0 or p_partkey % 7 = 0 then '' else array_to_string(list_filter(string_split(p_name, ' '), lambda x: x <> ''), '|') || '|end' end of_text, array_to_string(list_filter(string_split(p_name, ' '), lambda x: x <> ''), '|') of_list from part"""
 
-QUERIES = {f.__name__: f for f in (highlighted_documents, line_errors, extraction_rows, verified_extraction, few_shot_extraction, retried_calls, run_progress, file_manifest, tag_lists)}
+def token_bounds(spark, sf):
+    """TOK-05: character spans of token spans whose end is not included; those that are none are null."""
+    own = _items(spark, sf).withColumn("a", (F.col("id") % 9 - 1).cast("int")).withColumn("b", (F.col("id") % 9 + F.col("id") % 4 - 1).cast("int"))
+    return own.select("id", tokens.span_between(F.col("tokens"), F.col("a"), F.col("b")).alias("s")).select("id", "s.start", "s.stop")
+
+
+_BOUNDS_SQL = f"""with t as (select item_id id, text, {TOKENS} t, regexp_split_to_array(text, '{T.TOKEN.replace(chr(39), chr(39) * 2)}') gaps, (item_id % 9 - 1)::integer a, (item_id % 9 + item_id % 4 - 1)::integer b from benchmark),
+e as (select *, a >= 0 and a < b and b <= len(t) ok, list_sum(list_transform(gaps[1:a + 1], lambda x: length(x))) + coalesce(list_sum(list_transform(t[1:a], lambda x: length(x))), 0) p, list_sum(list_transform(gaps[1:b], lambda x: length(x))) + coalesce(list_sum(list_transform(t[1:b], lambda x: length(x))), 0) q from t)
+select id, case when ok then p::integer end as start, case when ok then q::integer end as stop from e"""
+
+
+def benchmark_lookup(spark, sf):
+    """SRC-11, SRC-13, VAL-13: the benchmark as lines, the fixture where it is missing, one item by id, and settings from a file."""
+    to, schema = scratch(spark, "benchmark"), "item_id long, text string"
+    own = table(spark, sf, "benchmark").select("item_id", "text")
+    writers.write_lines(own, f"{to}/whole")
+    writers.write_lines(own.filter("item_id % 2 = 0"), f"{to}/smoke")
+    writers.put(spark, f"{to}/use.yaml", json.dumps({"runner": {"name": "n", "labels": ["LOC", " LOC ", "", "PER"]}}).encode())
+    settings = readers.template_config(readers.config(spark, f"{to}/use.yaml"))
+    whole, smoke, none = f"{to}/whole/*.txt", f"{to}/smoke/*.txt", f"{to}/none"
+    read = lambda path: readers.benchmark(spark, path, smoke, schema, ["item_id", "text"])
+    first = own.agg(F.max("item_id")).first()[0]
+    parts = [("whole", read(whole)), ("fixture", read(none)), ("one", readers.lookup(spark, "item_id", first, [none, smoke, whole], schema, ["item_id"])), ("nothing", readers.lookup(spark, "item_id", -1, [smoke, whole], schema, ["item_id"]))]
+    counted = [rows.agg(F.lit(name).alias("part"), F.count("*").alias("n"), F.coalesce(F.sum("item_id"), F.lit(0)).alias("ids"), F.lit("|".join(settings["labels"])).alias("labels")) for name, rows in parts]
+    return counted[0].unionByName(counted[1]).unionByName(counted[2]).unionByName(counted[3])
+
+
+_LOOKUP_SQL = """select part, n, ids, 'LOC|PER' as labels from (select 'whole' part, count(*) n, sum(item_id)::bigint ids from benchmark union all select 'fixture', count(*), sum(item_id)::bigint from benchmark where item_id % 2 = 0
+union all select 'one', 1, max(item_id) from benchmark union all select 'nothing', 0, 0)"""
+
+QUERIES = {f.__name__: f for f in (highlighted_documents, line_errors, extraction_rows, verified_extraction, few_shot_extraction, retried_calls, run_progress, file_manifest, tag_lists, token_bounds, benchmark_lookup)}
 ORACLE_SQL = {
     "highlighted_documents": _HTML_SQL,
     "line_errors": _LINES_SQL,
@@ -217,4 +247,6 @@ ORACLE_SQL = {
     "run_progress": _PROGRESS_SQL,
     "file_manifest": _MANIFEST_SQL,
     "tag_lists": _TAG_LISTS_SQL,
+    "token_bounds": _BOUNDS_SQL,
+    "benchmark_lookup": _LOOKUP_SQL,
 }

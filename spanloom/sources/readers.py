@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -101,7 +104,11 @@ def texts(spark: SparkSession, path: str, pdf_text=None) -> DataFrame:
         return plain
     from ..functions.text import clean_pdf
 
-    read = F.udf(pdf_text, "string")  # a library call for each file
+
+    @F.arrow_udf("string")
+    def read(contents: pa.Array) -> pa.Array:
+        return pa.array([None if c is None else pdf_text(c) for c in contents.to_pylist()], pa.string())
+
     pdf = own.filter(F.lower("path").endswith(".pdf")).select("path", clean_pdf(read("content")).alias("text"))
     return plain.unionByName(pdf)
 
@@ -127,9 +134,55 @@ def sample_texts(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "name string, text string")
 
 
+def benchmark(spark: SparkSession, path: str, fallback: str, schema: str, required: list[str]) -> DataFrame:
+    """The prepared benchmark as JSON lines or, where it is missing or empty, the small fixture. A line without a required
+    field is an error that names it; the lines are checked where they are read."""
+    for place in (path, fallback):
+        if not exists(spark, place):
+            continue
+        own = numbered_lines(spark, place).filter(F.trim("value") != "").withColumn("r", F.from_json("value", schema))
+        if own.isEmpty():
+            continue
+        missing = F.array_compact(F.array(*(F.when(F.col(f"r.{c}").isNull(), F.lit(c)) for c in required)))
+        said = F.concat(F.lit("line "), F.col("line").cast("string"), F.lit(" lacks "), F.array_join(missing, ", "))
+        checked = own.withColumn("r", F.when(F.size(missing) == 0, F.col("r")).otherwise(F.raise_error(said)))
+        return checked.select("r.*")
+    return spark.createDataFrame([], schema)
+
+
+def lookup(spark: SparkSession, key: str, value, paths: list[str], schema: str, required: list[str]) -> DataFrame:
+    """The rows of one key from the first of the files that has it; none if none does."""
+    for path in paths:
+        found = benchmark(spark, path, path, schema, required).filter(F.col(key) == value)
+        if not found.isEmpty():
+            return found
+    return spark.createDataFrame([], schema)
+
+
+def config(spark: SparkSession, path: str) -> dict:
+    """The settings of a YAML or JSON file, without the key ``runner`` around them, if it is there."""
+    text = spark.read.text(path, wholetext=True).first().value
+    try:
+        import yaml
+    except ImportError:  # JSON needs no library
+        own = json.loads(text)
+    else:
+        own = yaml.safe_load(text)
+    if not isinstance(own, dict):
+        raise ValueError(f"{path} holds no settings")
+    return unwrapped(own)
+
+
+def unwrapped(settings: dict) -> dict:
+    own = settings.get("runner", settings)
+    if not isinstance(own, dict):
+        raise ValueError("runner holds no settings")
+    return own
+
+
 def template_config(config: dict) -> dict:
     """A use case's settings: a name, labels without repeats in their order, and optional departments and prompt."""
-    own = config.get("runner", config)
+    own = unwrapped(config)
     labels = list(dict.fromkeys(str(x).strip() for x in own.get("labels") or [] if str(x).strip()))
     if not str(own.get("name") or "").strip() or not labels:
         raise ValueError("a use case needs a name and labels")

@@ -150,3 +150,29 @@ def test_candidate_tags_of_a_large_schema(spark):
     for most, fallback in ((4, 1), (3, 0), (9, 9), (2, 5)):
         rows = [sorted(map(tuple, labels.candidate_tags(asked, "id", "text", few, most, fallback, small).collect())) for small in (2000, 0)]
         assert rows[0] == rows[1]
+
+
+def test_settings_and_benchmark(spark, tmp_path):
+    (tmp_path / "a.yaml").write_text("runner:\n  name: n\n  labels: [x, y, x]\n")
+    (tmp_path / "b.yaml").write_text("- 1\n")
+    assert readers.template_config(readers.config(spark, f"file://{tmp_path}/a.yaml"))["labels"] == ["x", "y"]
+    with pytest.raises(ValueError, match="no settings"):
+        readers.config(spark, f"file://{tmp_path}/b.yaml")
+    (tmp_path / "c.jsonl").write_text('{"id": 1, "t": "x"}\n\n{"id": 2}\n')
+    (tmp_path / "empty.jsonl").write_text("\n")
+    with pytest.raises(Exception, match="line 3 lacks t"):
+        readers.benchmark(spark, f"file://{tmp_path}/c.jsonl", "none", "id long, t string", ["id", "t"]).collect()
+    assert readers.benchmark(spark, f"file://{tmp_path}/empty.jsonl", f"file://{tmp_path}/c.jsonl", "id long, t string", ["id"]).count() == 2
+
+
+def test_empty_answers_and_strict_spans(spark):
+    from spanloom.operators import parsing, tokens
+
+    got = spark.range(1).select(parsing.empty_answer("classification").alias("c"), parsing.empty_answer("extraction").alias("e")).first()
+    assert got.c.type.label == "" and got.c.tags == [] and got.e.entities == []
+    own = spark.createDataFrame([("a b",)], "t string").select(tokens.tokenize("t").alias("k"))
+    assert own.select(tokens.span_between(F.col("k"), F.lit(0), F.lit(2), True).alias("s")).first().s == (0, 3)
+    with pytest.raises(Exception, match=r"no token span \[1, 3\) of 2"):
+        own.select(tokens.span_between(F.col("k"), F.lit(1), F.lit(3), True).alias("s")).collect()
+    rows = spark.createDataFrame([("it", "", "x")], "department string, evidence string, text string")
+    assert parsing.routed(rows, ["IT", "Sales", "It"]).first().department == "It"
