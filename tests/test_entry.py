@@ -19,13 +19,14 @@ def test_query_runs(spark, sf, name):
     assert entry.queries()[name](spark, sf).collect() is not None
 
 
-def test_without_the_llm_folders(monkeypatch):
+@pytest.mark.parametrize("absent", ["spanloom.llm", "public_tokenizers"])
+def test_without_the_llm_folders_or_what_they_need(monkeypatch, absent):
     class Missing:
         def find_spec(self, name, path=None, target=None):
-            if name.startswith("spanloom.llm"):
-                raise ModuleNotFoundError("No module named 'spanloom.llm'", name="spanloom.llm")
+            if name.startswith(absent):
+                raise ModuleNotFoundError(f"No module named '{absent}'", name=absent)
 
-    for name in [n for n in sys.modules if n.startswith(("spanloom.llm", "corpus_pipeline"))]:
+    for name in [n for n in sys.modules if n.startswith(("spanloom.llm", "corpus_pipeline", absent))]:
         monkeypatch.delitem(sys.modules, name)
     monkeypatch.setattr(sys, "meta_path", [Missing(), *sys.meta_path])
     own = importlib.reload(entry)
