@@ -7,6 +7,7 @@ share is best dealt over several lanes, each with its part.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
+from ..operators.inference import Provider
+
 SECOND = 1_000_000
 
 
@@ -42,6 +45,21 @@ def lane(key: Column, lanes: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(lanes)).cast("int")
 
 
+class Paced:
+    """A provider whose calls in one task start at least an interval apart."""
+
+    def __init__(self, provider: Provider, interval: int, clock=time.monotonic, sleep=time.sleep):
+        self.provider, self.interval, self.clock, self.sleep, self.free = provider, interval / SECOND, clock, sleep, None
+
+    def answer(self, request: dict) -> dict:
+        now = self.clock()
+        start = now if self.free is None else max(now, self.free)
+        self.free = start + self.interval
+        if start > now:
+            self.sleep(start - now)
+        return self.provider.answer(request)
+
+
 def paced_table(rows: DataFrame, lane: str, at: str, key: str, limits: Limits, cost: str | None = None) -> DataFrame:
     """rows with starts_at (null if not admitted) and admitted, of a table: requests of a lane in the order of arrival and key.
 

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from ..operators.inference import Provider, call
 from ..operators.scoring import latest
+from ..sources.writers import get, put
+from .limits import Limits, Paced
 
 
 def fingerprint(config: dict) -> str:
@@ -39,12 +41,19 @@ def admitted(rows: DataFrame, order: list[str], cost: str, most: float, group: s
 class Runner:
     """A run in a folder: results, attempts and the stream's checkpoint."""
 
-    def __init__(self, spark: SparkSession, folder: str, key: list[str], config: dict, most_calls: int):
-        self.spark, self.folder, self.key, self.mark, self.most_calls = spark, folder.rstrip("/"), key, fingerprint(config), most_calls
-        for row in self._table("results", "fingerprint string").select("fingerprint").distinct().limit(2).collect():
-            if row.fingerprint != self.mark:
-                raise ValueError("the folder holds results of another configuration")
+    def __init__(self, spark: SparkSession, folder: str, key: list[str], config: dict, most_calls: int, limits: Limits | None = None, cost: str | None = None, lanes: int = 8):
+        """most_calls: of the whole run. limits: more limits of the whole run, on calls, on the sum of the column ``cost`` and on
+        requests a minute, of which each of at most ``lanes`` tasks gets its part."""
+        self.spark, self.folder, self.key, self.mark = spark, folder.rstrip("/"), key, fingerprint(config)
+        self.limits, self.cost, self.lanes = limits or Limits(), cost, lanes
+        self.most_calls = min(most_calls, self.limits.calls) if self.limits.calls else most_calls
+        before = get(spark, f"{self.folder}/run.json")
+        if before is not None and json.loads(before)["fingerprint"] != self.mark:
+            raise ValueError("the folder holds results of another configuration")
+        if before is None:
+            put(spark, f"{self.folder}/run.json", json.dumps({"fingerprint": self.mark}).encode())
         self.used = self.attempts().count()  # once; each step adds its own
+        self.spent = (self.attempts().agg(F.sum(cost)).first()[0] or 0.0) if cost and self.used else 0.0
 
     def _table(self, name: str, schema: str | None = None) -> DataFrame:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
@@ -76,12 +85,18 @@ class Runner:
             rows = rows.join(done.filter("status = 'ok'").select(*self.key).distinct(), self.key, "left_anti")
         nth = self._tries(batch)
         own = admitted(rows.withColumn("__one", F.lit(1)), self.key, "__one", self.most_calls - self.used).drop("__one", "running")
+        if self.cost and self.limits.cost:
+            own = admitted(own, self.key, self.cost, self.limits.cost - self.spent).drop("running")
         # written and read again: a second evaluation must not admit other rows
         place = f"batch={batch}/try={nth}"
         own.write.mode("overwrite").parquet(f"{self.folder}/attempts/{place}")
         fixed = self.spark.read.schema(own.schema).parquet(f"{self.folder}/attempts/{place}")
-        self.used += fixed.count()
-        out = call(fixed, provider, columns, tries=1)
+        counted = fixed.agg(F.count("*"), F.sum(self.cost) if self.cost else F.lit(0.0)).first()
+        self.used, self.spent = self.used + counted[0], self.spent + (counted[1] or 0.0)
+        ask = provider
+        if interval := self.limits.share(self.lanes).interval:
+            fixed, ask = fixed.coalesce(self.lanes), lambda: Paced(provider(), interval)
+        out = call(fixed, ask, columns, tries=1)
         status = F.when(F.col("reply.error").isNull(), "ok").otherwise("error")
         out.withColumns({"status": status, "fingerprint": F.lit(self.mark), "finished_at": F.current_timestamp()}).write.mode("overwrite").parquet(f"{self.folder}/results/{place}")
 

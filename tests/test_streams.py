@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from spanloom.sources import writers
 from spanloom.streaming.desk import Desk
-from spanloom.streaming.limits import Limits, paced, paced_table
+from spanloom.streaming.limits import Limits, Paced, paced, paced_table
+from spanloom.streaming.runner import Runner
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 ROWS = "lane int, at long, id long, cost double"
@@ -50,6 +51,34 @@ def test_a_limit_dealt_over_lanes():
     assert (own.calls, own.cost, own.requests_per_minute, own.interval) == (25, 2.5, 15, 4_000_000)
 
 
+def test_a_paced_provider():
+    now, slept = [0.0], []
+
+    def sleep(seconds):
+        slept.append(seconds)
+        now[0] += seconds
+
+    own = Paced(Loud(), 500_000, lambda: now[0], sleep)
+    for i in range(3):
+        own.answer({"k": str(i), "bad": False})
+    now[0] += 5
+    own.answer({"k": "x", "bad": False})
+    assert slept == [0.5, 0.5]
+
+
+def test_a_run_with_limits(spark, tmp_path):
+    rows = spark.createDataFrame([(f"k{i}", False, 2.0) for i in range(8)], "k string, bad boolean, price double")
+    limits = Limits(calls=6, cost=9.0, requests_per_minute=600)
+    run = Runner(spark, f"file://{tmp_path}/run", ["k"], {}, 100, limits, "price", lanes=1)
+    began = time.monotonic()
+    run.step(rows, 0, Loud, ["k", "bad"])
+    assert (run.used, run.spent, run.results().count()) == (4, 8.0, 4) and time.monotonic() - began >= 0.3
+    run = Runner(spark, f"file://{tmp_path}/run", ["k"], {}, 100, Limits(calls=6, cost=99.0), "price")
+    assert (run.used, run.spent) == (4, 8.0)
+    run.step(rows, 1, Loud, ["k", "bad"])
+    assert run.results().count() == 6
+
+
 class Loud:
     def answer(self, request):
         if request["bad"]:
