@@ -7,8 +7,8 @@ a bounded length, so the lookahead is bounded too. Transitions are computed once
 which changes no result.
 
 Results on odd input: a null text counts as empty and has no tokens; empty ids decode to empty bytes; repeated
-documents each get their row; very long texts are cut only at matches of the pattern, never shortened; other columns
-are ignored by ``encode_documents``.
+documents each get their row; very long texts are cut only at matches of the pattern, never shortened; an empty
+table has no rows; other columns are ignored by ``encode_documents``.
 """
 
 from __future__ import annotations

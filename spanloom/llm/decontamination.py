@@ -8,7 +8,8 @@ ends, and begin lies an item's length before it, so it is exact where the distan
 
 Results on odd input: null or blank items and texts take no part; an item too short for an edit must occur exactly;
 repeated items count once, under their smallest id; repeated documents each get their rows; a text is searched whole,
-whatever its length; other columns are ignored.
+whatever its length; of equally good places the first is given; an empty table on either side has no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ each of its lines and each run of a few of its paragraphs are looked up, so a li
 gives, of a size to broadcast.
 
 Results on odd input: a null text counts as empty; an empty canonical form has a digest and no licence; repeated
-documents each get their row, with the lines of all rows of their id; other columns are ignored.
+documents each get their row, with the lines of all rows of their id; a text of any length is looked up whole; one that is
+known under two names has the smaller; an empty table has no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -18,7 +18,7 @@ LIKELY, four standard deviations below 0.75 (3 in 100 000 at 0.75). Either is lo
 
 Results on odd input: texts that are null, empty or without words have no shingles and are linked with nothing; shorter
 texts count as one shingle; a null doc_id gets a null component unless linked to others; repeated rows are one class and
-each keep their row; very long texts are read whole; extra columns are ignored.
+each keep their row; very long texts are read whole; an empty table has no rows; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -11,7 +11,7 @@ salted over the partitions; no task needs more than one block of either at a tim
 
 Results on odd input: vectors that are null, zero, of another length than most or hold null or non-finite
 components take no part; with fewer candidates than k a query gets them all; ties go to the smaller id; rows that repeat
-an id are all candidates, except for a query with that id; a repeated query is answered once; other columns are ignored.
+an id are all candidates, except for a query with that id; a repeated query is answered once; an empty table has no rows; other columns are ignored.
 """
 
 from __future__ import annotations

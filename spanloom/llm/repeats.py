@@ -20,7 +20,7 @@ Buckets hold packed records; text moves only to be joined with what was found in
 Results on odd input: null and empty texts have no bytes and lose none, their digest is that of no bytes; texts shorter
 than the width lose none; rows that repeat a doc_id and its text are one document and each keep their row; different
 texts of one doc_id are ordered by a digest of the text; a null doc_id comes before all others; very long texts are read
-in overlapping parts, whole; other columns are kept by ``without_repeats`` and ignored otherwise.
+in overlapping parts, whole; an empty table has no rows; other columns are kept by ``without_repeats`` and ignored otherwise.
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ are the ids, in two bytes each where the vocabulary allows. ``Shard.get`` finds
 search in the index and one block.
 
 Results on odd input: a null text counts as empty and gets the end id alone; a null doc_id sorts before all others;
-rows that repeat a doc_id are all kept, ordered by text; no documents give no shard; other columns are ignored; the
+rows that repeat a doc_id are all kept, ordered by text; no documents give no shard and no rows; other columns are ignored; the
 content of an added token in a text, such as <|endoftext|>, is that token, as by the library's default.
 """
 
