@@ -11,7 +11,7 @@ Lexicon, weights, exception phrases and the logistic function are learned from a
 Results on odd input: null and empty texts have no hits and get the score of a text without hits; without labelled
 rows of both kinds the lexicon is empty and all scores are 0; repeated rows are scored alike, and a document labelled
 more than once counts once, as toxic if any of its labels says so; labels without a value are left out. A text is searched whole, whatever its length;
-equal scores stand beside each other, as nothing is ranked; an empty table has no rows; other columns are kept by ``scored``.
+equal scores stand beside each other, as nothing is ranked; an empty table has no rows; other columns are kept by ``scored(keep=True)`` alone.
 An exception phrase has one blank between its words, so words at a line's end and the next line's start are no such phrase.
 """
 
