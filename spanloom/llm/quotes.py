@@ -76,13 +76,13 @@ def links(messages: DataFrame) -> DataFrame:
 def threads(replies: DataFrame) -> DataFrame:
     """conv_id, turn, root and depth. replies: conv_id, turn and reply_to (null where a thread begins), a row for each turn."""
     own = replies.select("conv_id", "turn", F.coalesce("reply_to", "turn").alias("root"), F.col("reply_to").isNotNull().cast("int").alias("depth"))
-    own = written(own, "threads")
-    while not (waiting := own.join(own.filter("depth > 0").select("conv_id", F.col("turn").alias("root")), ["conv_id", "root"], "left_semi")).isEmpty():
-        up = own.select("conv_id", F.col("turn").alias("root"), F.col("root").alias("__root"), F.col("depth").alias("__depth")).filter("__depth > 0")
-        del waiting
-        on = own.join(up, ["conv_id", "root"], "left")
-        own = written(on.select("conv_id", "turn", F.coalesce("__root", "root").alias("root"), (F.col("depth") + F.coalesce("__depth", F.lit(0))).alias("depth")), "threads")
-    return own
+    full = written(own.withColumn("settled", F.lit(False)), "threads")
+    while not full.filter("not settled").isEmpty():  # only rows whose ancestor does not begin a thread are joined again
+        up = full.filter("depth > 0").select("conv_id", F.col("turn").alias("root"), F.col("root").alias("__root"), F.col("depth").alias("__depth"))
+        on = full.filter("not settled").join(up, ["conv_id", "root"], "left")
+        on = on.select("conv_id", "turn", F.coalesce("__root", "root").alias("root"), (F.col("depth") + F.coalesce("__depth", F.lit(0))).alias("depth"), F.col("__root").isNull().alias("settled"))
+        full = full.filter("settled").unionByName(written(on, "threads"))
+    return full.drop("settled")
 
 
 def conversations(messages: DataFrame) -> DataFrame:
