@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..operators.inference import Provider, call
 from ..operators.scoring import latest
+from ..runtime import written
 from ..sources.writers import get, put
 from .limits import Limits, Paced
 
@@ -27,15 +28,16 @@ def fingerprint(config: dict) -> str:
 
 def admitted(rows: DataFrame, order: list[str], cost: str, most: float, group: str | None = None) -> DataFrame:
     """Rows in order while the running cost stays within the budget. Without a group, running sums go by range partitions:
-    each partition sums its own and adds what the ones before hold, so no task sees all rows."""
+    each partition sums its own and adds what the ones before hold, so no task sees all rows. The rows are written with the
+    number of their partition first: evaluated twice, they could be dealt to other partitions each time."""
     if group:
         total = F.sum(cost).over(W.partitionBy(group).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
         return rows.withColumn("running", total).filter(F.col("running") <= most)
-    own = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
-    own = own.withColumn("__own", F.sum(cost).over(W.partitionBy("__p").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
+    own = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id()), "admission").withColumn("__p", F.shiftright("__m", 33))
+    own = own.withColumn("__own", F.sum(cost).over(W.partitionBy("__p").orderBy("__m").rowsBetween(W.unboundedPreceding, 0)))
     parts = own.groupBy("__p").agg(F.sum(cost).alias("__n"))
     before = parts.withColumn("__before", F.coalesce(F.sum("__n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("__p", "__before")
-    return own.join(F.broadcast(before), "__p").withColumn("running", F.col("__own") + F.col("__before")).filter(F.col("running") <= most).drop("__p", "__own", "__before")
+    return own.join(F.broadcast(before), "__p").withColumn("running", F.col("__own") + F.col("__before")).filter(F.col("running") <= most).drop("__m", "__p", "__own", "__before")
 
 
 class Runner:
