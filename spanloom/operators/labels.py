@@ -20,12 +20,14 @@ def clean_tickets(raw: DataFrame, order: str) -> DataFrame:
 
 
 def dense_ids(rows: DataFrame, order: str, name: str) -> DataFrame:
-    """Numbers from 1 in the order of a column, without a window over all rows: partitions are counted and offset."""
-    own = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("__p", F.spark_partition_id())
-    own = own.withColumn("__i", F.row_number().over(W.partitionBy("__p").orderBy(order)))
+    """Numbers from 1 in the order of a column, without a window over all rows: partitions are counted and offset.
+
+    The numbered rows are written first: evaluated twice, they could be dealt to other partitions each time."""
+    own = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("__m", F.monotonically_increasing_id())
+    own = written(own, "dense-ids").withColumn("__p", F.shiftright("__m", 33)).withColumn("__i", F.col("__m").bitwiseAND(F.lit((1 << 33) - 1)) + 1)
     sizes = own.groupBy("__p").agg(F.max("__i").alias("__n"))  # one row for each partition
     offsets = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("__p", "__before")
-    return own.join(F.broadcast(offsets), "__p").withColumn(name, (F.col("__i") + F.col("__before")).cast("long")).drop("__p", "__i", "__before")
+    return own.join(F.broadcast(offsets), "__p").withColumn(name, (F.col("__i") + F.col("__before")).cast("long")).drop("__m", "__p", "__i", "__before")
 
 
 def label_schema(rows: DataFrame, fields: list[str], tags: str | None = None) -> DataFrame:

@@ -7,10 +7,12 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+from spanloom.operators.labels import dense_ids
+from spanloom.runtime import written
 from spanloom.sources import writers
 from spanloom.streaming.desk import Desk
 from spanloom.streaming.limits import Limits, Paced, paced, paced_table
-from spanloom.streaming.runner import Runner
+from spanloom.streaming.runner import Runner, admitted
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 ROWS = "lane int, at long, id long, cost double"
@@ -214,3 +216,18 @@ def test_states_survive(spark, tmp_path):
         writers.save_state(spark, folder, "example ä", {"next": n})
         time.sleep(0.01)
     assert [json.loads(r.value) for r in spark.read.option("pathGlobFilter", "*.json").text(folder).collect()] == [{"key": "example ä", "next": 2}]
+
+
+def test_running_sums_and_numbers_do_not_depend_on_how_rows_are_dealt(spark):
+    n = 20_000  # rows so wide that the two sides of the join were dealt to different numbers of partitions
+    wide = F.concat(*(F.sha2(F.concat(F.col("id").cast("string"), F.lit(str(i))), 512) for i in range(4)))
+    rows = spark.range(n).select((F.col("id") * 7919 % n).alias("k"), wide.alias("text"), F.lit(1).alias("one"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        numbers = written(dense_ids(rows, "k", "number"), "numbers")
+        sums = written(admitted(rows, ["k"], "one", n - 10), "sums")
+        assert (numbers.count(), numbers.filter("number = k + 1").count()) == (n, n)
+        assert (sums.count(), sums.filter("running = k + 1").count()) == (n - 10, n - 10)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
