@@ -106,3 +106,10 @@ def test_find_all(spark):
     own = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
     for r in own.select("t", T.find_all(F.col("t"), "[0-9]+").alias("m")).collect():
         assert r.m == r.t == None if r.t is None else [(m.start, m.stop, m.match) for m in r.m] == [(m.start(), m.end(), m[0]) for m in re.finditer("[0-9]+", r.t)]  # noqa: E711
+
+
+def test_a_phrase_is_sought_in_tokens_that_are_made_once(spark):
+    rows = spark.createDataFrame([("x of the of the",), ("of x the",), ("of the",), ("",)], "t string").repartition(2)
+    own = rows.select(tokens.find_phrase(F.split("t", " "), F.array(F.lit("of"), F.lit("the"))).alias("p"))
+    assert own._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert {tuple(r.p) if r.p else None for r in own.collect()} == {(1, 2), (0, 1), None}
