@@ -1,5 +1,6 @@
 import re
 
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -113,3 +114,14 @@ def test_a_phrase_is_sought_in_tokens_that_are_made_once(spark):
     own = rows.select(tokens.find_phrase(F.split("t", " "), F.array(F.lit("of"), F.lit("the"))).alias("p"))
     assert own._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
     assert {tuple(r.p) if r.p else None for r in own.collect()} == {(1, 2), (0, 1), None}
+
+
+def test_texts_are_cut_a_piece_at_a_time(monkeypatch):
+    texts = pa.array(["one two. Three", None, "", "x" * 3_000_000, *["a b. C d"] * 400_000, "end"])
+    seen = []
+    for name in ("_tokenize", "_split_sentences"):
+        monkeypatch.setattr(tokens, name, lambda x, of=getattr(tokens, name): (seen.append(sum(map(len, filter(None, x.to_pylist())))), of(x))[1])
+    for udf, alone in ((tokens.tokenize, tokens._tokenize), (tokens.split_sentences, tokens._split_sentences)):
+        assert udf.func(texts).equals(alone(texts))
+        assert sorted(seen)[-3] < 1 << 21  # the whole, the longest text, and no other
+        seen.clear()
