@@ -175,3 +175,17 @@ def test_route_by_neighbours(spark):
     queries = spark.createDataFrame([(10, [1.0, 0.05])], "vec_id long, embedding array<double>")
     got = inference.route_by_neighbours(queries, index, ["IT", "Billing"], 2).first()
     assert (got.department, got.n_hits, got.status) == ("IT", 2, "ok") and got.confidence == pytest.approx(1.0)
+
+
+def test_replies_are_made_some_rows_at_a_time(spark, monkeypatch):
+    import pandas as pd
+
+    class Echo:
+        def answer(self, request):
+            return {"text": str(request["k"])}
+
+    taken = []
+    rows = type("Rows", (), {"schema": spark.range(1).withColumnRenamed("id", "k").schema, "mapInPandas": lambda self, part, schema: taken.append(part)})()
+    inference.call(rows, Echo, ["k"])
+    out = list(taken[0](iter([pd.DataFrame({"k": range(1300)})])))
+    assert [len(x) for x in out] == [512, 512, 276] and [r["text"] for x in out for r in x["reply"]] == [str(i) for i in range(1300)]
