@@ -176,3 +176,27 @@ def test_empty_answers_and_strict_spans(spark):
         own.select(tokens.span_between(F.col("k"), F.lit(1), F.lit(3), True).alias("s")).collect()
     rows = spark.createDataFrame([("it", "", "x")], "department string, evidence string, text string")
     assert parsing.routed(rows, ["IT", "Sales", "It"]).first().department == "It"
+
+
+def test_slices_are_compared_some_rows_at_a_time():
+    import pyarrow as pa
+
+    class Column:
+        def __init__(self, values):
+            self.array, self.most = pa.array(values), 0
+
+        def __len__(self):
+            return len(self.array)
+
+        def slice(self, at, n):
+            own = Column([])
+            own.array, self.most = self.array.slice(at, n), max(self.most, n)
+            return own
+
+        def to_pylist(self):
+            assert len(self.array) <= 64
+            return self.array.to_pylist()
+
+    n = 200
+    columns = [Column(["abc"] * n), Column([[0, 1]] * n), Column([[1, 3]] * n), Column([["a", "bc" if i % 3 else "x"] for i in range(n)])]
+    assert validate._slices_differ.func(*columns).to_pylist() == [i % 3 == 0 for i in range(n)]
