@@ -108,8 +108,8 @@ class Forest:
             # rows in several trees count once, so the ascent starts where the sum suffices and goes on from there
             enough = np.nonzero(totals[:, q] >= min(least, n))[0]
             depth = int(enough.max()) if len(enough) else 0
-            while True:
-                seen = np.zeros(n, bool)
+            seen = np.zeros(n, bool)
+            while True:  # what matches at a level matches at those above it too
                 for t in range(len(strings)):
                     seen[self.order[t][low[t, depth, q] : high[t, depth, q]]] = True
                 if depth == 0 or self._enough(seen, least, share):
@@ -143,20 +143,26 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, trees: int = 48,
                     forest = Forest(own, trees, bits)
                 asked_ids, asked_own = np.frombuffer(q_ids, "i8"), np.frombuffer(q_packed, "f8").reshape(-1, dimension)
                 out: list[list] = [[], [], []]
+                # all products at once tell which candidates can be among the nearest; their distances are then computed exactly
+                sums, q_sums = (own**2).sum(1), (asked_own**2).sum(1)
+                slack = 1e-12 * (dimension + 1)
                 for q, rows_found in enumerate(forest.candidates(asked_own, 4 * k, share)):
+                    if q % 128 == 0:
+                        rough = sums - 2 * (asked_own[q : q + 128] @ own.T)
                     rows_found = rows_found[own_ids[rows_found] != asked_ids[q]]
+                    if len(rows_found) > k:
+                        about = rough[q % 128][rows_found]
+                        edge = np.partition(about, k - 1)[k - 1] + slack * (sums[rows_found].max() + q_sums[q])
+                        rows_found = rows_found[~(about > edge)]
                     score = np.sqrt(((own[rows_found] - asked_own[q]) ** 2).sum(1))
-                    if len(score) > k:
-                        edge = np.partition(score, k - 1)[k - 1]
-                        near = np.nonzero(score <= edge)[0]
-                        rows_found, score = rows_found[near], score[near]
                     best = np.lexsort((own_ids[rows_found], score))[:k]
                     out[0] += [int(asked_ids[q])] * len(best)
                     out[1] += own_ids[rows_found[best]].tolist()
                     out[2] += score[best].tolist()
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["query_id", "vec_id", "score"])
 
-    found = rows.join(asked, "salt").select("ids", "vectors", "q_ids", "q_vectors").mapInArrow(part, FOUND)
+    # a block is work for a task though it is few bytes, so partitions keep their number
+    found = rows.repartition(salts, "salt").join(asked.repartition(salts, "salt"), "salt").select("ids", "vectors", "q_ids", "q_vectors").mapInArrow(part, FOUND)
     order = W.partitionBy("query_id").orderBy("score", "vec_id")  # at most k rows from each block
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
