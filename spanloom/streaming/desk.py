@@ -1,7 +1,8 @@
 """A resumable run as two streams: admission by keyed state, and calls.
 
 Admission reads the requests and the results so far as streams. Its state holds for each key how often it was asked and
-whether it has a good result, so a batch reads its own requests and the results that are new, never all results. What it
+whether it has a good result, so a batch reads its own requests and the results that are new, never all results. Keys share
+states in a fixed number of buckets: Python is called once for a bucket, not once for a key, which took 3 ms each. What it
 admits is written as an attempt before anything is asked. The second stream reads the attempts, asks, and appends the
 results, which admission then reads. A stop at any point runs a batch again from its checkpoint: attempts are replaced by
 the same ones, and a call may be made twice but is never left uncounted. A key that failed is asked again when it is
@@ -24,21 +25,30 @@ from ..sources.writers import get, put
 from .runner import fingerprint
 
 
-def _open(key: list[str], attempt: bool = True):
-    """The keyed step: counts attempts, drops requests of keys that are answered, and takes one request of a key at a time."""
+#: Keys travel as JSON; times keep their microseconds.
+_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
+def _open():
+    """The step of a bucket of keys: counts each key's attempts, drops requests of keys that are answered, and takes one request
+    of a key at a time. Rows: key, request and status; the state is JSON with attempts and whether it is done for each key."""
 
     def one(group, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        attempts, done = state.get if state.exists else (0, False)
-        waiting = None
+        known = json.loads(state.get[0]) if state.exists else {}
+        waiting = {}
         for frame in frames:
-            done = done or bool((frame["status"] == "ok").any())
-            asked = frame[frame["request"].notna()]
-            if len(asked):
-                waiting = asked["request"].iloc[-1]
-        if waiting is not None and not done:
-            attempts += 1
-            yield pd.DataFrame([(*group, waiting, attempts)], columns=[*key, "request", "attempt"])
-        state.update((attempts, done))
+            for key, request, status in zip(frame["key"], frame["request"], frame["status"], strict=True):
+                own = known.setdefault(key, [0, False])
+                if status == "ok":
+                    own[1] = True
+                if request is not None:
+                    waiting[key] = request
+        asked = [(key, request) for key, request in waiting.items() if not known[key][1]]
+        for key, _ in asked:
+            known[key][0] += 1
+        state.update((json.dumps(known, ensure_ascii=False),))
+        if asked:
+            yield pd.DataFrame([(key, request, known[key][0]) for key, request in asked], columns=["key", "request", "attempt"])
 
     return one
 
@@ -46,9 +56,9 @@ def _open(key: list[str], attempt: bool = True):
 class Desk:
     """A run in a folder: requests that arrive as Parquet files in ``source``, attempts, results and two checkpoints."""
 
-    def __init__(self, spark: SparkSession, folder: str, source: str, schema: StructType, key: list[str], config: dict, most_calls: int = 0):
-        self.spark, self.folder, self.source, self.schema, self.key, self.most_calls = spark, folder.rstrip("/"), source, schema, key, most_calls
-        mark = json.dumps({"fingerprint": fingerprint(config)}).encode()
+    def __init__(self, spark: SparkSession, folder: str, source: str, schema: StructType, key: list[str], config: dict, most_calls: int = 0, buckets: int = 1 << 14):
+        self.spark, self.folder, self.source, self.schema, self.key, self.most_calls, self.buckets = spark, folder.rstrip("/"), source, schema, key, most_calls, buckets
+        mark = json.dumps({"fingerprint": fingerprint(config), "buckets": buckets}).encode()
         before = get(spark, f"{self.folder}/run.json")
         if before is not None and before != mark:
             raise ValueError("the folder holds a run of another configuration")
@@ -84,15 +94,18 @@ class Desk:
     def _run(self, rows: DataFrame, name: str, step: Callable[[DataFrame, int], None]) -> None:
         query = rows.writeStream.option("checkpointLocation", f"{self.folder}/checkpoint-{name}").trigger(availableNow=True).foreachBatch(step).start()
         query.awaitTermination()
-        self.batches += [{"stream": name, "batch": p["batchId"], "rows": p["numInputRows"]} for p in query.recentProgress if p["numInputRows"]]
+        self.batches += [{"stream": name, "batch": p["batchId"], "rows": p["numInputRows"], "states": sum(o["numRowsTotal"] for o in p["stateOperators"])} for p in query.recentProgress if p["numInputRows"]]
 
     def admit(self, files_per_batch: int = 1) -> None:
         """Requests and results that are new through the state; attempts for what is to be asked."""
         request = F.to_json(F.struct(*self.schema.names), {"ignoreNullFields": "false"}).alias("request")
-        requests = self._files(self.source, self.schema, files_per_batch).select(*self.key, request, F.lit(None).cast("string").alias("status"))
-        answers = self._files(f"{self.folder}/results", self.result_schema, max(1000, files_per_batch)).select(*self.key, F.lit(None).cast("string").alias("request"), "status")
-        own = requests.unionByName(answers).groupBy(*self.key).applyInPandasWithState(_open(self.key), self.attempt_schema, "attempts long, done boolean", "append", GroupStateTimeout.NoTimeout)
-        self._run(own, "admission", self._admit)
+        bucket = F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).alias("bucket")
+        key = F.to_json(F.struct(*self.key), _TIMES).alias("key")
+        requests = self._files(self.source, self.schema, files_per_batch).select(bucket, key, request, F.lit(None).cast("string").alias("status"))
+        answers = self._files(f"{self.folder}/results", self.result_schema, max(1000, files_per_batch)).select(bucket, key, F.lit(None).cast("string").alias("request"), "status")
+        own = requests.unionByName(answers).groupBy("bucket").applyInPandasWithState(_open(), "key string, request string, attempt long", "known string", "append", GroupStateTimeout.NoTimeout)
+        keys = F.from_json("key", StructType([self.schema[k] for k in self.key]), _TIMES)
+        self._run(own.select(keys.alias("__k"), "request", "attempt").select(*(F.col("__k")[k].alias(k) for k in self.key), "request", "attempt"), "admission", self._admit)
 
     def ask(self, provider: Callable[[], Provider], columns: list[str], files_per_batch: int = 1000) -> None:
         """Every attempt that has no result yet."""

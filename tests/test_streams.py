@@ -1,3 +1,4 @@
+import datetime
 import json
 import random
 import sys
@@ -168,6 +169,30 @@ def test_small_batches_read_no_more_as_a_run_grows(spark, tmp_path):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_keys_share_states_in_buckets(spark, tmp_path):
+    """Python is called once for a bucket: keys of one bucket stay apart, times keep their microseconds, null is a key."""
+    folder, schema = f"file://{tmp_path}", "t timestamp, k long, bad boolean"
+    at = [datetime.datetime(2024, 1, 1, 0, 0, 0, i) for i in range(3)]
+    rows = [(t, k, False) for t in at for k in (None, 1, 2)]
+    shape = spark.createDataFrame([], schema).schema
+
+    class Own:
+        def answer(self, request):
+            if request["bad"]:
+                raise RuntimeError("no")
+            return {"text": "x"}
+
+    desk = Desk(spark, f"{folder}/run", f"{folder}/in", shape, ["t", "k"], {"m": 1}, buckets=2)
+    for name, own in (("0", [*rows[:-1], (*rows[-1][:2], True)]), ("1", rows)):
+        spark.createDataFrame(own, schema).write.parquet(f"{folder}/in/{name}")
+        desk.serve(Own, ["t", "k", "bad"], files_per_batch=100)
+    found = sorted(((r.t, r.k or 0, r.attempt, r.status) for r in desk.results().collect()))
+    assert found == sorted([(t, k or 0, 1, "ok") for t, k, _ in rows[:-1]] + [(at[2], 2, 1, "error"), (at[2], 2, 2, "ok")])
+    assert max(b["states"] for b in desk.batches) == 2
+    with pytest.raises(ValueError, match="another configuration"):
+        Desk(spark, f"{folder}/run", f"{folder}/in", shape, ["t", "k"], {"m": 1}, buckets=3)
+
+
 def test_files_are_replaced_in_one_step(spark, tmp_path, monkeypatch):
     path = f"file://{tmp_path}/state/a.json"
     writers.put(spark, path, b"one")
