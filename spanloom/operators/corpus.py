@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import slice_text
-from .tokens import detokenize, detokenized
+from .tokens import laid_out
 
 BUCKETS = ("short", "medium", "long", "very_long")
 
@@ -26,9 +26,8 @@ def length_bucket(n: Column, bounds: list[tuple[str, int, int | None]]) -> Colum
 
 def documents(raw: DataFrame) -> DataFrame:
     """doc_id, source_split, text, counts, tokens, sentences, sections and entities of raw records (words, sentences, sections
-    and ner as token spans, half-open)."""
-    tokens = detokenized(raw, "doc_id", "words").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("token_index", "text", "start_char", "end_char"))).alias("tokens"))
-    own = raw.withColumn("text", detokenize(F.col("words"))).join(tokens, "doc_id")
+    and ner as token spans, half-open). Records without words give none. A row is laid out by itself, so nothing is shuffled."""
+    own = raw.select("*", F.explode(laid_out("words")).alias("__d")).withColumns({c: F.col(f"__d.{c}") for c in ("text", "tokens")})
 
     def spans(column: Column, index: str, more=lambda s, i: []):
         def one(s, i):

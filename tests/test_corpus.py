@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.operators import corpus, labels, validate
+from spanloom.operators import corpus, labels, tokens, validate
 from spanloom.sources import readers, writers
 
 BOUNDS = [("short", 1, 1), ("medium", 2, 2), ("long", 3, 3), ("very_long", 4, None)]
@@ -39,6 +39,39 @@ def test_documents_and_windows(spark):
     assert {r.rule for r in bad.collect()} == {"orphan_sentence", "orphan_entity"}
 
 
+def test_documents_are_laid_out_in_their_rows(spark):
+    """The same offsets as by a row a token, without a shuffle; records without words give no document."""
+    kinds = ["Method", "(", ")", ".", "it", "'s", "-", "é", "𝒳y", "'", ",", "["]
+    rng = random.Random(1)
+    rows = [(f"d{i}", [rng.choice(kinds) for _ in range(rng.randint(0, 12))]) for i in range(60)] + [("none", None)]
+    own = spark.createDataFrame(rows, "doc_id string, words array<string>")
+    raw = own.select("doc_id", F.lit("dev").alias("source_split"), "words", *(F.array().cast(t).alias(n) for n, t in (("sentences", "array<array<int>>"), ("sections", "array<array<int>>"), ("ner", "array<struct<start:int,stop:int,label:string>>"))))
+    docs = corpus.documents(raw)
+    plan = docs._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("ArrowEvalPython") == 1
+    by_row = {(r.doc_id, r.token_index): (r.text, r.start_char, r.end_char) for r in tokens.detokenized(own, "doc_id", "words").collect()}
+    found = docs.collect()
+    assert {(r.doc_id, t.token_index): (t.text, t.start_char, t.end_char) for r in found for t in r.tokens} == by_row
+    assert {r.doc_id: r.text for r in found} == {r.doc_id: r.text for r in own.filter("size(words) > 0").select("doc_id", tokens.detokenize(F.col("words")).alias("text")).collect()}
+    assert all(t.text == r.text[t.start_char : t.end_char] for r in found for t in r.tokens) and len(found) < 61
+
+
+def test_document_violations_read_documents_once(spark):
+    one = raw(spark, [("a", 2), ("b", 1), ("a", 3), (None, 1), (None, 1)])
+    docs = corpus.documents(one).withColumn("token_count", F.when(F.col("doc_id") == "a", 1).otherwise(F.col("token_count")))
+    found = validate.document_violations(docs)
+    assert found._jdf.queryExecution().executedPlan().toString().count("laid_out(") == 1
+    got = sorted((r.rule, r.key or "") for r in found.collect() if r.rule in ("duplicate_id", "token_count", "missing_id"))
+    assert got == [("duplicate_id", ""), ("duplicate_id", "a"), ("missing_id", ""), ("missing_id", ""), ("token_count", "a"), ("token_count", "a")]
+
+
+def test_slices_of_odd_spans(spark):
+    rows = [("a", "é𝒳yz", [(0, 2, "é𝒳"), (2, 4, "yz")]), ("b", "é𝒳yz", [(0, 2, "é𝒳"), (2, 4, "yy")]), ("c", "ab", [(0, 3, "ab")]), ("d", "ab", [(1, 1, "")]), ("e", "ab", [(None, 1, "a")]), ("f", "ab", [(0, 1, None)]), ("g", None, []), ("h", None, [(0, 1, "a")]), ("i", "ab", None), ("j", "ab", [(0, 1, "ab")]), ("k", "ab", [(0, 2, "ab")])]
+    own = spark.createDataFrame(rows, "k string, text string, s array<struct<start_char:int,end_char:int,text:string>>").coalesce(1)
+    got = own.select("k", validate.bad_spans(F.col("text"), F.col("s")).alias("x"), validate.bad_spans(F.col("text"), F.col("s"), False).alias("y")).collect()
+    assert "".join(r.k for r in got if r.x) == "bcdefhj" and "".join(r.k for r in got if r.y) == "cdeh"
+
+
 def test_buckets(spark):
     got = spark.createDataFrame([(n,) for n in (1, 2, 3, 4, 0)], "n int").select(corpus.length_bucket(F.col("n"), BOUNDS).alias("b")).collect()
     assert [r.b for r in got] == ["short", "medium", "long", "very_long", None]
