@@ -47,9 +47,11 @@ def document_violations(spark, sf):
     return validate.document_violations(own).groupBy("rule").agg(F.count("*").alias("violations"), F.sum(F.col("key").cast("long")).alias("keys"))
 
 
-def _sentences(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents with their sentences as spans, for windows over them."""
-    own = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text", (F.col("doc_id") % 3).cast("string").alias("source_split"), tokens.split_sentences("text").alias("s"))
+def _sentences(spark: SparkSession, sf: str, only: DataFrame | None = None) -> DataFrame:
+    """Documents, all or only some, with their sentences as spans, for windows over them."""
+    own = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text", (F.col("doc_id") % 3).cast("string").alias("source_split"))
+    own = own if only is None else own.join(F.broadcast(only), "doc_id", "left_semi")
+    own = own.withColumn("s", tokens.split_sentences("text"))
     ends = F.transform("s", lambda x, i: F.struct(i.alias("sentence_index"), i.alias("token_start"), (i + 1).alias("token_end_exclusive"), x["start"].alias("start_char"), x["stop"].alias("end_char"), x["text"].alias("text")))
     section = F.array(F.struct(F.lit(0).alias("section_index"), F.lit(1).alias("token_start"), F.size("s").alias("token_end_exclusive"), F.lit(0).alias("start_char"), F.length("text").alias("end_char")))
     entities = F.filter(F.transform("s", lambda x, i: F.struct(F.format_string("%s__entity_%06d", F.col("doc_id"), i).alias("entity_id"), F.lit("Task").alias("label"), x["text"].alias("text"), i.alias("token_start"), (i + 1).alias("token_end_exclusive"), x["start"].alias("start_char"), x["stop"].alias("end_char"))), lambda e: e["token_start"] % 2 == 0)
@@ -91,11 +93,14 @@ def flatten_roundtrip(spark, sf):
 
 def window_sample(spark, sf):
     """RNK-10: a seeded sample of windows; only ids and sentence counts reach the driver."""
-    docs = _sentences(spark, sf)
-    lengths = [(r.doc_id, r.sentence_count) for r in docs.select("doc_id", "sentence_count").orderBy("doc_id").collect()]
+    docs = table(spark, sf, "documents")
+    counts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), tokens.sentence_count(F.col("text")).alias("n"))
+    found = counts.toArrow().sort_by("doc_id")  # sorted here, as Spark would count twice to find its ranges
+    lengths = list(zip(*(found[c].to_pylist() for c in ("doc_id", "n")), strict=True))
     buckets = {name: {"min_sentences": low, "max_sentences": high, "target": 5} for name, low, high in BOUNDS}
     plan = corpus.sample_plan(lengths, buckets)
-    return corpus.windows(docs, spark.createDataFrame(plan, "doc_id string, bucket string, sentence_start int, sentence_stop int")).select("example_id", "length_bucket", "sentence_count", F.md5("text").alias("digest"))
+    plan = F.broadcast(spark.createDataFrame(plan, "doc_id string, bucket string, sentence_start int, sentence_stop int"))  # a few windows; only their documents are split
+    return corpus.windows(_sentences(spark, sf, plan.select("doc_id").distinct()), plan).select("example_id", "length_bucket", "sentence_count", F.md5("text").alias("digest"))
 
 
 def bootstrap_exact(spark, sf):

@@ -125,3 +125,13 @@ def test_texts_are_cut_a_piece_at_a_time(monkeypatch):
         assert udf.func(texts).equals(alone(texts))
         assert sorted(seen)[-3] < 1 << 21  # the whole, the longest text, and no other
         seen.clear()
+
+
+def test_sentence_count(spark):
+    """The number of sentences that the splitter makes, for all mixtures of blanks, line ends, full stops and letters."""
+    import random
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(" \n\u00a0.!aA9\"\x1c\u2003") for _ in range(rng.randint(0, 14))) for _ in range(2000)] + [None, "", " \n", "A. B\n\n c.  D"]
+    own = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tokens.sentence_count(F.col("t")).alias("n"), F.size(tokens.split_sentences("t")).alias("m"))
+    assert [(r.t, r.n, r.m) for r in own.collect() if r.n != r.m] == []
