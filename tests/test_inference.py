@@ -189,3 +189,11 @@ def test_replies_are_made_some_rows_at_a_time(spark, monkeypatch):
     inference.call(rows, Echo, ["k"])
     out = list(taken[0](iter([pd.DataFrame({"k": range(1300)})])))
     assert [len(x) for x in out] == [512, 512, 276] and [r["text"] for x in out for r in x["reply"]] == [str(i) for i in range(1300)]
+
+
+def test_freeform_asks_once(spark, sf):
+    """One call for each row, and no replies read as JSON: they are lines."""
+    from spanloom.plans import study_queries
+
+    plan = study_queries.extract_freeform(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") == 1 and "Join" not in plan and "strict_json" not in plan and "from_json" not in plan
