@@ -197,3 +197,11 @@ def test_freeform_asks_once(spark, sf):
 
     plan = study_queries.extract_freeform(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInPandas") == 1 and "Join" not in plan and "strict_json" not in plan and "from_json" not in plan
+
+
+def test_exports_are_linked_once(spark, sf):
+    """Every matching reads the linked exports that were written, not the tables again."""
+    from spanloom.plans import study_queries
+
+    files = study_queries.reviewed_exports(spark, sf).inputFiles()
+    assert files and not any("lineitem" in f or "orders" in f for f in files)
