@@ -8,13 +8,12 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.metrics import set_counts
 from ..functions.text import TOKEN
 from ..operators import corpus, inference, scoring, tokens, validate
 from ..runtime import scratch, table, written
 from ..sources import readers, writers
 from ..streaming import runner
-from .scoring_queries import SPAN, _gold, _predicted
+from .scoring_queries import _strict_counts
 from .text_queries import BOUNDS, SENTENCES, TOKENS, _Q
 
 
@@ -105,7 +104,7 @@ def window_sample(spark, sf):
 
 def bootstrap_exact(spark, sf):
     """AGG-15 with the draws of Python's generator."""
-    counts = set_counts(_gold(spark, sf), _predicted(spark, sf), ["example"], SPAN).groupBy((F.col("example") % 50).alias("number")).agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn")))
+    counts = _strict_counts(spark, sf, (F.col("example") % 50).alias("number"))
     return scoring.bootstrap(counts, scoring.exact_draws(spark, 50, 200), 200)
 
 
