@@ -233,3 +233,22 @@ def test_slices_are_compared_some_rows_at_a_time():
     n = 200
     columns = [Column(["abc"] * n), Column([[0, 1]] * n), Column([[1, 3]] * n), Column([["a", "bc" if i % 3 else "x"] for i in range(n)])]
     assert validate._slices_differ.func(*columns).to_pylist() == [i % 3 == 0 for i in range(n)]
+
+
+def test_documents_leave_python_in_pieces_and_are_checked_by_column(spark):
+    """No batch of laid out documents is held, and no rows wait for the answer of a function of columns."""
+    import pyarrow as pa
+
+    x = pa.array([["a", "bc"] * 10_000] * 40 + [None, []])
+    pieces = list(tokens.laid_out.func(iter([x, x.slice(39)])))
+    assert sum(map(len, pieces)) == 45 and max(len(p.flatten().field("tokens").flatten()) for p in pieces) <= 1 << 18
+    docs = corpus.documents(raw(spark, [("a", 2), ("b", 3), ("c", 1)]))
+    plan = validate.document_violations(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "MapInArrow" in plan
+    first = lambda c, field, value: F.transform(c, lambda s, i: F.when(i == 0, s.withField(field, value(s))).otherwise(s))
+    longer = lambda s: s["end_char"] + F.lit(1)
+    own = docs.withColumn("sections", F.when(F.col("doc_id") == "a", first("sections", "end_char", longer)).otherwise(F.col("sections")))
+    own = own.withColumn("entities", F.when(F.col("doc_id") == "b", first("entities", "text", lambda s: F.lit("other"))).when(F.col("doc_id") == "c", F.lit(None)).otherwise(F.col("entities")))
+    own = own.withColumn("tokens", F.when(F.col("doc_id") == "c", first("tokens", "text", lambda s: F.lit("mEthod"))).otherwise(F.col("tokens")))
+    own = own.withColumn("text", F.when(F.col("doc_id") == "c", F.concat("text", F.lit("more"))).otherwise(F.col("text")))
+    assert sorted(map(tuple, validate.document_violations(own).collect())) == [("entities_boundary", "b"), ("sections_boundary", "a"), ("token_text", "c")]
