@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import TOKEN
 from ..operators import corpus, inference, scoring, tokens, validate
-from ..runtime import scratch, table, written
+from ..runtime import parts_for, scratch, table, written
 from ..sources import readers, writers
 from ..streaming import runner
 from .scoring_queries import _strict_counts
@@ -19,7 +19,10 @@ from .text_queries import BOUNDS, SENTENCES, TOKENS, _Q
 
 def _raw(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as raw records: one sentence and section each, and their first two words as an entity."""
-    own = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), (F.col("doc_id") % 3).cast("string").alias("source_split"), F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)).alias("words"))
+    own = table(spark, sf, "documents").select("doc_id", "text")
+    # what a task hands to Python at once is many times its texts, so parts have so many documents at any size of the files
+    own = own.repartition(parts_for(own.count(), spark, 2_000), "doc_id")
+    own = own.select(F.col("doc_id").cast("string").alias("doc_id"), (F.col("doc_id") % 3).cast("string").alias("source_split"), F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)).alias("words"))
     n = F.size("words")
     whole = F.when(n > 0, F.array(F.array(F.lit(0), n))).otherwise(F.array().cast("array<array<int>>"))
     return own.select("doc_id", "source_split", "words", whole.alias("sentences"), whole.alias("sections"), F.when(n > 1, F.array(F.struct(F.lit(0).alias("start"), F.lit(2).alias("stop"), F.lit("Task").alias("label")))).otherwise(F.array().cast("array<struct<start:int,stop:int,label:string>>")).alias("ner"))

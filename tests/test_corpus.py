@@ -252,3 +252,11 @@ def test_documents_leave_python_in_pieces_and_are_checked_by_column(spark):
     own = own.withColumn("tokens", F.when(F.col("doc_id") == "c", first("tokens", "text", lambda s: F.lit("mEthod"))).otherwise(F.col("tokens")))
     own = own.withColumn("text", F.when(F.col("doc_id") == "c", F.concat("text", F.lit("more"))).otherwise(F.col("text")))
     assert sorted(map(tuple, validate.document_violations(own).collect())) == [("entities_boundary", "b"), ("sections_boundary", "a"), ("token_text", "c")]
+
+
+def test_documents_are_dealt_into_parts_of_bounded_size(spark):
+    """By the number of documents, not by the files: 10,000 go into five parts on four cores."""
+    from spanloom.plans import io_queries
+
+    plan = io_queries._raw(spark, "/root/testdata/sf0.1")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [doc_id#" in plan and "], 5" in plan
